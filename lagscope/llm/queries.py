@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, scratch_path
 from .mixing import mix_sources, taken_words
 from .sharding import balanced_shards
 from .substring_dedup import remove_repeated_substrings
+from .token_files import read_token_files, token_index, write_token_files
+
+#: Name of the vocabulary file that the queries take from the public tokenizers.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +28,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-files")
+    write_token_files(read(spark, sf_dir, "documents"), path, tokenizer=vocabulary_path())
+    return token_index(read_token_files(spark, path))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = taken_words(mix_sources(read(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -29,4 +45,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_token_files, op8_mixing, op10_sharding)}
