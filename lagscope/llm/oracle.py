@@ -14,4 +14,21 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n_kept, 0))::BI
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1}
+OP9 = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bi AS (SELECT item_id, ws, least(10, len(ws)) AS n, unnest(generate_series(1, len(ws) - least(10, len(ws)) + 1)) AS i FROM b WHERE len(ws) > 0),
+bk AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS key FROM bi),
+lens AS (SELECT DISTINCT n FROM bk),
+di AS (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM w, lens WHERE len(ws) >= n),
+dk AS (SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS key FROM di),
+hits AS (SELECT doc_id, item_id, dk.i, dk.n FROM dk JOIN bk ON dk.n = bk.n AND dk.key = bk.key),
+spots AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + n - 1)) AS i FROM hits),
+nh AS (SELECT doc_id, count(*) AS n_hit FROM spots GROUP BY doc_id),
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN nh ON w.doc_id = nh.doc_id LEFT JOIN ni ON w.doc_id = ni.doc_id
+"""
+
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op9_decontamination": OP9}
