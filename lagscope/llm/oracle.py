@@ -28,6 +28,16 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, component
 FROM w JOIN c ON c.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
 """
 
+OP7 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach AS (SELECT vec_id AS id, vec_id AS r FROM v UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.r = links.a),
+c AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept
+FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
 OP9 = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
@@ -45,4 +55,4 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM w LEFT JOIN nh ON w.doc_id = nh.doc_id LEFT JOIN ni ON w.doc_id = ni.doc_id
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_near_dedup": OP6, "op9_decontamination": OP9}
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_near_dedup": OP6, "op7_embedding_dedup": OP7, "op9_decontamination": OP9}

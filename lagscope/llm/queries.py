@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import read, scratch_path
 from .decontamination import find_contamination
+from .embedding_dedup import linked_embeddings
 from .mixing import mix_sources, taken_words
 from .near_dedup import near_duplicates
+from .quality import resample_quality
 from .sharding import balanced_shards
 from .substring_dedup import remove_repeated_substrings
 from .token_files import read_token_files, token_index, write_token_files
@@ -36,10 +38,19 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(read_token_files(spark, path))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resample_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "weight", "draw", "kept")
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), shingle=3, percent=85, rows=5)
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_embeddings(read(spark, sf_dir, "embeddings"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = taken_words(mix_sources(read(spark, sf_dir, "documents")))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -57,4 +68,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_token_files, op6_near_dedup, op8_mixing, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_token_files, op5_quality, op6_near_dedup, op7_embedding_dedup, op8_mixing, op9_decontamination, op10_sharding)}
