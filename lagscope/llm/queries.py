@@ -16,6 +16,7 @@ from .quality import resample_quality
 from .sharding import balanced_shards
 from .substring_dedup import remove_repeated_substrings
 from .token_files import read_token_files, token_index, write_token_files
+from .toxicity import score_toxicity
 
 #: Name of the vocabulary file that the queries take from the public tokenizers.
 VOCABULARY = "word_bpe_49k.json"
@@ -32,6 +33,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     write_token_files(read(spark, sf_dir, "documents"), path, tokenizer=vocabulary_path())
@@ -68,4 +73,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_token_files, op5_quality, op6_near_dedup, op7_embedding_dedup, op8_mixing, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_token_files, op5_quality, op6_near_dedup, op7_embedding_dedup, op8_mixing, op9_decontamination, op10_sharding)}
