@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import Rolling, Words, in_pieces, materialise, mix64, text_bytes, word_table
+from .common import Rolling, Words, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
 
 #: Regular expression of a word: digits, lower-case letters and everything beyond ASCII.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -127,23 +128,29 @@ def _merged(found: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
     return begins, ends
 
 
-def _result(rows: list[tuple]) -> pa.RecordBatch:
+def _texts(batch: pa.RecordBatch, text_col: str | None) -> list[bytes]:
+    """The texts of a batch, of the column itself or in a row that is carried along."""
+    return text_bytes(batch.column("row").field(text_col) if text_col else batch.column("text"))
+
+
+def _result(rows: list[tuple], batch: pa.RecordBatch) -> pa.RecordBatch:
     types = {"row_id": pa.int64(), "n_words": pa.int64(), "begins": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "items": pa.list_(pa.string())}
     columns = list(zip(*rows, strict=True)) or [()] * len(types)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)], names=list(types))
+    carried = ["row"] if "row" in batch.schema.names else []
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types.values(), strict=True)), *map(batch.column, carried)], names=[*types, *carried])
 
 
-def _scan(shared):
+def _scan(shared, text_col: str | None):
     """All of a document's work in one pass, the item side being at hand."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(*shared.value)
         for batch in batches:
             rows = []
-            for d, words in zip(batch.column("row_id").to_pylist(), document_words(text_bytes(batch.column("text")), items.rolling), strict=True):
+            for d, words in zip(batch.column("row_id").to_pylist(), document_words(_texts(batch, text_col), items.rolling), strict=True):
                 found, which = items.find(words)
                 rows.append((d, len(words), *_merged(found), sorted({items.names[i] for i in which})))
-            yield _result(rows)
+            yield _result(rows, batch)
 
     return task
 
@@ -169,28 +176,30 @@ def _prints(window: int, gram: int, lengths: list[int], whole: bool):
     return task
 
 
-def _extend(window: int, gram: int):
+def _extend(window: int, gram: int, text_col: str | None):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling()
         for batch in batches:
             rows = []
-            for d, words, own in zip(batch.column("row_id").to_pylist(), document_words(text_bytes(batch.column("text")), rolling), batch.column("items"), strict=True):
+            for d, words, own in zip(batch.column("row_id").to_pylist(), document_words(_texts(batch, text_col), rolling), batch.column("items"), strict=True):
                 near = own.as_py() or []
                 items = Items([x["name"] for x in near], [(x["text"] or "").encode() for x in near], window, gram)
                 found, which = items.find(words) if near else ([], set())
                 rows.append((d, len(words), *_merged(found), sorted({items.names[i] for i in which})))
-            yield _result(rows)
+            yield _result(rows, batch)
 
     return task
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, most_broadcast: int = 64 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, gram: int = 5, most_broadcast: int = 64 << 20, carry: bool = False) -> DataFrame:
     """Words of documents inside any occurrence of a window of a benchmark item.
 
     A window is ``window`` consecutive words of an item, or all words of a shorter one.  Returns one row per
     document: the id column, ``n_words``, ``n_hit``, ``begins`` and ``ends`` (the hit word ranges) and ``items``
     (the ids, as strings and sorted, of the items with windows in it).  A-Z is lower-cased.
 
+    ``carry``: all columns of the document come too, as a struct ``row``.
+
     ``most_broadcast``: UTF-8 bytes of item texts up to which they are sent to all tasks.
 
     Defined cases: a null or empty text has no words and no hits; an item without words has no window; items
@@ -200,27 +209,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     spark = docs.sparkSession
     named = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).alias("text")).filter("text is not null")
     size = named.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), F.col(text_col).alias("text"))
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).cast("bigint").alias("row_id"), *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else [F.col(text_col).alias("text")]))
+    inside = text_col if carry else None
     if size <= most_broadcast:
         items = named.collect()
         shared = spark.sparkContext.broadcast(([x["name"] or "" for x in items], [x["text"].encode() for x in items], window, gram))
-        found = rows.mapInArrow(_scan(shared), _RESULT)
+        found = rows.mapInArrow(_scan(shared, inside), _with_row(rows))
     else:
-        found = _by_join(rows, named, window, gram)
+        found = _by_join(rows, named, window, gram, inside)
     hit = F.aggregate(F.zip_with("begins", "ends", lambda a, z: z - a), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return found.select(F.col("row_id").alias(id_col), "n_words", hit.alias("n_hit"), "begins", "ends", F.filter("items", lambda x: x != "").alias("items"))
+    return found.select(F.col("row_id").alias(id_col), "n_words", hit.alias("n_hit"), "begins", "ends", F.filter("items", lambda x: x != "").alias("items"), *(["row"] if carry else []))
+
+
+def _with_row(rows: DataFrame) -> StructType:
+    """The result's columns, and the carried row's."""
+    return StructType([*StructType.fromDDL(_RESULT).fields, *(f for f in rows.schema.fields if f.name == "row")])
 
 
-def _by_join(rows: DataFrame, named: DataFrame, window: int, gram: int) -> DataFrame:
+def _by_join(rows: DataFrame, named: DataFrame, window: int, gram: int, inside: str | None) -> DataFrame:
     """The same with fingerprints joined by shuffle; a document is known by its id and its text's hash."""
-    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    text = F.col(f"row.`{inside}`") if inside else F.col("text")
+    hashed = rows.withColumn("text_hash", F.xxhash64(text))
     schema = "key struct<row_id:bigint,text_hash:bigint>, size int, hash bigint"
     lengths = list(range(1, window))
-    of_docs = hashed.select(F.struct("row_id", "text_hash").alias("key"), "text").mapInArrow(_prints(window, gram, lengths, False), schema)
+    of_docs = hashed.select(F.struct("row_id", "text_hash").alias("key"), text.alias("text")).mapInArrow(_prints(window, gram, lengths, False), schema)
     of_items = named.select(F.struct(F.coalesce("name", F.lit("")).alias("name"), "text").alias("key"), "text").mapInArrow(_prints(window, gram, lengths, True), "key struct<name:string,text:string>, size int, hash bigint")
     # only lengths that some item has can match; the others fall out in the join
     pairs = of_docs.withColumnRenamed("key", "doc").join(of_items.withColumnRenamed("key", "item"), ["size", "hash"]).select("doc", "item").distinct()
     near = materialise(pairs.groupBy("doc").agg(F.collect_list("item").alias("items")).select("doc.row_id", "doc.text_hash", "items"), "decontamination-candidates")
     near = near.select(F.col("row_id").alias("n_id"), F.col("text_hash").alias("n_hash"), "items")
     joined = hashed.join(near, F.col("row_id").eqNullSafe(F.col("n_id")) & F.col("text_hash").eqNullSafe(F.col("n_hash")), "left")
-    return joined.select("row_id", "text", "items").mapInArrow(_extend(window, gram), _RESULT)
+    return joined.select("row_id", "row" if inside else "text", "items").mapInArrow(_extend(window, gram, inside), _with_row(rows))

@@ -10,13 +10,15 @@ good from the bad in labelled rows held out from the model.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import Rolling, in_pieces, materialise, mix64, text_bytes
+from .common import Rolling, in_pieces, materialise, mix64, small_batches, text_bytes
 
 _U64 = np.uint64
 _BYTE_CODES = mix64(np.arange(1, 257, dtype=_U64) * _U64(0xD6E8FEB86659FD93))
@@ -69,6 +71,20 @@ def _count(shared, buckets: int):
     return task
 
 
+def _weigh_rows(shared, buckets: int, text_col: str):
+    """Adds the mean log ratio of the text's n-grams to carried rows."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratio, _ = shared.value
+        rolling = Rolling()
+        for batch in batches:
+            row = batch.column("row")
+            weights = [float(ratio[g].mean()) if len(g) else None for g in ngram_buckets(text_bytes(row.field(text_col)), buckets, rolling)]
+            yield pa.RecordBatch.from_arrays([row, batch.column("id"), batch.column("text_hash"), pa.array(weights, pa.float64())], names=["row", "id", "text_hash", "weight"])
+
+    return task
+
+
 def _weigh(shared, buckets: int):
     """The mean log ratio of each text's n-grams, null without any; and the label of a held-out row."""
 
@@ -115,23 +131,19 @@ def kth_largest(values: DataFrame, column: str, k: int, ways: int = 4096) -> int
     return low
 
 
-def resample_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", buckets: int = 1 << 16, most_labelled: int = 20_000, smoothing: float = 1.0, sharpness: float = 200.0, care: float = 5.0, seed: int = 5) -> DataFrame:
-    """Draw the documents that are like the labelled good ones.
+@dataclass
+class _Draws:
+    """All weights, what tasks need to weigh rows, and the draw and decision on (id, text_hash, weight)."""
 
-    Returns one row per document: the id column, ``text_hash``, ``weight`` (the mean log ratio of its n-grams,
-    target to raw), ``draw`` (``sharpness`` times the weight plus Gumbel noise from a hash of id and text) and
-    ``kept`` (it is among the k largest draws).  The weight is a mean, times a fixed sharpness, so that a
-    document is not judged by its length.
+    weighed: DataFrame
+    shared: object
+    draw: Column
+    kept: Column
 
-    ``most_labelled`` bounds the labelled rows that are used, taken in order of a hash of their ids; half of
-    them make the target model (label 1), half set k, losing a good document counting ``care`` times.  The raw model and all draws cover all documents.
 
-    Defined cases: a null or empty text, or one of white space alone, has no weight and is not kept; ties at
-    the k-th draw are all kept, so repeated rows stay or go together; labels that are null or of unknown ids
-    are not used; without labels of both kinds all documents with a weight are kept; empty tables are fine;
-    other columns are not read.
-    """
+def _draws(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "quality", buckets: int = 1 << 16, most_labelled: int = 20_000, smoothing: float = 1.0, sharpness: float = 200.0, care: float = 5.0, seed: int = 5) -> _Draws:
     spark = docs.sparkSession
+    small_batches(spark)
     place = F.xxhash64(F.col(label_id_col).cast("bigint"), F.lit(seed))
     sample = labels.select(F.col(label_id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"), place.alias("place")).filter("id is not null and label in (0, 1)").orderBy("place", "id", "label").limit(most_labelled).collect()
     target = {x["id"] for i, x in enumerate(sample) if i % 2 == 0 and x["label"] == 1}
@@ -154,10 +166,40 @@ def resample_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
     level = level_between(np.array([x["weight"] for x in known]), np.array([x["label"] for x in known]), care)
 
     uniform: Column = (F.pmod(F.xxhash64("id", "text_hash", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    drawn = weighed.withColumn("draw", F.col("weight") * sharpness - F.log(-F.log(uniform)))
-    drawn = drawn.withColumn("rank", F.floor(F.col("draw") * float(1 << 30)).cast("bigint"))
-    some = drawn.filter("weight is not null")
+    draw = F.col("weight") * sharpness - F.log(-F.log(uniform))
+    rank = F.floor(draw * float(1 << 30)).cast("bigint")
+    some = weighed.filter("weight is not null").select("weight", rank.alias("rank"))
     k = some.filter(F.col("weight") >= F.lit(level)).count()
-    least = kth_largest(some, "rank", k) if k else None
-    kept = F.coalesce(F.col("rank") >= F.lit(least), F.lit(False)) if k else F.lit(False)
-    return drawn.select(F.col("id").alias(id_col), "text_hash", "weight", "draw", kept.alias("kept"))
+    kept = F.coalesce(rank >= F.lit(kth_largest(some, "rank", k)), F.lit(False)) if k else F.lit(False)
+    return _Draws(weighed, shared, draw, kept)
+
+
+def resample_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Draw the documents that are like the labelled good ones.
+
+    Returns one row per document: the id column, ``text_hash``, ``weight`` (the mean log ratio of its n-grams,
+    target to raw), ``draw`` (``sharpness`` times the weight plus Gumbel noise from a hash of id and text) and
+    ``kept`` (it is among the k largest draws).  The weight is a mean, times a fixed sharpness, so that a
+    document is not judged by its length.
+
+    ``most_labelled`` bounds the labelled rows that are used, taken in order of a hash of their ids; half of
+    them make the target model (label 1), half set k, losing a good document counting ``care`` times.  The raw model and all draws cover all documents.
+
+    Defined cases: a null or empty text, or one of white space alone, has no weight and is not kept; ties at
+    the k-th draw are all kept, so repeated rows stay or go together; labels that are null or of unknown ids
+    are not used; without labels of both kinds all documents with a weight are kept; empty tables are fine;
+    other columns are not read.  ``options``: those of ``_draws``, with their defaults.
+    """
+    drawn = _draws(docs, labels, id_col=id_col, **options)
+    return drawn.weighed.select(F.col("id").alias(id_col), "text_hash", "weight", drawn.draw.alias("draw"), drawn.kept.alias("kept"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = 1 << 16, **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that ``resample_quality`` keeps.
+
+    Rows are weighed once more as they pass, so whole texts are neither stored nor shuffled.
+    """
+    drawn = _draws(docs, labels, id_col=id_col, text_col=text_col, buckets=buckets, **options)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_col).alias("text_hash"))
+    schema = StructType([*rows.schema.fields, StructField("weight", DoubleType())])
+    return rows.mapInArrow(_weigh_rows(drawn.shared, buckets, text_col), schema).filter(drawn.kept).select("row.*")

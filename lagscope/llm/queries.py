@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, scratch_path
+from .common import read, scratch_path, vocabulary_path
 from .decontamination import find_contamination
 from .embedding_dedup import linked_embeddings
 from .mixing import mix_sources, taken_words
@@ -17,16 +17,10 @@ from .sharding import balanced_shards
 from .substring_dedup import remove_repeated_substrings
 from .token_files import read_token_files, token_index, write_token_files
 from .toxicity import score_toxicity
+from .url_filter import judge_urls
 
-#: Name of the vocabulary file that the queries take from the public tokenizers.
-VOCABULARY = "word_bpe_49k.json"
-
-
-def vocabulary_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(VOCABULARY)
-
+#: Rules of the URL filter query: verdict, and host and path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_substrings(read(spark, sf_dir, "documents"))
@@ -43,6 +37,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_index(read_token_files(spark, path))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"), read(spark, sf_dir, "labels"), rules=URL_RULES)
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = resample_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return out.select("doc_id", "weight", "draw", "kept")
@@ -73,4 +71,4 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_token_files, op5_quality, op6_near_dedup, op7_embedding_dedup, op8_mixing, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_toxicity, op3_token_files, op4_url_filter, op5_quality, op6_near_dedup, op7_embedding_dedup, op8_mixing, op9_decontamination, op10_sharding)}

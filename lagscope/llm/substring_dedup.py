@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mix64, shuffle_width, text_bytes
+from .common import Rolling, mix64, shuffle_width, small_batches, text_bytes
 
 _U64 = np.uint64
 #: Windows of one super-k-mer at most, so that a text of one repeated word makes no endless string.
@@ -260,6 +260,7 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
     if not 0 < minimizer <= window:
         raise ValueError("minimizer must be between 1 and window")
     spark = docs.sparkSession
+    small_batches(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     if buckets is None:
         # a word travels about 1 + (window - 1) / ((window - minimizer + 2) / 2) times

@@ -8,6 +8,7 @@ The model is trained on a bounded sample of labelled rows and scores every docum
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, in_pieces, mix64, text_bytes, word_table
+from .common import Rolling, Words, in_pieces, mix64, small_batches, text_bytes, word_table
 
 _U64 = np.uint64
 _TABLE = word_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
@@ -59,7 +60,7 @@ class FactorizationMachine:
             out[full] += np.add.reduceat(self.weights[terms], at) + pairs / sizes[full]
         return out
 
-    def fit(self, sets: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 12, rate: float = 0.15, decay: float = 1e-5, batch: int = 64, seed: int = 4) -> None:
+    def fit(self, sets: list[np.ndarray], labels: np.ndarray, importance: np.ndarray, epochs: int = 5, rate: float = 0.05, decay: float = 3e-4, batch: int = 64, seed: int = 4) -> None:
         """AdaGrad on the logistic loss, in batches of texts."""
         rng = np.random.default_rng(seed)
         keep = np.array([len(s) > 0 for s in sets])
@@ -79,7 +80,7 @@ class FactorizationMachine:
                 total = np.add.reduceat(v, at)
                 pairs = ((total**2).sum(1) - np.add.reduceat((v**2).sum(1), at)) / 2
                 margin = self.bias + np.add.reduceat(self.weights[terms], at) + pairs / sizes
-                slope = ((1 / (1 + np.exp(-margin)) - labels[own]) * importance[own] / len(own)).astype(np.float32)
+                slope = ((1 / (1 + np.exp(-np.clip(margin, -50, 50))) - labels[own]) * importance[own] / len(own)).astype(np.float32)
                 used, where = np.unique(terms, return_inverse=True)
                 dw = np.bincount(where, slope[of], len(used)).astype(np.float32) + decay * self.weights[used]
                 pull = (slope / sizes)[of][:, None] * (total[of] - v)
@@ -91,6 +92,16 @@ class FactorizationMachine:
                 self.bias -= rate * float(slope.sum()) * 0.1
 
 
+def best_margin(margins: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> float:
+    """The margin above which predicting 1 has the largest F1."""
+    order = np.argsort(-margins, kind="stable")
+    hit, all_ = np.cumsum((importance * labels)[order]), np.cumsum(importance[order])
+    f1 = 2 * hit / (all_ + (importance * labels).sum())
+    i = int(f1.argmax())
+    below = margins[order[i + 1]] if i + 1 < len(order) else margins[order[i]] - 1
+    return float((margins[order[i]] + below) / 2)
+
+
 def held_out(id_col: str) -> Column:
     """Whether crc32 of the id as text is divisible by 5; a null id counts as empty text, and is held out."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
@@ -134,14 +145,15 @@ def _score(shared, bits: int):
     return task
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", bits: int = 18, factors: int = 8, most_labelled: int = 10_000, seed: int = 2) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", bits: int = 20, factors: int = 8, most_labelled: int = 10_000, seed: int = 2) -> DataFrame:
     """Score every whole text: the chance, as the model sees it, that its label is 1.
 
     Returns one row per document: the id column, ``held_out`` (crc32 of the id as text is divisible by 5: such
     rows' labels are never used), ``score`` and ``predicted`` (score of 0.5 or more).
 
     ``most_labelled`` bounds the labelled rows of either label that train the model, taken in order of a hash
-    of their ids; they are weighted back to the shares that the labels have.
+    of their ids; they are weighted back to the shares that the labels have.  Three quarters of them fit the
+    model, and the rest set its bias, so that 0.5 is where the prediction has the largest F1.
 
     Defined cases: a null or empty text has no terms and the score of the bias; without labels of both kinds
     all scores are the share of label 1 (0 without labels); labels that are null or of unknown ids are not
@@ -149,6 +161,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     usable = labels.select(F.col(label_id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").filter(~held_out("id"))
     share = {x["label"]: x["count"] for x in usable.groupBy("label").count().collect()}
     sample = {x["id"]: x["label"] for y in (0, 1) for x in usable.filter(F.col("label") == y).orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(most_labelled).collect()}
@@ -159,7 +172,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     y = np.array([x["label"] for x in known])
     if len(set(y.tolist())) == 2:
         importance = np.array([share[x] / (y == x).sum() for x in (0, 1)])[y]
-        model.fit([np.frombuffer(x["terms"], np.int32) for x in known], y.astype(np.float32), (importance / importance.mean()).astype(np.float32))
+        importance = (importance / importance.mean()).astype(np.float32)
+        sets = [np.frombuffer(x["terms"], np.int32) for x in known]
+        fitted = np.array([zlib.crc32(b"fold %d" % x["id"]) % 4 > 0 for x in known])
+        if all(0 < (y[fold] == 1).sum() < fold.sum() for fold in (fitted, ~fitted)):
+            model.fit([s for s, f in zip(sets, fitted, strict=True) if f], y[fitted].astype(np.float32), importance[fitted])
+            rest = [s for s, f in zip(sets, fitted, strict=True) if not f]
+            model.bias -= best_margin(model.margins(rest), y[~fitted], importance[~fitted])
+        else:
+            model.fit(sets, y.astype(np.float32), importance)
     else:
         model.bias = {(): -np.inf, (0,): -np.inf, (1,): np.inf}.get(tuple(share), 0.0)
     out = rows.withColumn("held_out", held_out("id")).mapInArrow(_score(spark.sparkContext.broadcast(model), bits), "id bigint, held_out boolean, score double")
