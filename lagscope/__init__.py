@@ -1,0 +1 @@
+"""Frontier-gap analytics on Spark: how far one group of scored, dated records trails another."""
