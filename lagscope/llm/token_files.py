@@ -13,6 +13,8 @@ A block needs nothing outside itself to be decoded, and decoding handles all wor
 
 from __future__ import annotations
 
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, small_batches, text_bytes
 
 #: Ids in one word, by selector.
 PER_WORD = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -39,21 +41,26 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     """The packed words and the escapes of 32-bit ids; each word takes as many ids as fit."""
     big = ids >= ESCAPE
     escapes = ids[big].astype("<u4").tobytes()
-    values = np.where(big, ESCAPE, ids).astype(_U64)
-    n = len(values)
+    small = np.where(big, ESCAPE, ids).astype(np.uint16)
+    n = len(small)
     if not n:
         return b"", escapes
     # the selector at each position, were a word to begin there
     best = np.full(n, len(PER_WORD) - 1, np.uint8)
-    at = np.arange(n, dtype=np.int32)
     for s in range(len(PER_WORD) - 2, -1, -1):
-        wide = np.where(values >> _U64(WIDTHS[s]), at, np.int32(n))
-        stop = np.minimum.accumulate(wide[::-1])[::-1]
-        best[stop - at >= PER_WORD[s]] = s
+        stops = np.flatnonzero(small >> WIDTHS[s]) if WIDTHS[s] < 15 else np.zeros(0, np.int64)
+        stops = np.append(stops, n)
+        runs = np.diff(stops, prepend=-1) - 1  # ids that fit, before each that doesn't
+        long = runs >= PER_WORD[s]
+        if long.any():
+            for a, z in zip((stops - runs)[long].tolist(), stops[long].tolist(), strict=True):
+                best[a : z - PER_WORD[s] + 1] = s
+    values = small.astype(_U64)
     steps = np.array(PER_WORD, np.uint8)[best].tobytes()
     heads, i = [], 0
+    head = heads.append
     while i < n:
-        heads.append(i)
+        head(i)
         i += steps[i]
     heads = np.array(heads)
     selectors = best[heads]
@@ -83,40 +90,99 @@ def decode_ids(words: bytes, escapes: bytes) -> np.ndarray:
     return out
 
 
+#: A run of letters that no other letter class touches: ASCII, and Latin-1 letters as UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_MARKS = np.zeros(256, bool)
+_MARKS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # ASCII punctuation, without what special tokens and contractions hold
+_ASCII_LETTERS = np.zeros(256, bool)
+_ASCII_LETTERS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+_AFTER_C3 = np.zeros(256, bool)
+_AFTER_C3[0x80:0xC0] = True
+_AFTER_C3[[0x97, 0xB7]] = False
+
+
 class Encoder:
-    """Ids of texts by a vocabulary that drops white space, so a text's ids are those of its chunks between
-    white space, one after another.  Each distinct chunk is encoded once while it is remembered."""
+    """Ids of texts by a vocabulary that splits at white space and between letters and punctuation, and ends
+    every split with an end-of-word id.
+
+    A text's ids are then those of its pieces between such places, one after another, and each distinct piece
+    is encoded once while it is remembered.  Pieces of letters are one split each, so many are encoded as one
+    text and told apart by the end-of-word ids.
+    """
 
-    REMEMBERED = 200_000
+    #: Pieces at most that are remembered.
+    REMEMBERED = 300_000
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
         self.memory: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
+        self.pool, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        letters: list[bytes] = []
+        rest: list[bytes] = []
+        for x in pieces:
+            (letters if x.isalpha() or _LETTERS.fullmatch(x) else rest).append(x)
+        joined = [b" ".join(letters[i : i + 1000]).decode() for i in range(0, len(letters), 1000)]
+        own = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.array([i for x in own for i in x], np.uint32)
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        assert len(stops) == len(letters)
+        sizes = np.diff(stops, prepend=0)
+        others = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode() for x in rest], add_special_tokens=False)]
+        sizes = np.concatenate([sizes, np.array([len(x) for x in others], np.int64)])
+        ids = np.concatenate([ids, np.array([i for x in others for i in x], np.uint32)])
+        self.memory.update(zip(letters + rest, range(len(self.lengths), len(self.lengths) + len(pieces)), strict=True))
+        self.begins = np.concatenate([self.begins, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.lengths = np.concatenate([self.lengths, sizes])
+        self.pool = np.concatenate([self.pool, ids])
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the number of ids of each text."""
-        chunks = [t.split() for t in texts]
-        counts = np.fromiter((len(c) + 1 for c in chunks), np.int64, len(chunks))
-        flat = pa.array([x for c in chunks for x in (*c, b"\n")], pa.binary()).dictionary_encode()
+        buffer = b"".join([b" ".join(t.split()) + b"\n" for t in texts])
+        if b"<|" not in buffer:  # special tokens are known by their case
+            buffer = buffer.lower()
+        raw = np.frombuffer(buffer, np.uint8)
+        mark = _MARKS[raw]
+        letter = _ASCII_LETTERS[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]]
+        first = letter.copy()  # first bytes of letters
+        first[:-1] = (_ASCII_LETTERS[raw[:-1]]) | ((raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]])
+        stop = raw == 10
+        gap = raw == 32
+        cut = np.zeros(len(raw) + 1, bool)  # a piece begins here
+        cut[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & first[1:]) | stop[1:] | stop[:-1] | gap[:-1]
+        cut[0] = True
+        cut = cut[:-1] & ~gap
+        kept = np.ascontiguousarray(raw[~gap])
+        offsets = np.append(np.flatnonzero(cut[~gap]), len(kept)).astype(np.int32)
+        pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
+        flat = pieces.dictionary_encode()
         distinct = flat.dictionary.to_pylist()
         if len(self.memory) + len(distinct) > self.REMEMBERED:
-            self.memory, self.ids = {}, []
-        new = [x for x in distinct if x != b"\n" and x not in self.memory]
-        for x, e in zip(new, self.tokenizer.encode_batch([x.decode() for x in new], add_special_tokens=False), strict=True):
-            self.memory[x] = len(self.ids)
-            self.ids.append(e.ids)
-        own = [[end_id] if x == b"\n" else self.ids[self.memory[x]] for x in distinct]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        pool = np.fromiter((i for x in own for i in x), np.uint32, int(lengths.sum()))
-        begins = np.cumsum(lengths) - lengths
+            self._forget()
+        memory = self.memory
+        self._learn([x for x in distinct if x not in memory and x != b"\n"])
+        memory[b"\n"] = -1
+        at = np.fromiter(map(memory.__getitem__, distinct), np.int64, len(distinct))
+        pool = np.append(self.pool, np.uint32(end_id))
+        begins = np.append(self.begins, len(pool) - 1)[at]
+        lengths = np.append(self.lengths, 1)[at]
         codes = flat.indices.to_numpy()
         sizes = lengths[codes]
-        where = np.repeat(begins[codes] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        return pool[where], np.diff(ends)
+        total = np.cumsum(sizes)
+        where = np.repeat((begins[codes] - total + sizes).astype(np.int32), sizes)
+        where += np.arange(len(where), dtype=np.int32)
+        return pool[where], np.diff(total[stop[~gap][offsets[:-1]]], prepend=0)
 
 
 def _blocks(path: str, end_id: int):
@@ -145,13 +211,15 @@ def _blocks(path: str, end_id: int):
 
         held = 0
         for batch in batches:
-            for d, t in zip(batch.column("id").to_pylist(), text_rows(batch.column("text")), strict=True):
-                docs.append(d)
-                texts.append(t)
-                held += len(t)
-                if held > 2 << 20:
-                    yield from close()
-                    held = 0
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                for d, t in zip(rows.column("id").to_pylist(), text_bytes(rows.column("text")), strict=True):
+                    docs.append(d)
+                    texts.append(t)
+                    held += len(t)
+                    if held > 1 << 20:
+                        yield from close()
+                        held = 0
         if docs:
             yield from close()
 
@@ -161,11 +229,6 @@ def _blocks(path: str, end_id: int):
 _SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("words", pa.binary()), ("escapes", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64()))])
 
 
-def text_rows(column: pa.Array) -> Iterator[bytes]:
-    for x in column.cast(pa.binary()):
-        yield x.as_py() or b""
-
-
 def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1) -> None:
     """Encode every whole text and write blocks in ascending order of the id to ``path``.
 
@@ -173,6 +236,7 @@ def write_token_files(docs: DataFrame, path: str, *, tokenizer: str, id_col: str
     ordered by their texts' hashes; a text longer than a block makes a long block; an empty table writes no
     block; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     ordered = rows.repartitionByRange(shuffle_width(docs.sparkSession), "id", "h").sortWithinPartitions("id", "h").select("id", "text")
     ordered.mapInArrow(_blocks(tokenizer, end_id), BLOCKS).write.option("compression", "none").parquet(path)
