@@ -16,10 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise
+from .common import WORD, materialise, shuffle_width
 
 #: Slots that one task row expands to.
 CHUNK = 4096
+#: Slots of one partition.
+SLOTS = 1 << 18
 #: Rows of one source that share a bucket of the running word count.
 BUCKET_ROWS = 20_000
 
@@ -107,7 +109,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     documents = materialise(documents.select("id", "text_hash", "tie", "size", "source_size", "target", "rank", "start"), "mix-documents")
 
     number = F.explode(F.sequence(F.lit(0), F.expr(f"(n - 1) div {CHUNK}")))
-    slots = sources.filter("n > 0").select("rank", "blocks", "n", "offset", "all_slots", number.alias("chunk")).repartition("rank", "chunk")
+    slots = sources.filter("n > 0").select("rank", "blocks", "n", "offset", "all_slots", number.alias("chunk"))
+    # few rows that make many: a fixed number of partitions, and a join that never broadcasts what they make
+    width = max(shuffle_width(docs.sparkSession), (sources.agg(F.sum("n")).first()[0] or 0) // SLOTS + 1)
+    slots = slots.repartition(width, "rank", "chunk")
     slots = slots.withColumn("q", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1)))
     place = permuted(F.col("offset") + F.col("q"), F.col("all_slots"), F.lit(seed))
     slots = slots.select("rank", F.expr("q div blocks").alias("pass"), permuted(F.col("q") % F.col("blocks"), F.col("blocks"), F.col("rank") + (seed + 1)).alias("block"), place.alias("place"))
@@ -115,7 +120,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     parts = documents.filter("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
     parts = parts.select("id", "text_hash", "tie", "rank", "block", (F.greatest(F.col("start"), F.col("block") * block) - F.col("start")).alias("begin"), (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")).alias("end"))
-    taken = slots.join(parts, ["rank", "block"])
+    taken = slots.hint("merge").join(parts, ["rank", "block"])
     return Mix(documents, slots, taken)
 
 
