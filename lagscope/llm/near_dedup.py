@@ -3,12 +3,14 @@
 Documents are sets of word shingles.  Under each permutation both the least and the
 greatest hash are kept, so a signature takes half as many hash evaluations as its length;
 bands of the signature bring similar sets into a bucket.  Exact copies of a set are
-reduced to one representative first.  In a bucket, members are compared with hubs, not
-with one another: first one hub, then 8, 64, 512, ... of its members, each compared only
-with members of other components, until every bucket is one component or all its members
-have been hubs.  So no link between components goes unseen in a bucket, and a bucket of
-many alike documents costs as many comparisons as it has members.  A link is an exact
-comparison of two whole sets.
+reduced to one representative first.  In a bucket, members are not compared with one
+another but with a hub, the member whose buckets are fullest: among near copies of a text
+that is the text itself or one close to it.  What is left are buckets whose members lie in
+several components; their cross pairs are found by an exact prefix join: members of other
+components than their bucket's largest meet members that share one of their rarest
+shingles early enough for the similarity to be reachable.  So copies that are not quite
+alike cost what they share beyond the common text, and no link is lost in a bucket.  A
+link is an exact comparison of two whole sets.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, in_pieces, materialise, mix64, text_bytes, word_table
+from .common import Rolling, Words, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
 from .decontamination import gram_hashes
 from .graph import components
 
@@ -121,6 +123,26 @@ def _sets(shingle: int):
     return task
 
 
+def _cross_pairs(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets in different components, one of them ``other``, that may reach the similarity.
+
+    The shingles of each set are ordered by how many sets have them.  Two sets of sizes m and n that reach it
+    share a shingle among the first m - ceil(percent % of m) + 1 of one and as many of the other; at the first
+    they share, at positions i and j, at most min(m - i, n - j) shingles are left to share.
+    """
+    shingles = alive.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", "other", F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = shingles.join(common, "shingle").groupBy("rep", "c", "other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    first = F.slice("all", F.lit(1), F.col("size") - F.expr(f"(size * {percent} + 99) div 100").cast("int") + 1)
+    prefix = materialise(ranked.select("rep", "c", "other", "size", F.posexplode(first).alias("at", "x")).select("rep", "c", "other", "size", "at", "x.shingle", "x.df").filter("df > 1"), "near-prefixes")
+    p = prefix.filter("other").select("shingle", F.col("rep").alias("p"), F.col("c").alias("pc"), F.col("size").alias("m"), F.col("at").alias("i"))
+    q = prefix.select("shingle", F.col("rep").alias("q"), F.col("c").alias("qc"), F.col("size").alias("n"), F.col("at").alias("j"))
+    most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    reachable = (100 + percent) * most >= percent * (F.col("m") + F.col("n"))
+    both = p.join(q, (p["shingle"] == q["shingle"]) & (F.col("pc") != F.col("qc")) & reachable)
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
     """Components of documents whose shingle sets A, B have 100 * |A and B| >= ``percent`` * |A or B|.
 
@@ -133,6 +155,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     node of the graph, linked by what any of their texts links to; a null id links with nothing, has no
     component and is kept; an empty table gives an empty result; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     bands = band_count(percent / 100, rows)
     signed = materialise(source.mapInArrow(_signatures(shingle, bands, rows), "id bigint, n bigint, print binary, keys array<bigint>"), "near-signatures")
@@ -144,8 +167,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     twins = linked.join(ids, "id").select("id", "print").join(classes.select("print", "rep"), "print").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     rows_of = classes.select(F.explode("keys").alias("key"), "rep", "print")
-    buckets = rows_of.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("print").alias("h"), F.col("rep").alias("hub"), F.col("print").alias("hub_print"))).alias("hub")).filter("n > 1").select("key", "n", "hub.hub", "hub.hub_print")
+    buckets = rows_of.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(rows_of.join(buckets, "key"), "near-members")
+    weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    members = members.join(weights, "rep")
+    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("weight", F.xxhash64("print"))).alias("hub"))
+    members = materialise(members.join(hubs, "key").select("key", "rep", "print", "n", "hub"), "near-hubs")
 
     # sets of those in shared buckets, from one row of each class
     involved = members.select("rep", "print").distinct()
@@ -160,26 +187,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     links = materialise(confirmed(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()).union(twins), "near-links")
     found = components(links)
-    alive = members.filter("n > 2").select("key", "rep", "n", "hub")
-    hubs, before = 8, 0
-    while True:
-        # buckets that are still several components
-        named = alive.join(found.select(F.col("id").alias("rep"), F.col("component").alias("new")), "rep", "left").select("key", "rep", "n", "hub", F.coalesce("new", "rep").alias("c"))
-        split = named.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("key")
-        named = materialise(named.join(split, "key"), "near-alive")
-        if named.isEmpty():
-            break
-        place = F.pmod(F.xxhash64("rep"), F.lit(1 << 30)) * F.col("n")
-        hub = named.filter((place >= before << 30) & (place < hubs << 30)).select("key", F.col("rep").alias("h"), F.col("c").alias("hc"))
-        pairs = named.join(hub, "key").filter("c <> hc and rep <> hub and h <> hub").select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
+    # buckets that are still several components; of two members the hub has been compared with the other
+    named = members.filter("n > 2").select("key", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    split = named.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("key")
+    named = materialise(named.join(split, "key"), "near-split")
+    if not named.isEmpty():
+        largest = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
+        alive = named.join(largest, "key").groupBy("rep", "c").agg(F.max(F.col("c") != F.col("main")).alias("other"))
+        pairs = _cross_pairs(materialise(alive, "near-alive"), sets, percent)
         more = materialise(confirmed(pairs), "near-links")
         if not more.isEmpty():
-            links = links.union(more)
-            found = components(links)
-        alive = named.filter(F.col("n") > hubs).drop("c")
-        hubs, before = hubs * 8, hubs
+            found = components(links.union(more))
 
     of = signed.select("id", "n", "print").join(classes.select("print", "rep"), "print", "left")
     of = of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
     return of.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

@@ -92,14 +92,18 @@ class FactorizationMachine:
                 self.bias -= rate * float(slope.sum()) * 0.1
 
 
-def best_margin(margins: np.ndarray, labels: np.ndarray, importance: np.ndarray) -> float:
-    """The margin above which predicting 1 has the largest F1."""
+def best_margin(margins: np.ndarray, labels: np.ndarray, importance: np.ndarray, most_false: float = 0.005) -> float:
+    """The margin above which predicting 1 has the largest F1, among those that at most this share of label 0
+    exceeds."""
     order = np.argsort(-margins, kind="stable")
+    ranked = np.append(margins[order], margins.min() - 1)
     hit, all_ = np.cumsum((importance * labels)[order]), np.cumsum(importance[order])
-    f1 = 2 * hit / (all_ + (importance * labels).sum())
+    false = np.cumsum(labels[order] == 0) / max(1, (labels == 0).sum())
+    f1 = np.where(false <= most_false, 2 * hit / (all_ + (importance * labels).sum()), -1)
     i = int(f1.argmax())
-    below = margins[order[i + 1]] if i + 1 < len(order) else margins[order[i]] - 1
-    return float((margins[order[i]] + below) / 2)
+    if f1[i] <= 0:  # nothing can be told apart without going over that share
+        return float(ranked[0] + 1)
+    return float((ranked[i] + ranked[i + 1]) / 2)
 
 
 def held_out(id_col: str) -> Column:
@@ -153,7 +157,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
 
     ``most_labelled`` bounds the labelled rows of either label that train the model, taken in order of a hash
     of their ids; they are weighted back to the shares that the labels have.  Three quarters of them fit the
-    model, and the rest set its bias, so that 0.5 is where the prediction has the largest F1.
+    model, and the rest set its bias, so that 0.5 is where the prediction has the largest F1 with at most half a
+    per cent of label 0 above it.
 
     Defined cases: a null or empty text has no terms and the score of the bias; without labels of both kinds
     all scores are the share of label 1 (0 without labels); labels that are null or of unknown ids are not
