@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, Words, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
@@ -110,19 +110,43 @@ def _signatures(shingle: int, bands: int, rows: int):
     return task
 
 
-def _sets(shingle: int):
+def _sets(shingle: int, shared):
+    """The sets of rows whose ``spot`` is in the shared bitmap."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rolling = Rolling()
+        rolling, bitmap = Rolling(), shared.value
         for batch in batches:
-            ids = batch.column("id")
-            texts = text_bytes(batch.column("text"))
+            spots = batch.column("spot").to_numpy()
+            some = batch.take(pa.array(np.flatnonzero(bitmap[spots >> 3] >> (spots & 7).astype(np.uint8) & 1)))
+            ids = some.column("id")
+            texts = text_bytes(some.column("text"))
             for i in range(0, len(texts), 256):
-                sets = [s.view(np.int64) for s in shingle_sets(texts[i : i + 256], shingle, rolling)]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                sets = list(shingle_sets(texts[i : i + 256], shingle, rolling))
+                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, len(sets)), pa.array(prints, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "print", "set"])
 
     return task
 
 
+def _spot(bits: int) -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(bits))
+
+
+def _bitmap(ids: DataFrame, most_bits: int) -> tuple[int, np.ndarray]:
+    """A bitmap, and its number of bits, with the ``_spot`` of every id: 16 to 32 bits an id up to ``most_bits``.
+
+    What it lets through is joined with the ids themselves, so a full one costs a shuffle and nothing else.
+    """
+    bits = 1 << 15
+    need = 16 * ids.count()
+    while bits < min(need, most_bits):
+        bits *= 2
+    bitmap = np.zeros(bits // 8, np.uint8)
+    for x in ids.groupBy((_spot(bits) / (1 << 15)).cast("int").alias("part")).agg(F.bitmap_construct_agg(_spot(bits) % (1 << 15)).alias("set")).collect():  # bits / 32768 rows at most
+        bitmap[x["part"] << 12 : x["part"] + 1 << 12] = np.frombuffer(x["set"], np.uint8)
+    return bits, bitmap
+
+
 def _cross_pairs(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of sets in different components, one of them ``other``, that may reach the similarity.
 
@@ -130,9 +154,9 @@ def _cross_pairs(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share a shingle among the first m - ceil(percent % of m) + 1 of one and as many of the other; at the first
     they share, at positions i and j, at most min(m - i, n - j) shingles are left to share.
     """
-    shingles = alive.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "c", "other", F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    shingles = alive.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "print", "c", "other", F.size("set").alias("size"), F.explode("set").alias("shingle"))
     common = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = shingles.join(common, "shingle").groupBy("rep", "c", "other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    ranked = shingles.join(common, "shingle").groupBy("rep", "print", "c", "other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
     first = F.slice("all", F.lit(1), F.col("size") - F.expr(f"(size * {percent} + 99) div 100").cast("int") + 1)
     prefix = materialise(ranked.select("rep", "c", "other", "size", F.posexplode(first).alias("at", "x")).select("rep", "c", "other", "size", "at", "x.shingle", "x.df").filter("df > 1"), "near-prefixes")
     p = prefix.filter("other").select("shingle", F.col("rep").alias("p"), F.col("c").alias("pc"), F.col("size").alias("m"), F.col("at").alias("i"))
@@ -143,13 +167,14 @@ def _cross_pairs(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, rows: int = 4, most_bits: int = 1 << 27) -> DataFrame:
     """Components of documents whose shingle sets A, B have 100 * |A and B| >= ``percent`` * |A or B|.
 
     Returns one row per document: the id column, ``n_shingles``, ``component_id`` (the least id reachable by
     links, itself included) and ``kept`` (it is that id).  A-Z is lower-cased; words are separated by ASCII
     white space; a text of fewer words than a shingle is one shingle.  ``rows``: values in a band.  Shingles
-    are compared as 64-bit hashes.
+    are compared as 64-bit hashes.  ``most_bits``: size of the bitmap that keeps the sets of documents in no
+    shared bucket from being shuffled.
 
     Defined cases: a null or empty text has an empty set, which links with nothing; rows of one id are one
     node of the graph, linked by what any of their texts links to; a null id links with nothing, has no
@@ -166,19 +191,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ids = linked.groupBy("id").agg(F.min("print").alias("p"), F.max("print").alias("q")).filter("p <> q").select("id")
     twins = linked.join(ids, "id").select("id", "print").join(classes.select("print", "rep"), "print").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    rows_of = classes.select(F.explode("keys").alias("key"), "rep", "print")
+    rows_of = classes.select(F.explode("keys").alias("key"), "rep")
     buckets = rows_of.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialise(rows_of.join(buckets, "key"), "near-members")
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = members.join(weights, "rep")
-    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("weight", F.xxhash64("print"))).alias("hub"))
-    members = materialise(members.join(hubs, "key").select("key", "rep", "print", "n", "hub"), "near-hubs")
-
-    # sets of those in shared buckets, from one row of each class
-    involved = members.select("rep", "print").distinct()
-    texts = source.join(involved.select(F.col("rep").alias("id"), F.col("print").alias("print")), "id")
-    sets = texts.select("id", "text").mapInArrow(_sets(shingle), "id bigint, set array<bigint>")
-    sets = materialise(sets.groupBy("id").agg(F.any_value("set").alias("set")), "near-sets")
+    hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("weight", F.xxhash64("rep"))).alias("hub"))
+    members = materialise(members.join(hubs, "key").select("key", "rep", "n", "hub"), "near-hubs")
+
+    # sets of those in shared buckets: all of a node's, if rows of its id differ
+    involved = materialise(members.select(F.col("rep").alias("id")).distinct(), "near-involved")
+    bits, bitmap = _bitmap(involved, most_bits)
+    texts = source.filter("id is not null").withColumn("spot", _spot(bits))
+    sets = texts.mapInArrow(_sets(shingle, docs.sparkSession.sparkContext.broadcast(bitmap)), "id bigint, print binary, set array<bigint>")
+    sets = sets.filter(F.size("set") > 0).join(involved, "id", "left_semi")
+    sets = materialise(sets.groupBy("id", "print").agg(F.any_value("set").alias("set")), "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")

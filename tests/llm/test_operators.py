@@ -114,6 +114,17 @@ def test_near_duplicates_by_brute_force(spark, docs, empty, n, percent, rows):
     assert near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    """An id's rows are one node, linked by any of its texts; a full bitmap changes nothing."""
+    rng = random.Random(9)
+    a, b, c = (prose(60, rng) for _ in range(3))
+    rows = [(1, a), (1, b), (1, b), (2, a + " tail"), (3, b + " tail"), (4, c), (5, c + " tail"), (6, prose(60, rng))]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6}
+    for bits in (1, 1 << 27):
+        assert {r["doc_id"]: r["component_id"] for r in near_duplicates(table, most_bits=bits).collect()} == want
+
+
 def test_near_duplicates_of_groups_not_quite_alike(spark):
     """Copies of one text with more and more words changed: some link to it, some to one another, some to none."""
     rng = random.Random(3)
