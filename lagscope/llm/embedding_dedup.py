@@ -8,14 +8,16 @@
    joins every ball's neighbours with one another and keeps the nearest of each.  The distance
    of balls is the angle of their leaders less both radii.
 3. A list that is full of links is saturated: its length doubles and the descent goes on.
-4. A sample is compared with all balls by brute force; while its recall is below the target,
-   more projection orders and longer lists are taken.
+4. A fresh sample of balls is compared with all balls by brute force, and grows until enough links
+   are found or every ball has been compared; while its recall, over links or over balls, is below
+   the target, more projection orders and longer lists are taken.
 5. Balls within the link angle are edges.  Their members' links are counted by bounds where
    these decide and by cosine in double precision where they don't.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,14 @@ from pyspark.sql import functions as F
 from .common import materialise, shuffle_width
 from .graph import components
 
+log = logging.getLogger(__name__)
+
 #: Rows that are compared with one another in a projection order.
 CHUNK = 256
 #: Radians by which single precision may mistake an angle, and by which bounds must hold.
 SLACK, MARGIN = 2e-3, 1e-6
+#: Bytes of vectors that a brute-force block broadcasts at most, its rows compared at a time, and places of a draw.
+BLOCK_BYTES, QUERIES, PLACES = 16 << 20, 512, 1 << 40
 
 _NODE = "rid bigint, dim int, vec binary, radius double"
 
@@ -170,18 +176,23 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _brute(shared, reach: float):
-    """Nodes within ``reach`` of the sampled ones: (u, v)."""
+    """Nodes within ``reach`` of the shared ones: (u, v)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sample = shared.value
+        block = shared.value
         for batch in batches:
             dims = batch.column("dim").to_numpy()
-            for d, (ids, vecs, radii) in sample.items():
+            for d, (ids, vecs, radii) in block.items():
                 here = np.flatnonzero(dims == d)
                 if len(here):
                     v, r, own = _matrix(batch.column("vec").take(pa.array(here))), batch.column("radius").to_numpy()[here], batch.column("rid").to_numpy()[here]
-                    a, b = np.nonzero((_angles(vecs, v) - radii[:, None] - r <= reach) & (ids[:, None] != own))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(own[b])], names=["u", "v"])
+                    for i in range(0, len(ids), QUERIES):
+                        q, q_ids, q_radii = vecs[i : i + QUERIES], ids[i : i + QUERIES], radii[i : i + QUERIES]
+                        cosine = q @ v.T
+                        # the widest radii decide which angles are worth taking
+                        a, b = np.nonzero(cosine >= np.cos(min(np.pi, reach + q_radii.max() + r.max() + MARGIN)))
+                        near = (np.arccos(np.clip(cosine[a, b], -1, 1)) - q_radii[a] - r[b] <= reach) & (q_ids[a] != own[b])
+                        yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[near]]), pa.array(own[b[near]])], names=["u", "v"])
 
     return task
 
@@ -204,6 +215,10 @@ class _Descent:
         self.sizes = nodes.select("rid", F.lit(k).alias("k"))
         self.light = materialise(nodes.select("rid", "vec", "radius").mapInArrow(_to_single, "rid bigint, vec binary, radius double"), "descent-nodes")
         self.edges: DataFrame | None = None
+        self.n, self.widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+        # links found by brute force, and the nodes all of whose links are among them
+        self.proved: list[DataFrame] = []
+        self.compared, self.draws = F.lit(False), 0
 
     def _kept(self, found: DataFrame) -> DataFrame:
         """The nearest of each list; ``fresh``: not joined yet."""
@@ -256,20 +271,51 @@ class _Descent:
 
     def links(self, reach: float) -> DataFrame:
         near = self.edges.filter(F.col("d") <= reach).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        for x in self.proved:
+            near = near.union(x.select(F.least("u", "v"), F.greatest("u", "v")))
         return near.distinct()
 
-    def recall(self, reach: float, sample: int) -> float:
-        """Share of the links of a sample of nodes, found by brute force, that are in the lists."""
-        rows = self.nodes.orderBy(F.xxhash64("rid", F.lit(3))).limit(sample).collect()
-        by: dict[int, list] = {}
-        for x in rows:
-            by.setdefault(x["dim"], []).append(x)
-        shared = {d: (np.array([x["rid"] for x in own]), np.stack([np.frombuffer(x["vec"]) for x in own]), np.array([x["radius"] for x in own])) for d, own in by.items()}
-        true = self.nodes.mapInArrow(_brute(self.nodes.sparkSession.sparkContext.broadcast(shared), reach), "u bigint, v bigint")
-        true = true.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        seen = true.join(self.links(reach + SLACK).withColumn("seen", F.lit(1)), ["a", "b"], "left")
-        n, found = seen.agg(F.count("*"), F.count("seen")).first()
-        return found / n if n else 1.0
+    def _blocks(self, nodes: DataFrame, n: int, first: int, reach: float) -> Iterator[tuple[DataFrame, Column]]:
+        """Freshly drawn blocks of ``nodes``, about ``first`` and then twice as many each time, against all nodes:
+        the links (u, v) of a block, and which nodes have been drawn up to then; the last block ends the nodes."""
+        self.draws += 1
+        place = F.pmod(F.xxhash64("rid", F.lit(self.draws)), F.lit(PLACES))
+        low, size, most = 0, first, max(QUERIES, BLOCK_BYTES // (8 * self.widest))
+        while low < PLACES:
+            high = min(PLACES, low + max(1, min(size, most) * PLACES // max(1, n)))
+            by: dict[int, list] = {}
+            for x in nodes.filter((place >= low) & (place < high)).collect():
+                by.setdefault(x["dim"], []).append(x)
+            block = {d: (np.array([x["rid"] for x in own]), np.stack([np.frombuffer(x["vec"]) for x in own]), np.array([x["radius"] for x in own])) for d, own in by.items()}
+            shared = self.nodes.sparkSession.sparkContext.broadcast(block)
+            true = materialise(self.nodes.mapInArrow(_brute(shared, reach + MARGIN), "u bigint, v bigint"), "descent-true")
+            shared.destroy()
+            yield true, place < high
+            low, size = high, 2 * size
+
+    def audit(self, reach: float, sample: int, enough: int) -> float:
+        """Share of the true links of sampled nodes that are in the lists: over links or over nodes, the less.
+
+        The sample is a fresh one, of ``sample`` nodes at first, and grows until brute force has found ``enough``
+        links at its nodes.  If that takes all nodes, every link is known, and the share is 1.  What brute force
+        finds stays known.
+        """
+        known = materialise(self.links(reach + SLACK).withColumn("hit", F.lit(1)), "descent-known")
+        n = found = nodes = shares = 0
+        proved, drawn = [], F.lit(False)
+        for true, drawn in self._blocks(self.nodes, self.n, sample, reach):
+            proved.append(true)
+            seen = true.select("u", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).join(known, ["a", "b"], "left")
+            x = seen.groupBy("u").agg(F.count("*").alias("n"), F.count("hit").alias("found")).agg(F.sum("n"), F.sum("found"), F.count("*"), F.sum(F.col("found") / F.col("n"))).first()
+            n, found, nodes, shares = n + (x[0] or 0), found + (x[1] or 0), nodes + x[2], shares + (x[3] or 0.0)
+            if n >= max(1, enough):
+                break
+        else:
+            found, shares = n, nodes
+        self.proved += proved
+        self.compared = self.compared | drawn
+        log.info("audit %d: %d links at %d of %d balls, %d known, mean share %.4f", self.draws, n, nodes, self.n, found, shares / nodes if nodes else 1.0)
+        return min(found / n, shares / nodes) if n else 1.0
 
 
 def _to_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,12 +324,13 @@ def _to_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(vecs, pa.binary()), batch.column("radius")], names=["rid", "vec", "radius"])
 
 
-def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, neighbours: int = 8, orders: int = 6, target_recall: float = 0.98, sample: int = 512, most_audits: int = 4) -> DataFrame:
+def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, neighbours: int = 8, orders: int = 6, target_recall: float = 0.98, sample: int = 512, audit_links: int = 1000, most_audits: int = 4) -> DataFrame:
     """Links of vectors with a cosine of ``cosine`` or more, and the components they make.
 
     Returns one row per vector: the id column, ``n_links`` (other vectors linked with it), ``component_id``
     (the least id reachable by links, itself included) and ``kept`` (it is that id).  No pair below the
-    threshold is linked; the share of pairs found is audited against ``target_recall`` on ``sample`` nodes.
+    threshold is linked; the share of pairs found is audited against ``target_recall`` on ``sample`` balls or
+    more, until their links number ``audit_links`` or all balls are compared.
 
     Defined cases: a vector that is null, empty or zero, or holds null or non-finite components, links with
     nothing and is its own component; vectors of different lengths do not link; equal ids are separate
@@ -312,7 +359,7 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
         search.refine(8, 0.002)
         while search.widen(angle + SLACK):
             search.refine(8, 0.002)
-        if search.recall(angle, sample) >= target_recall:
+        if search.audit(angle, sample, audit_links) >= target_recall:
             break
         search.sizes = search.sizes.select("rid", (2 * F.col("k")).cast("int").alias("k"))
         search.seed(orders, 4 * neighbours)

@@ -296,6 +296,25 @@ def test_embeddings_by_brute_force(spark):
     assert empty.count() == 0
 
 
+def pairs_apart(n, singles, cosine=0.92, d=32, seed=3):
+    """``n`` pairs of about this cosine, which link with nothing else, and single vectors."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n + singles, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.standard_normal((n, d))
+    y -= (y * x[:n]).sum(1, keepdims=True) * x[:n]
+    y = cosine * x[:n] + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    return [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+
+
+def test_embeddings_of_rare_links(spark):
+    """A sample that meets no link is no evidence that none is missing."""
+    rows = pairs_apart(12, 1500)
+    got = linked_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), orders=1, neighbours=1, sample=8, most_audits=1).collect()
+    assert {r["vec_id"] for r in got if r["n_links"] == 1} == {*range(12), *range(1512, 1524)}
+    assert all(r["component_id"] == r["vec_id"] - 1512 for r in got if r["vec_id"] >= 1512)
+
+
 URLS = [
     (1, None), (2, ""), (3, "no scheme"), (4, "http://Www.Example.ORG/es/1?q=/a"), (5, "http://example.org/en/12.html"), (6, "http://example.org/en/22"), (7, "https://a.com/fr/1#x"), (8, "https://a.com/de/"),
     (9, "https://notorg/x"), (10, "https://b.net"), (11, "https://b.net?x"), (12, "://"), (13, "http://example.org/es/1"), (13, "http://example.org/es/1"), (None, "http://c.net/" + "deep/" * 30 + "9"), (15, "http://ab.com/x/http://d.org/"),
