@@ -10,7 +10,8 @@
 3. A list that is full of links is saturated: its length doubles and the descent goes on.
 4. A fresh sample of balls is compared with all balls by brute force, and grows until enough links
    are found or every ball has been compared; while its recall, over links or over balls, is below
-   the target, more projection orders and longer lists are taken.
+   the target, more projection orders and longer lists are taken.  If audits keep failing, or one
+   doesn't halve the share that is missing, brute force compares the balls that no audit has.
 5. Balls within the link angle are edges.  Their members' links are counted by bounds where
    these decide and by cosine in double precision where they don't.
 """
@@ -317,6 +318,15 @@ class _Descent:
         log.info("audit %d: %d links at %d of %d balls, %d known, mean share %.4f", self.draws, n, nodes, self.n, found, shares / nodes if nodes else 1.0)
         return min(found / n, shares / nodes) if n else 1.0
 
+    def complete(self, reach: float) -> None:
+        """Compare what no audit has compared with all nodes; then every link is known."""
+        rest = materialise(self.nodes.filter(~self.compared), "descent-rest")
+        n = rest.count()
+        log.info("brute force for the %d of %d balls not compared yet", n, self.n)
+        most = max(QUERIES, BLOCK_BYTES // (8 * self.widest))
+        self.proved += [true for true, _ in self._blocks(rest, n, most, reach)]
+        self.compared = F.lit(True)
+
 
 def _to_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -330,7 +340,8 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     Returns one row per vector: the id column, ``n_links`` (other vectors linked with it), ``component_id``
     (the least id reachable by links, itself included) and ``kept`` (it is that id).  No pair below the
     threshold is linked; the share of pairs found is audited against ``target_recall`` on ``sample`` balls or
-    more, until their links number ``audit_links`` or all balls are compared.
+    more, until their links number ``audit_links`` or all balls are compared.  If ``most_audits`` audits fail,
+    or one finds more than half as much missing as the one before, all balls are compared: no link is missed.
 
     Defined cases: a vector that is null, empty or zero, or holds null or non-finite components, links with
     nothing and is its own component; vectors of different lengths do not link; equal ids are separate
@@ -355,14 +366,19 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
 
     search = _Descent(nodes, neighbours)
     search.seed(orders, neighbours)
-    for _ in range(most_audits):
+    reached = 0.0
+    for i in range(most_audits):
         search.refine(8, 0.002)
         while search.widen(angle + SLACK):
             search.refine(8, 0.002)
-        if search.audit(angle, sample, audit_links) >= target_recall:
+        before, reached = reached, search.audit(angle, sample, audit_links)
+        if reached >= target_recall or (i and 1 - reached > (1 - before) / 2):
             break
-        search.sizes = search.sizes.select("rid", (2 * F.col("k")).cast("int").alias("k"))
-        search.seed(orders, 4 * neighbours)
+        if i + 1 < most_audits:
+            search.sizes = search.sizes.select("rid", (2 * F.col("k")).cast("int").alias("k"))
+            search.seed(orders, 4 * neighbours)
+    if reached < target_recall:
+        search.complete(angle)
 
     full = materialise(valid.select("rid", "id", "vec").join(member, "rid"), "ball-vectors")
     balls = full.groupBy("ball").agg(F.count("*").alias("size"), F.min("id").alias("least"))

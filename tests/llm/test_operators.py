@@ -315,6 +315,14 @@ def test_embeddings_of_rare_links(spark):
     assert all(r["component_id"] == r["vec_id"] - 1512 for r in got if r["vec_id"] >= 1512)
 
 
+@pytest.mark.parametrize("most_audits", [1, 3])
+def test_embeddings_where_audits_fail(spark, most_audits):
+    """Links that the search misses are found by brute force when audits end below the target."""
+    rows = pairs_apart(300, 900)
+    got = linked_embeddings(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), orders=1, neighbours=1, sample=64, audit_links=20, target_recall=1.01, most_audits=most_audits).collect()
+    assert {r["vec_id"] for r in got if r["n_links"] == 1} == {*range(300), *range(1200, 1500)}
+
+
 URLS = [
     (1, None), (2, ""), (3, "no scheme"), (4, "http://Www.Example.ORG/es/1?q=/a"), (5, "http://example.org/en/12.html"), (6, "http://example.org/en/22"), (7, "https://a.com/fr/1#x"), (8, "https://a.com/de/"),
     (9, "https://notorg/x"), (10, "https://b.net"), (11, "https://b.net?x"), (12, "://"), (13, "http://example.org/es/1"), (13, "http://example.org/es/1"), (None, "http://c.net/" + "deep/" * 30 + "9"), (15, "http://ab.com/x/http://d.org/"),
