@@ -1,7 +1,7 @@
 """URL filters: written rules first, then a tree of path templates for each host.
 
-A host's paths make a tree of segments.  Level by level, segments that are not frequent
-under their parent become a wildcard (which keeps the file extension).  Sibling branches
+A host's paths make a tree of segments.  Level by level, until no segments are left, those
+that very few rows have become a wildcard (which keeps the file extension).  Sibling branches
 whose labels do not differ significantly from those of all siblings together are merged
 into a wildcard, from the deepest level up.  A template is rejected if its purity, the
 share of good labels smoothed towards its host's and the whole table's, is low.
@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialise
 
-#: Segments of a path that are told apart; what follows them is one wildcard.
-DEPTH = 6
 WILD = "*"
 
 
@@ -40,27 +38,31 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
-def path_templates(pages: DataFrame, share: float = 0.05, least: int = 3) -> DataFrame:
+def path_templates(pages: DataFrame, least: int = 3) -> DataFrame:
     """Adds ``template``, an array of segments, to rows with ``host`` and ``path``.
 
-    A segment stays as it is if at least ``least`` rows and this share of those under its parent have it.
+    A segment stays as it is if at least ``least`` rows have it under its parent.  Under a parent of fewer rows no
+    segment can, so all that follow become wildcards at once: long paths take rounds only where rows share them.
     """
-    segments = F.filter(F.split("path", "/"), lambda x: x != "")
-    rows = pages.withColumns({"segments": F.slice(segments, 1, DEPTH), "deep": F.size(segments) > DEPTH, "template": F.array().cast("array<string>")})
-    for d in range(DEPTH):
+    rows = pages.withColumns({"segments": F.filter(F.split("path", "/"), lambda x: x != ""), "template": F.array().cast("array<string>")})
+    wild = lambda x: F.concat(F.lit(WILD), F.regexp_extract(x, r"\.[A-Za-z][A-Za-z0-9]{0,4}$", 0))
+    d = 0
+    while not rows.filter(F.size("segments") > d).isEmpty():
         rows = rows.withColumn("segment", F.get("segments", F.lit(d)))
         counts = rows.filter("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
-        parents = counts.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        literal = counts.join(parents, ["host", "template"]).filter((F.col("n") >= least) & (F.col("n") >= share * F.col("all")))
-        literal = literal.select(F.col("host").alias("l_host"), F.col("template").alias("l_template"), F.col("segment").alias("l_segment"))
-        on = (F.col("host") == F.col("l_host")) & (F.col("template") == F.col("l_template")) & (F.col("segment") == F.col("l_segment"))
-        wild = F.concat(F.lit(WILD), F.regexp_extract("segment", r"\.[A-Za-z][A-Za-z0-9]{0,4}$", 0))
-        named = F.when(F.col("l_segment").isNotNull(), F.col("segment")).otherwise(wild)
-        rows = rows.join(literal, on, "left").withColumn("template", F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.array(named)))).drop("l_host", "l_template", "l_segment", "segment")
-        rows = materialise(rows, "url-level")
-        if rows.filter(F.size("segments") > d + 1).isEmpty():
-            break
-    return rows.withColumn("template", F.when(F.col("deep"), F.concat("template", F.array(F.lit("**")))).otherwise(F.col("template"))).drop("segments", "deep")
+        shared = counts.groupBy("host", "template").agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
+        shared = shared.select(F.col("host").alias("s_host"), F.col("template").alias("s_template"))
+        literal = counts.filter(F.col("n") >= least).select(F.col("host").alias("l_host"), F.col("template").alias("l_template"), F.col("segment").alias("l_segment"))
+        rows = rows.join(shared, (F.col("host") == F.col("s_host")) & (F.col("template") == F.col("s_template")), "left")
+        rows = rows.join(literal, (F.col("host") == F.col("l_host")) & (F.col("template") == F.col("l_template")) & (F.col("segment") == F.col("l_segment")), "left")
+        named = F.when(F.col("l_segment").isNotNull(), F.col("segment")).otherwise(wild(F.col("segment")))
+        alone = F.col("s_host").isNull()
+        template = F.when(F.col("segment").isNull(), F.col("template")).when(alone, F.concat("template", F.transform(F.slice("segments", d + 1, F.size("segments")), wild))).otherwise(F.concat("template", F.array(named)))
+        # a row that is alone has no segments left
+        left = F.when(F.col("segment").isNotNull() & alone, F.slice("segments", 1, d)).otherwise(F.col("segments"))
+        rows = materialise(rows.select(*pages.columns, left.alias("segments"), template.alias("template")), "url-level")
+        d += 1
+    return rows.drop("segments")
 
 
 def merged_templates(counts: DataFrame, z: float = 1.96) -> DataFrame:
@@ -70,8 +72,10 @@ def merged_templates(counts: DataFrame, z: float = 1.96) -> DataFrame:
     good labels lies more than ``z`` standard errors from that of all siblings together.
     """
     rows = counts.withColumn("merged", F.col("template"))
-    for d in range(DEPTH, 0, -1):
-        wild = F.when(F.size("merged") >= d, F.concat(F.slice("merged", 1, d - 1), F.array(F.lit(WILD)), F.slice("merged", d + 1, DEPTH + 1))).otherwise(F.col("merged"))
+    # levels at which a template has more than a wildcard; at others nothing can merge
+    levels = counts.select(F.posexplode("template").alias("at", "segment")).filter(F.col("segment") != WILD).select("at").distinct().collect()
+    for d in sorted((x["at"] + 1 for x in levels), reverse=True):
+        wild = F.when(F.size("merged") >= d, F.concat(F.slice("merged", 1, d - 1), F.array(F.lit(WILD)), F.slice("merged", d + 1, F.size("merged")))).otherwise(F.col("merged"))
         branches = rows.groupBy("host", "merged").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).withColumn("wild", wild)
         pools = branches.groupBy("host", "wild").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
         n, p = F.col("g") + F.col("b"), F.try_divide("pg", F.col("pg") + F.col("pb"))

@@ -358,6 +358,18 @@ def test_url_templates(spark):
     assert got[61]["template"] == "/spam/*" or got[61]["template"] == "/spam/*.html"
 
 
+def test_url_templates_of_wide_and_deep_hosts(spark):
+    """One bad section among 25 of equal size, and one below eight segments, are told apart."""
+    deep = "a/b/c/d/e/f/g/"
+    pages = [(i, f"http://wide.net/s{i % 25}/{i}") for i in range(1000)] + [(1000 + i, f"http://deep.net/{deep}{'bad' if i % 10 == 0 else 'good'}/{1000 + i}") for i in range(300)]
+    pages.append((5000, "http://deep.net/" + "x/" * 400 + "5000"))
+    labels = [(i, int(i % 25 != 7), 0) for i in range(0, 1000) if i % 3] + [(1000 + i, int(i % 10 != 0), 0) for i in range(250)]
+    got = {r["page_id"]: r for r in judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()}
+    assert len(got) == 1301
+    assert {i for i in range(1000) if got[i]["verdict"] == "block"} == {i for i in range(1000) if i % 25 == 7}
+    assert {i for i in range(300) if got[1000 + i]["verdict"] == "block"} == {i for i in range(300) if i % 10 == 0}
+
+
 def test_level_and_kth(spark):
     assert level_between(np.array([0.0, 1.0, 5.0, 6.0]), np.array([0, 0, 1, 1])) == 3.0
     assert level_between(np.array([1.0]), np.array([1])) == -np.inf
