@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import months
+from .classify import differs_two_sided
 from .frontier import strict_records
 
 
@@ -61,3 +62,27 @@ def pooled_medians(points: DataFrame, access: Column) -> DataFrame:
     pool = points.filter("accepted").withColumn("access", access).filter("access is not null")
     sets = pool.groupingSets([[], ["access"]], "access")
     return sets.agg(F.median("gap_months").alias("median_gap_months"), F.count("*").alias("n_datapoints"), F.countDistinct("benchmark_id").alias("n_benchmarks"), F.grouping("access").alias("is_overall")).select(F.when(F.col("is_overall") == 1, "overall").otherwise(F.col("access")).alias("pool"), "median_gap_months", "n_datapoints", "n_benchmarks")
+
+
+def level_grid(front: DataFrame, n: int = 100) -> DataFrame:
+    """``benchmark_id``, ``i`` and ``level``: ``n`` equally spaced levels that the frontiers of both groups span."""
+    ends = front.groupBy("benchmark_id", "is_laggard").agg(F.min("score").alias("a"), F.max("score").alias("z")).groupBy("benchmark_id").agg(F.max("a").alias("a"), F.min("z").alias("z"))
+    level = lambda i: F.struct(i.alias("i"), (F.col("a") + i * ((F.col("z") - F.col("a")) / (n - 1))).alias("level"))
+    return ends.select("benchmark_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), level)).alias("l")).select("benchmark_id", "l.i", "l.level")
+
+
+def level_matches(front: DataFrame, n: int = 100) -> DataFrame:
+    """For each level its first leader, and the earliest laggard at the level or not significantly below that leader.
+
+    The test is two-sided.  A missing deviation leaves no significant difference; without any spread every
+    difference is significant.  Of leaders of one day the best counts, then the least model.
+    """
+    grid = level_grid(front, n)
+    leaders = grid.join(front.filter("not is_laggard"), "benchmark_id").filter("score >= level")
+    first = F.min_by(F.struct("date", "score", "score_std"), F.struct("date", -F.col("score"), "model")).alias("lead")
+    leaders = leaders.groupBy("benchmark_id", "i", "level").agg(first)
+    laggards = front.filter("is_laggard").select("benchmark_id", "date", "score", "score_std")
+    known = F.col("score_std").isNotNull() & F.col("lead.score_std").isNotNull()
+    lower = known & differs_two_sided(F.col("score"), F.col("score_std"), F.col("lead.score"), F.col("lead.score_std"))
+    pairs = leaders.join(laggards, "benchmark_id").filter((F.col("score") >= F.col("level")) | ~lower)
+    return pairs.groupBy("benchmark_id", "i", "level").agg(F.first("lead.date").alias("lead_date"), F.min("date").alias("lag_date"))

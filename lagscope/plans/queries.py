@@ -556,19 +556,11 @@ def source_hash(spark, sf):
 # the older notebook's variants
 
 
-def _levels(spark, sf):
-    f = frontier(orders(spark, sf).withColumn("score_std", F.lit(None).cast("double")))
-    low_high = f.groupBy("benchmark_id", "is_laggard").agg(F.min("score").alias("a"), F.max("score").alias("z")).groupBy("benchmark_id").agg(F.max("a").alias("a"), F.min("z").alias("z"))
-    levels = low_high.select("benchmark_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.struct(i.alias("i"), (F.col("a") + i * ((F.col("z") - F.col("a")) / 99)).alias("level")))).alias("l")).select("benchmark_id", "l.i", "l.level")
-    hits = levels.join(f, "benchmark_id").filter("score >= level")
-    first = lambda side: F.min(F.when(side, F.col("date")))
-    return hits.groupBy("benchmark_id", "i", "level").agg(first(~F.col("is_laggard")).alias("lead_date"), first(F.col("is_laggard")).alias("lag_date"))
-
-
 @query
 def notebook_horizontal_levels(spark, sf):
     """The gap at 100 levels between both frontiers, in months of 30.5 days."""
-    return _levels(spark, sf).filter("lead_date is not null and lag_date is not null").select("benchmark_id", F.col("i").cast("bigint").alias("i"), _r("level", 4), _r(F.datediff("lag_date", "lead_date") / F.lit(30.5), 6, "gap_months"))
+    m = thresholds.level_matches(front(spark, sf))
+    return m.select("benchmark_id", F.col("i").cast("bigint").alias("i"), _r("level", 4), _r(F.datediff("lag_date", "lead_date") / F.lit(30.5), 6, "gap_months"))
 
 
 @query

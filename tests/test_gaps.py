@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lagscope.operators import match, smooth, spine, survival, thresholds, trend
 from lagscope.operators.frontier import cumulative_rank, frontier, records_with_baseline, strict_records
+from lagscope.plans import queries
 
 SCHEMA = "benchmark_id string, model string, date date, score double, score_std double, is_laggard boolean"
 
@@ -214,3 +215,48 @@ def test_empty_and_one_sided(spark):
         assert spine.daily_gap(f).count() == 0 and trend.trend_gap(f).count() == 0 and trend.lag_bracket(f).count() == 0
         assert thresholds.threshold_datapoints(df, as_of()).count() == 0
         assert spine.statistics(f, match.first_catchup(f, as_of()), spine.gap_metrics(spine.daily_gap(f))).filter("avg_gap_months <> 0").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_level_matches_by_brute_force(spark, seed):
+    """As in the notebook, without its pruning: at the level, or not significantly below its first leader."""
+    rng = random.Random(seed)
+    rows = []
+    for g, shift in (("R", 0), ("L", -4)):
+        for day in range(12):
+            rows.append((g, float(2 * day + shift + rng.randint(0, 3)), f"2024-{day + 1:02d}-{rng.randint(1, 28):02d}", rng.choice([None, 0.0, 0.0, 1.0, 2.0] if seed else [0.0, 1.0, 2.0])))
+    front = frontier(frame(spark, *rows))
+    f = sorted(((r["date"], -r["score"], r["model"], r["score"], r["score_std"], r["is_laggard"]) for r in front.collect()), key=lambda r: r[:3])
+    lead, lag = [r for r in f if not r[5]], [r for r in f if r[5]]
+
+    def lower(a, b):
+        if a[4] is None or b[4] is None:
+            return False
+        se = (a[4] ** 2 + b[4] ** 2) ** 0.5
+        return abs(a[3] - b[3]) > (1.959963984540054 * se if se else 0)
+
+    low, high = max(min(r[3] for r in x) for x in (lead, lag)), min(max(r[3] for r in x) for x in (lead, lag))
+    want, plain = {}, {}
+    for i in range(100):
+        level = low + i * ((high - low) / 99)
+        top = next((r for r in lead if r[3] >= level), None)
+        match_ = top and next((r for r in lag if r[3] >= level or not lower(r, top)), None)
+        if match_:
+            want[i] = (top[0], match_[0])
+        at = top and next((r for r in lag if r[3] >= level), None)
+        if at:
+            plain[i] = (top[0], at[0])
+    assert {r["i"]: (r["lead_date"], r["lag_date"]) for r in thresholds.level_matches(front).collect()} == want
+    assert want != plain
+
+
+def test_query_of_levels_uses_the_test(spark):
+    """Gaps are never longer than by scores alone, and at some level shorter."""
+    sf = "/root/testdata/sf0.01"
+    front = queries.front(spark, sf)
+    at = thresholds.level_grid(front).join(front, "benchmark_id").filter("score >= level").groupBy("benchmark_id", "i")
+    at = at.agg(F.min(F.when(~F.col("is_laggard"), F.col("date"))).alias("lead"), F.min(F.when(F.col("is_laggard"), F.col("date"))).alias("lag"))
+    plain = {(r["benchmark_id"], r["i"]): round((r["lag"] - r["lead"]).days / 30.5, 6) for r in at.filter("lag is not null").collect()}
+    tested = {(r["benchmark_id"], r["i"]): r["gap_months"] for r in queries.queries()["notebook_horizontal_levels"](spark, sf).collect()}
+    assert plain.keys() <= tested.keys() and all(tested[k] <= plain[k] for k in plain)
+    assert any(tested[k] < plain[k] for k in plain)
