@@ -63,6 +63,35 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of one key that a task should get of it at least, before they are dealt to several, and keys so dealt at most.
+HOT_ROWS, HOT_KEYS = 256, 100_000
+
+
+def hot_keys(counts: DataFrame, key: str) -> DataFrame:
+    """From ``key`` and ``n``, its rows: the keys of many rows, with the number of ``pieces`` to deal them in.
+
+    What is many grows with the sum of all n, so that there are ``HOT_KEYS`` such keys at most: few enough to broadcast.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    many = max(HOT_ROWS, total // HOT_KEYS)
+    return counts.filter(F.col("n") > many).select(F.col(key).alias("hot_key"), F.expr(f"int(least(n div {many} + 1, 1 << 20))").alias("pieces"))
+
+
+def dealt(rows: DataFrame, key: str, hot: DataFrame, by: list[str]) -> DataFrame:
+    """Adds ``piece``: which of its key's pieces a row belongs to, by a hash of ``by``; null keys, which meet
+    nothing, are dealt to all tasks."""
+    few = F.broadcast(hot)
+    pieces = F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(F.coalesce("pieces", F.lit(1)))
+    return rows.join(few, F.col(key) == F.col("hot_key"), "left").withColumn("piece", F.pmod(F.xxhash64(*by), pieces).cast("int")).drop("hot_key", "pieces")
+
+
+def copied(rows: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """A copy of each row for every ``piece`` of its key, to be joined with ``dealt`` rows on the key and the piece."""
+    few = F.broadcast(hot)
+    pieces = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("pieces"), F.lit(1)) - 1))
+    return rows.join(few, F.col(key) == F.col("hot_key"), "left").withColumn("piece", pieces).drop("hot_key", "pieces")
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Hand whole texts to Python tasks in Arrow batches of fewer rows than the default, for this session; a
     smaller setting stays."""

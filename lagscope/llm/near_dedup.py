@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
+from .common import Rolling, Words, copied, dealt, hot_keys, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
 from .decontamination import gram_hashes
 from .graph import components
 
@@ -155,15 +155,17 @@ def _cross_pairs(alive: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     they share, at positions i and j, at most min(m - i, n - j) shingles are left to share.
     """
     shingles = alive.join(sets.withColumnRenamed("id", "rep"), "rep").select("rep", "print", "c", "other", F.size("set").alias("size"), F.explode("set").alias("shingle"))
-    common = shingles.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = shingles.join(common, "shingle").groupBy("rep", "print", "c", "other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
+    common = materialise(shingles.groupBy("shingle").agg(F.count("*").alias("n")), "near-shingles")
+    hot = materialise(hot_keys(common, "shingle"), "near-hot")
+    counted = dealt(shingles, "shingle", hot, ["rep"]).join(copied(common.withColumnRenamed("n", "df"), "shingle", hot), ["shingle", "piece"])
+    ranked = counted.groupBy("rep", "print", "c", "other", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("all"))
     first = F.slice("all", F.lit(1), F.col("size") - F.expr(f"(size * {percent} + 99) div 100").cast("int") + 1)
     prefix = materialise(ranked.select("rep", "c", "other", "size", F.posexplode(first).alias("at", "x")).select("rep", "c", "other", "size", "at", "x.shingle", "x.df").filter("df > 1"), "near-prefixes")
-    p = prefix.filter("other").select("shingle", F.col("rep").alias("p"), F.col("c").alias("pc"), F.col("size").alias("m"), F.col("at").alias("i"))
-    q = prefix.select("shingle", F.col("rep").alias("q"), F.col("c").alias("qc"), F.col("size").alias("n"), F.col("at").alias("j"))
+    p = copied(prefix.filter("other"), "shingle", hot).select("shingle", "piece", F.col("rep").alias("p"), F.col("c").alias("pc"), F.col("size").alias("m"), F.col("at").alias("i"))
+    q = dealt(prefix, "shingle", hot, ["rep"]).select("shingle", "piece", F.col("rep").alias("q"), F.col("c").alias("qc"), F.col("size").alias("n"), F.col("at").alias("j"))
     most = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
     reachable = (100 + percent) * most >= percent * (F.col("m") + F.col("n"))
-    both = p.join(q, (p["shingle"] == q["shingle"]) & (F.col("pc") != F.col("qc")) & reachable)
+    both = p.join(q, (p["shingle"] == q["shingle"]) & (p["piece"] == q["piece"]) & (F.col("pc") != F.col("qc")) & reachable)
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
@@ -186,18 +188,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     signed = materialise(source.mapInArrow(_signatures(shingle, bands, rows), "id bigint, n bigint, print binary, keys array<bigint>"), "near-signatures")
 
     linked = signed.filter("n > 0 and id is not null")
-    classes = materialise(linked.groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys")), "near-classes")
+    classes = materialise(linked.groupBy("print").agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.count("*").alias("n")), "near-classes")
     # rows of one id with different sets are one node
     ids = linked.groupBy("id").agg(F.min("print").alias("p"), F.max("print").alias("q")).filter("p <> q").select("id")
     twins = linked.join(ids, "id").select("id", "print").join(classes.select("print", "rep"), "print").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
     rows_of = classes.select(F.explode("keys").alias("key"), "rep")
-    buckets = rows_of.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(rows_of.join(buckets, "key"), "near-members")
+    buckets = materialise(rows_of.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "near-buckets")
+    hot = materialise(hot_keys(buckets, "key"), "near-hot")
+    members = materialise(dealt(rows_of, "key", hot, ["rep"]).join(copied(buckets, "key", hot), ["key", "piece"]), "near-members")
     weights = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = members.join(weights, "rep")
     hubs = members.groupBy("key").agg(F.max_by("rep", F.struct("weight", F.xxhash64("rep"))).alias("hub"))
-    members = materialise(members.join(hubs, "key").select("key", "rep", "n", "hub"), "near-hubs")
+    members = materialise(members.join(copied(hubs, "key", hot), ["key", "piece"]).select("key", "piece", "rep", "n", "hub"), "near-hubs")
 
     # sets of those in shared buckets: all of a node's, if rows of its id differ
     involved = materialise(members.select(F.col("rep").alias("id")).distinct(), "near-involved")
@@ -208,25 +211,32 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sets = materialise(sets.groupBy("id", "print").agg(F.any_value("set").alias("set")), "near-sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+        """Those of the pairs (a, b) that reach the similarity; either may be in very many."""
+        pairs = materialise(pairs, "near-pairs")
+        both = pairs
+        for end, set_ in (("b", "y"), ("a", "x")):
+            of = materialise(hot_keys(pairs.groupBy(end).agg(F.count("*").alias("n")), end), "near-hot")
+            own = copied(sets.select(F.col("id").alias(end), F.col("set").alias(set_)), end, of)
+            both = dealt(both, end, of, ["a", "b"]).join(own, [end, "piece"]).drop("piece")
         shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("bigint").alias("i"), (F.size("x") + F.size("y")).cast("bigint").alias("t"))
         return shared.filter(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b")
 
     links = materialise(confirmed(members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()).union(twins), "near-links")
     found = components(links)
     # buckets that are still several components; of two members the hub has been compared with the other
-    named = members.filter("n > 2").select("key", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    named = members.filter("n > 2").select("key", "piece", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("key", "piece", "rep", F.coalesce("component", "rep").alias("c"))
     split = named.groupBy("key").agg(F.min("c").alias("p"), F.max("c").alias("q")).filter("p <> q").select("key")
-    named = materialise(named.join(split, "key"), "near-split")
+    named = materialise(named.join(copied(split, "key", hot), ["key", "piece"]), "near-split")
     if not named.isEmpty():
         largest = named.groupBy("key", "c").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("c", F.struct("n", "c")).alias("main"))
-        alive = named.join(largest, "key").groupBy("rep", "c").agg(F.max(F.col("c") != F.col("main")).alias("other"))
+        alive = named.join(copied(largest, "key", hot), ["key", "piece"]).groupBy("rep", "c").agg(F.max(F.col("c") != F.col("main")).alias("other"))
         pairs = _cross_pairs(materialise(alive, "near-alive"), sets, percent)
         more = materialise(confirmed(pairs), "near-links")
         if not more.isEmpty():
             found = components(links.union(more))
 
-    of = signed.select("id", "n", "print").join(classes.select("print", "rep"), "print", "left")
-    of = of.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
+    named = classes.select("print", "rep").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    copies = materialise(hot_keys(classes, "print"), "near-hot")
+    of = dealt(signed.select("id", "n", "print"), "print", copies, ["id"]).join(copied(named, "print", copies), ["print", "piece"], "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return of.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
