@@ -6,6 +6,11 @@ one packed string, a super-k-mer, to the bucket of that minimiser.  Equal window
 equal minimisers, so a bucket sees every occurrence of its windows; sorting the windows
 of a bucket counts them exactly (hashes order them, word codes confirm equality).
 
+A line that very many documents hold would draw all windows around it, unlike as they are, to
+the bucket of its minimiser.  So the bytes that each minimiser would draw are counted first,
+in slots over the whole input, and runs of words in a heavy slot come last in the order:
+a window takes one of them only if it has no other, and then all its copies are alike.
+
 Scale: a task sends each distinct super-k-mer once, with weight 2 if it met it twice (its
 windows are then known to repeat and need no answer), so a passage that a third of all
 documents share reaches its bucket once per map task, not once per document.
@@ -30,6 +35,8 @@ LONGEST = 256
 FLUSH = 48 << 20
 #: Text bytes that a bucket should hold.
 BUCKET_BYTES = 12 << 20
+#: Slots in which the bytes of minimisers are counted, in blocks of so many.
+SLOTS, BLOCK = 1 << 22, 1 << 16
 
 _BLOB = pa.schema([("bucket", pa.int32()), ("strings", pa.binary()), ("facts", pa.binary())])
 _RANGE = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
@@ -48,13 +55,15 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 class _Cutter:
-    """Cuts the words of one text at a time... many texts at once, into super-k-mers."""
+    """Cuts the words of many texts at once into super-k-mers; ``heavy``: a bitmap of the slots that come last."""
 
-    def __init__(self, window: int, minimizer: int) -> None:
-        self.window, self.minimizer, self.rolling = window, minimizer, Rolling()
+    def __init__(self, window: int, minimizer: int, heavy: np.ndarray | None = None) -> None:
+        self.window, self.minimizer, self.heavy, self.rolling = window, minimizer, heavy, Rolling()
 
-    def cut(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, bytes]]:
-        """(text, first word, windows, minimiser, string); texts are words joined by one space, none empty."""
+    def runs(self, texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts that are words joined by one space, none empty: their bytes; where words start and end; by
+        window, its text and least run; by text, its first word; by super-k-mer, its first window and the one after
+        its last."""
         k, m = self.window, self.minimizer
         buffer = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(buffer, np.uint8)
@@ -63,29 +72,86 @@ class _Cutter:
         last = np.flatnonzero(raw[ends] == 10)
         first = np.concatenate([[0], last[:-1] + 1])
         if len(ends) < k:
-            return
+            none = np.zeros(0, np.int64)
+            return buffer, starts, ends, none, none.astype(_U64), first, none, none
         words = mix64(self.rolling.slices(mix64(raw.astype(_U64) + _U64(1)), starts, ends))
         grams = np.zeros(len(words) - m + 1, _U64)
         with np.errstate(over="ignore"):
             for j in range(m):
                 grams = grams * _U64(Rolling.BASE) + words[j : len(words) - m + 1 + j]
-        least = _sliding_min(mix64(grams), k - m + 1)
+        grams = mix64(grams)
+        order = grams >> _U64(1)
+        if self.heavy is not None:
+            slot = order % _U64(SLOTS)
+            order |= (self.heavy[(slot >> _U64(3)).astype(np.intp)] >> (slot & _U64(7)).astype(np.uint8) & 1).astype(_U64) << _U64(63)
+        least = _sliding_min(order, k - m + 1)
         of = np.repeat(np.arange(len(texts)), last - first + 1)
         inside = of[: len(least)] == of[k - 1 :]
         new = inside.copy()
         new[1:] &= ~inside[:-1] | (least[1:] != least[:-1])
         begin = np.flatnonzero(new)
         stop = np.flatnonzero(np.concatenate([inside, [False]])[:-1] & np.concatenate([new[1:] | ~inside[1:], [True]])) + 1
+        return buffer, starts, ends, of, least, first, begin, stop
+
+    def cut(self, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """(text, first word, windows, minimiser, string)."""
+        buffer, starts, ends, of, least, first, begin, stop = self.runs(texts)
         for b, e in zip(begin.tolist(), stop.tolist(), strict=True):
             for a in range(b, e, LONGEST):
                 z = min(e, a + LONGEST)
                 t = of[a]
-                yield t, a - first[t], z - a, int(least[a]), buffer[starts[a] : ends[z + k - 2]]
+                yield t, a - first[t], z - a, int(least[a]), buffer[starts[a] : ends[z + self.window - 2]]
+
+
+def _drawn_bytes(window: int, minimizer: int):
+    """Bytes that the minimisers of each slot draw, over all texts of a task, in blocks of slots."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, packer = _Cutter(window, minimizer), zstandard.ZstdCompressor(level=1)
+        drawn = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            texts = [b" ".join(t.split()) for t in text_bytes(batch.column("text"))]
+            for rows in _groups(texts, window):
+                _, starts, ends, _, least, _, begin, stop = cutter.runs([texts[i] for i in rows])
+                if len(begin):
+                    np.add.at(drawn, (least[begin] % _U64(SLOTS)).astype(np.intp), ends[stop + window - 2] - starts[begin])
+        for i in range(SLOTS // BLOCK):
+            own = drawn[i * BLOCK : (i + 1) * BLOCK]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packer.compress(own.tobytes())], pa.binary())], names=["block", "drawn"])
+
+    return task
+
+
+def _heavy_slots(most: int):
+    """A bitmap of each block's slots that draw more than ``most`` bytes in all."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opener = zstandard.ZstdDecompressor()
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, drawn in zip(batch.column("block").to_pylist(), batch.column("drawn").to_pylist(), strict=True):
+                sums.setdefault(i, np.zeros(BLOCK, np.int64))
+                sums[i] += np.frombuffer(opener.decompress(drawn), np.int64)
+        for i, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.packbits(own > most, bitorder="little").tobytes()], pa.binary())], names=["block", "heavy"])
+
+    return task
+
+
+def heavy_slots(source: DataFrame, window: int, minimizer: int, most: int) -> np.ndarray:
+    """The bitmap, of ``SLOTS`` bits, of slots whose minimisers draw more than ``most`` bytes of ``source``."""
+    drawn = source.select("text").mapInArrow(_drawn_bytes(window, minimizer), "block int, drawn binary")
+    found = drawn.repartition(min(shuffle_width(source.sparkSession), SLOTS // BLOCK), "block").mapInArrow(_heavy_slots(most), "block int, heavy binary")
+    heavy = np.zeros(SLOTS // 8, np.uint8)
+    for x in found.collect():  # half a megabyte in all
+        heavy[x["block"] * BLOCK // 8 : (x["block"] + 1) * BLOCK // 8] = np.frombuffer(x["heavy"], np.uint8)
+    return heavy
 
 
-def _pack(window: int, minimizer: int, buckets: int):
+def _pack(window: int, minimizer: int, buckets: int, heavy):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _Cutter(window, minimizer)
+        cutter = _Cutter(window, minimizer, heavy.value)
         packer = zstandard.ZstdCompressor(level=1)
         seen: dict[bytes, list] = {}
         known: list[tuple] = []
@@ -99,9 +165,11 @@ def _pack(window: int, minimizer: int, buckets: int):
             for bucket, strings in by.items():
                 facts = np.array([tuple(seen[s][:-1]) for s in strings], _FACT)
                 rows.append((bucket, packer.compress(b"\n".join(strings)), packer.compress(facts.tobytes())))
-            # what is known already passes through buckets chosen by its document
+            # what is known already passes through buckets chosen by its document and place
             facts = np.array(known, _FACT)
-            place = (mix64(facts["text_hash"].astype(_U64)) % _U64(buckets)).astype(int)
+            with np.errstate(over="ignore"):
+                spot = facts["text_hash"].astype(_U64) + mix64(facts["doc"].astype(_U64) + mix64(facts["begin"].astype(_U64)))
+            place = (mix64(spot) % _U64(buckets)).astype(int)
             for bucket in np.unique(place).tolist():
                 rows.append((bucket, b"", packer.compress(facts[place == bucket].tobytes())))
             for i in range(0, len(rows), 64):
@@ -153,8 +221,8 @@ def repeated_windows(strings: list[bytes], weights: np.ndarray, window: int) ->
     data = b" ".join(strings) + b" "
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw == 32) + 1
-    offsets = np.concatenate([[0], ends]).astype(np.int32)
-    words = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    kind, width = (pa.binary(), np.int32) if len(data) < 1 << 31 else (pa.large_binary(), np.int64)
+    words = pa.Array.from_buffers(kind, len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(width)), pa.py_buffer(data)])
     codes = words.dictionary_encode().indices.to_numpy()
     sizes = np.fromiter((s.count(b" ") + 1 for s in strings), np.int64, len(strings))
     first = np.cumsum(sizes) - sizes
@@ -262,12 +330,13 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     small_batches(spark)
     source = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    # a word travels about 1 + (window - 1) / ((window - minimizer + 2) / 2) times
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    drawn = int(size * (1 + 2 * (window - 1) / (window - minimizer + 2)))
     if buckets is None:
-        # a word travels about 1 + (window - 1) / ((window - minimizer + 2) / 2) times
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        copies = 1 + 2 * (window - 1) / (window - minimizer + 2)
-        buckets = max(shuffle_width(spark), int(size * copies / BUCKET_BYTES) + 1)
-    blobs = source.mapInArrow(_pack(window, minimizer, buckets), "bucket int, strings binary, facts binary")
+        buckets = max(shuffle_width(spark), drawn // BUCKET_BYTES + 1)
+    heavy = spark.sparkContext.broadcast(heavy_slots(source, window, minimizer, max(BUCKET_BYTES // 8, 4 * drawn // SLOTS)))
+    blobs = source.mapInArrow(_pack(window, minimizer, buckets, heavy), "bucket int, strings binary, facts binary")
     ranges = blobs.repartitionById(buckets, "bucket").mapInArrow(_judge(window), "doc bigint, text_hash bigint, begin bigint, end bigint")
     found = ranges.groupBy("doc", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")).select(F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash"), "begins", "ends")
     joined = source.join(found, F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash")), "left")
