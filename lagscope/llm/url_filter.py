@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialise
+from .common import ascii_lower, copied, dealt, hot_keys, materialise
 
 WILD = "*"
 
@@ -38,29 +38,31 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<n:int,rule:string,verdict:string>")
 
 
-def path_templates(pages: DataFrame, least: int = 3) -> DataFrame:
-    """Adds ``template``, an array of segments, to rows with ``host`` and ``path``.
+def path_templates(paths: DataFrame, least: int = 3) -> DataFrame:
+    """Adds ``template``, an array of segments, to rows with ``host`` and ``path``, each of which counts ``n`` times.
 
-    A segment stays as it is if at least ``least`` rows have it under its parent.  Under a parent of fewer rows no
-    segment can, so all that follow become wildcards at once: long paths take rounds only where rows share them.
+    A segment stays as it is if at least ``least`` of all have it under its parent.  Under a parent of fewer no
+    segment can, so all that follow become wildcards at once: long paths take rounds only where others share them.
     """
-    rows = pages.withColumns({"segments": F.filter(F.split("path", "/"), lambda x: x != ""), "template": F.array().cast("array<string>")})
+    rows = paths.withColumns({"segments": F.filter(F.split("path", "/"), lambda x: x != ""), "template": F.array().cast("array<string>")})
     wild = lambda x: F.concat(F.lit(WILD), F.regexp_extract(x, r"\.[A-Za-z][A-Za-z0-9]{0,4}$", 0))
     d = 0
     while not rows.filter(F.size("segments") > d).isEmpty():
+        # parents and their segments are known by 64-bit hashes; a host's paths may all have one
         rows = rows.withColumn("segment", F.get("segments", F.lit(d)))
-        counts = rows.filter("segment is not null").groupBy("host", "template", "segment").agg(F.count("*").alias("n"))
-        shared = counts.groupBy("host", "template").agg(F.sum("n").alias("all")).filter(F.col("all") >= least)
-        shared = shared.select(F.col("host").alias("s_host"), F.col("template").alias("s_template"))
-        literal = counts.filter(F.col("n") >= least).select(F.col("host").alias("l_host"), F.col("template").alias("l_template"), F.col("segment").alias("l_segment"))
-        rows = rows.join(shared, (F.col("host") == F.col("s_host")) & (F.col("template") == F.col("s_template")), "left")
-        rows = rows.join(literal, (F.col("host") == F.col("l_host")) & (F.col("template") == F.col("l_template")) & (F.col("segment") == F.col("l_segment")), "left")
-        named = F.when(F.col("l_segment").isNotNull(), F.col("segment")).otherwise(wild(F.col("segment")))
-        alone = F.col("s_host").isNull()
+        rows = rows.withColumn("parent", F.when(F.col("segment").isNotNull(), F.xxhash64("host", "template"))).withColumn("child", F.when(F.col("segment").isNotNull(), F.xxhash64("host", "template", "segment")))
+        counts = materialise(rows.filter("segment is not null").groupBy("parent", "child").agg(F.sum("n").alias("n")), "url-counts")
+        parents = materialise(counts.groupBy("parent").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter(F.col("n") >= least), "url-parents")
+        children = counts.filter(F.col("n") >= least).select("child", "n", F.lit(True).alias("literal"))
+        hot, hot_child = (materialise(hot_keys(x, key), "url-hot") for x, key in ((parents, "parent"), (children, "child")))
+        rows = dealt(rows, "parent", hot, ["path"]).join(copied(parents.select("parent", F.lit(True).alias("shared")), "parent", hot), ["parent", "piece"], "left").drop("piece")
+        rows = dealt(rows, "child", hot_child, ["path"]).join(copied(children.drop("n"), "child", hot_child), ["child", "piece"], "left")
+        named = F.when(F.col("literal"), F.col("segment")).otherwise(wild(F.col("segment")))
+        alone = F.col("shared").isNull()
         template = F.when(F.col("segment").isNull(), F.col("template")).when(alone, F.concat("template", F.transform(F.slice("segments", d + 1, F.size("segments")), wild))).otherwise(F.concat("template", F.array(named)))
         # a row that is alone has no segments left
         left = F.when(F.col("segment").isNotNull() & alone, F.slice("segments", 1, d)).otherwise(F.col("segments"))
-        rows = materialise(rows.select(*pages.columns, left.alias("segments"), template.alias("template")), "url-level")
+        rows = materialise(rows.select(*paths.columns, left.alias("segments"), template.alias("template")), "url-level")
         d += 1
     return rows.drop("segments")
 
@@ -105,9 +107,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id",
     rows = rows.withColumn("number", F.expr(r"try_cast(regexp_extract(path, '([0-9]+)[^/0-9]*/?$', 1) as bigint)"))
     good = (F.col("quality") == 1) & (F.col("toxic") == 0) if good is None else good
     known = labels.select(F.col(label_id_col).cast("bigint").alias("number"), good.cast("int").alias("is_good")).filter("number is not null and is_good is not null").groupBy("number").agg(F.min("is_good").alias("is_good"))
-    rows = path_templates(rows.join(known, "number", "left").select("id", "host", "path", "fit", "is_good"))
+    rows = materialise(rows.join(known, "number", "left").select("id", "host", "path", "fit", "is_good", F.xxhash64("host", "path").alias("place")), "url-rows")
+    # templates are built on distinct paths; pages come back at the end
+    paths = rows.groupBy("host", "path").agg(F.first("place").alias("place"), F.count("*").alias("n"), F.count_if(F.col("is_good") == 1).alias("good"), F.count_if(F.col("is_good") == 0).alias("bad"))
+    paths = path_templates(materialise(paths, "url-paths"))
 
-    counts = rows.groupBy("host", "template").agg(F.count_if(F.col("is_good") == 1).alias("good"), F.count_if(F.col("is_good") == 0).alias("bad"))
+    counts = paths.groupBy("host", "template").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     merged = merged_templates(counts)
     table = merged.agg(F.sum("good").alias("tg"), F.sum("bad").alias("tb"))  # one row
     hosts = merged.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
@@ -116,6 +121,12 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id",
     judged = merged.groupBy("host", "merged").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).join(hosts, "host")
     judged = judged.select("host", "merged", ((F.col("g") + strength * F.col("host_purity")) / (F.col("g") + F.col("b") + strength)).alias("purity"))
     verdicts = merged.select("host", "template", "merged").join(judged, ["host", "merged"])
-    out = rows.join(verdicts, ["host", "template"], "left")
+    # a host and template may have very many paths, and a path very many pages
+    verdicts = verdicts.withColumn("branch", F.xxhash64("host", "template")).select("branch", "merged", "purity")
+    named = paths.select("place", "n", F.xxhash64("host", "template").alias("branch"))
+    hot = materialise(hot_keys(named.groupBy("branch").agg(F.count("*").alias("n")), "branch"), "url-hot")
+    named = materialise(dealt(named, "branch", hot, ["place"]).join(copied(verdicts, "branch", hot), ["branch", "piece"]).select("place", "n", "merged", "purity"), "url-verdicts")
+    hot = materialise(hot_keys(named, "place"), "url-hot")
+    out = dealt(rows, "place", hot, ["id"]).join(copied(named.drop("n"), "place", hot), ["place", "piece"], "left")
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("purity") < purity, "block").otherwise("allow"))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), F.concat(F.lit("/"), F.array_join("merged", "/")).alias("template"), "purity")
