@@ -7,8 +7,8 @@ stretch of 10 words or more is contaminated.  Items of fewer than 10 words are o
 each and are looked up by the hash of all their words.
 
 The item side is broadcast while its words stay below a bound; beyond it, document
-fingerprints and item fingerprints meet in a shuffle join and only candidate items travel
-to a document.
+fingerprints and item fingerprints meet in a shuffle join, in which common fingerprints are
+dealt to several tasks, and only candidate items travel to a document, ``AT_ONCE`` at a time.
 """
 
 from __future__ import annotations
@@ -21,12 +21,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Rolling, Words, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
+from .common import Rolling, Words, ascii_lower, copied, dealt, hot_keys, in_pieces, materialise, mix64, small_batches, text_bytes, word_table
 
 #: Regular expression of a word: digits, lower-case letters and everything beyond ASCII.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _TABLE = word_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
+#: Candidate items that travel to a document together.
+AT_ONCE = 64
+
 _U64 = np.uint64
 _RESULT = "row_id bigint, n_words bigint, begins array<bigint>, ends array<bigint>, items array<string>"
 
@@ -230,14 +233,31 @@ def _with_row(rows: DataFrame) -> StructType:
 def _by_join(rows: DataFrame, named: DataFrame, window: int, gram: int, inside: str | None) -> DataFrame:
     """The same with fingerprints joined by shuffle; a document is known by its id and its text's hash."""
     text = F.col(f"row.`{inside}`") if inside else F.col("text")
-    hashed = rows.withColumn("text_hash", F.xxhash64(text))
-    schema = "key struct<row_id:bigint,text_hash:bigint>, size int, hash bigint"
-    lengths = list(range(1, window))
-    of_docs = hashed.select(F.struct("row_id", "text_hash").alias("key"), text.alias("text")).mapInArrow(_prints(window, gram, lengths, False), schema)
-    of_items = named.select(F.struct(F.coalesce("name", F.lit("")).alias("name"), "text").alias("key"), "text").mapInArrow(_prints(window, gram, lengths, True), "key struct<name:string,text:string>, size int, hash bigint")
-    # only lengths that some item has can match; the others fall out in the join
-    pairs = of_docs.withColumnRenamed("key", "doc").join(of_items.withColumnRenamed("key", "item"), ["size", "hash"]).select("doc", "item").distinct()
-    near = materialise(pairs.groupBy("doc").agg(F.collect_list("item").alias("items")).select("doc.row_id", "doc.text_hash", "items"), "decontamination-candidates")
-    near = near.select(F.col("row_id").alias("n_id"), F.col("text_hash").alias("n_hash"), "items")
-    joined = hashed.join(near, F.col("row_id").eqNullSafe(F.col("n_id")) & F.col("text_hash").eqNullSafe(F.col("n_hash")), "left")
-    return joined.select("row_id", "row" if inside else "text", "items").mapInArrow(_extend(window, gram, inside), _with_row(rows))
+    hashed = rows.withColumn("key", F.xxhash64("row_id", text)).withColumn("n_words", F.coalesce(F.regexp_count(ascii_lower(text), F.lit(ITEM_WORD)), F.lit(0)).cast("bigint"))
+    items = materialise(named.select(F.coalesce("name", F.lit("")).alias("name"), "text", F.xxhash64("name", "text").alias("key"), F.regexp_count(ascii_lower(F.col("text")), F.lit(ITEM_WORD)).alias("words")).distinct(), "decontamination-items")
+    lengths = sorted(x["words"] for x in items.filter(F.col("words").between(1, window - 1)).select("words").distinct().collect())  # below the window
+    # of documents with the same id and text one is enough
+    texts = hashed.select("key", text.alias("text")).filter("text is not null").groupBy("key").agg(F.any_value("text").alias("text"))
+    texts = materialise(texts, "decontamination-texts")
+    schema = "key bigint, size int, hash bigint"
+    of_docs = texts.mapInArrow(_prints(window, gram, lengths, False), schema).select(F.col("key").alias("doc"), F.xxhash64("size", "hash").alias("print"))
+    of_items = materialise(items.select("key", "text").mapInArrow(_prints(window, gram, lengths, True), schema).select(F.col("key").alias("item"), F.xxhash64("size", "hash").alias("print")), "decontamination-items")
+    of_docs = materialise(of_docs.join(of_items.select("print").distinct(), "print", "left_semi"), "decontamination-prints")
+    hot = materialise(hot_keys(of_docs.groupBy("print").agg(F.count("*").alias("n")), "print"), "decontamination-hot")
+    pairs = dealt(of_docs, "print", hot, ["doc"]).join(copied(of_items, "print", hot), ["print", "piece"]).select("doc", "item").distinct()
+    pairs = materialise(pairs, "decontamination-candidates")
+    # an item may be near very many documents, and a document near very many items
+    hot = materialise(hot_keys(pairs.groupBy("item").agg(F.count("*").alias("n")), "item"), "decontamination-hot")
+    own = items.select(F.col("key").alias("item"), F.struct("name", "text").alias("of"))
+    sizes = pairs.groupBy("doc").agg(F.expr(f"int((count(*) - 1) div {AT_ONCE} + 1)").alias("groups"))
+    near = dealt(pairs, "item", hot, ["doc"]).join(copied(own, "item", hot), ["item", "piece"]).join(sizes, "doc")
+    near = near.groupBy("doc", F.pmod(F.xxhash64("item"), F.col("groups")).alias("group")).agg(F.collect_list("of").alias("items"))
+    tried = near.join(texts.withColumnRenamed("key", "doc"), "doc").select(F.col("doc").alias("row_id"), "text", "items").mapInArrow(_extend(window, gram, None), _RESULT)
+    ranges = F.sort_array(F.flatten(F.collect_list(F.arrays_zip("begins", "ends"))))
+    found = tried.groupBy(F.col("row_id").alias("f_key")).agg(ranges.alias("ranges"), F.array_distinct(F.sort_array(F.flatten(F.collect_list("items")))).alias("items"))
+    # sorted ranges, those that touch made one
+    merge = lambda done, r: F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["ends"] >= r["begins"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["begins"].alias("begins"), F.greatest(F.try_element_at(done, F.lit(-1))["ends"], r["ends"]).alias("ends"))))).otherwise(F.concat(done, F.array(r)))
+    found = found.withColumn("ranges", F.aggregate("ranges", F.array().cast("array<struct<begins:bigint,ends:bigint>>"), merge))
+    joined = hashed.join(found, F.col("key") == F.col("f_key"), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>"))
+    return joined.select("row_id", "n_words", none(F.col("ranges.begins"), "bigint").alias("begins"), none(F.col("ranges.ends"), "bigint").alias("ends"), none(F.col("items"), "string").alias("items"), *(["row"] if inside else []))
