@@ -13,6 +13,7 @@ A block needs nothing outside itself to be decoded, and decoding handles all wor
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -101,9 +102,28 @@ _AFTER_C3[0x80:0xC0] = True
 _AFTER_C3[[0x97, 0xB7]] = False
 
 
+#: How a vocabulary must treat text for its pieces to be encoded one by one.
+_BY_PIECES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def splits_at_pieces(form: dict) -> bool:
+    """Whether a vocabulary's file says that its ids of a text are those of the text's pieces."""
+    special = all(x["special"] and x["content"].startswith("<|") for x in form.get("added_tokens") or [])
+    return special and all(form.get(k) == v for k, v in _BY_PIECES.items()) and form["model"].get("end_of_word_suffix") == "</w>" and form["model"].get("dropout") is None
+
+
 class Encoder:
-    """Ids of texts by a vocabulary that splits at white space and between letters and punctuation, and ends
-    every split with an end-of-word id.
+    """Ids of texts.  A vocabulary of any form is asked for each text; one of the form ``_BY_PIECES`` splits at
+    white space and between letters and punctuation, and ends every split with an end-of-word id.
 
     A text's ids are then those of its pieces between such places, one after another, and each distinct piece
     is encoded once while it is remembered.  Pieces of letters are one split each, so many are encoded as one
@@ -118,6 +138,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_pieces = splits_at_pieces(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -148,6 +169,9 @@ class Encoder:
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the number of ids of each text."""
+        if not self.by_pieces:
+            own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+            return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
         buffer = b"".join([b" ".join(t.split()) + b"\n" for t in texts])
         if b"<|" not in buffer:  # special tokens are known by their case
             buffer = buffer.lower()
