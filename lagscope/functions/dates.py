@@ -24,6 +24,16 @@ def add_fractional_months(date: Column, n: Column) -> Column:
     return F.date_add(F.add_months(date, whole), F.floor((n - whole) * 30.4375).cast("int"))
 
 
+def fractional_days(later: Column, earlier: Column) -> Column:
+    """Days between two timestamps, with the part of a day."""
+    return (F.unix_micros(later.cast("timestamp")) - F.unix_micros(earlier.cast("timestamp"))) / F.lit(86_400_000_000)
+
+
+def quarter_ticks(first: Column, last: Column) -> Column:
+    """The first days of all quarters from that of ``first`` up to ``last``."""
+    return F.sequence(F.trunc(first, "quarter"), last, F.expr("interval 3 months"))
+
+
 def month_label(date: Column) -> Column:
     return F.date_format(date, "MMM yyyy")
 

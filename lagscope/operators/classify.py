@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.strings import normalize_id
+
 
 def classify_label(label: Column, open_mark: str = "Open", closed: Sequence[str] = ("API access", "Hosted access (no API)")) -> Column:
     """True if the label contains ``open_mark``, false if it is one of ``closed``, else null."""
@@ -36,6 +38,16 @@ def classify_chain(own: Column, index: Column, override: Column, name: Column, o
     return F.coalesce(*by_label, by_name)
 
 
+def region_flags(country: Column, regions: dict[str, Sequence[str]]) -> list[Column]:
+    """A flag for each region: whether the country is exactly one of its names; false for null."""
+    return [F.coalesce(country.isin(list(names)), F.lit(False)).alias(name) for name, names in regions.items()]
+
+
+def open_by_id(x: Column, patterns: Sequence[str], **normal) -> Column:
+    """Whether the normalised id matches any of the patterns; false for null."""
+    return F.coalesce(F.lower(normalize_id(x, **normal)).rlike("|".join(patterns)), F.lit(False))
+
+
 def classify_accessible(access: Column, organizations: Column, open_access: Sequence[str], open_orgs: Sequence[str]) -> Column:
     """By an exact label if there is one, else by whether an organisation's name contains an open one."""
     fallback = F.coalesce(F.exists(organizations, lambda o: contains_any(o, open_orgs)), F.lit(False))

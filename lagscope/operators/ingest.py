@@ -32,6 +32,23 @@ def default_strings(df: DataFrame, columns: list[str], value: str = "Unknown") -
     return df.fillna(value, subset=columns)
 
 
+def with_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Each column's own default where it is null or blank."""
+    return df.withColumns({c: F.when(F.trim(F.col(c)) != "", F.col(c)).otherwise(F.lit(x)) for c, x in defaults.items()})
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns by the field names that readers of a result expect; names that ``df`` lacks are left out."""
+    return df.withColumnsRenamed({old: new for old, new in names.items() if old in df.columns})
+
+
+def lookup(df: DataFrame, index: DataFrame, key: str, index_key: str, value: str, order: list[Column]) -> DataFrame:
+    """Adds ``value`` from the first row of an index with the same trimmed key that has one, else null."""
+    first = index.filter(F.col(value).isNotNull()).select(F.trim(index_key).alias("_key"), *(c.alias(f"_o{i}") for i, c in enumerate(order)), value)
+    first = first.groupBy("_key").agg(F.min_by(value, F.struct(*(f"_o{i}" for i in range(len(order))))).alias(value))
+    return df.join(first, F.trim(key) == F.col("_key"), "left").drop("_key")
+
+
 def rename_if_absent(df: DataFrame, old: str, new: str) -> DataFrame:
     return df.withColumnRenamed(old, new) if old in df.columns and new not in df.columns else df
 

@@ -19,7 +19,7 @@ def match_method(behind_std: Column, ahead_std: Column, probability: Column | No
     return plain if probability is None else F.when(probability.isNotNull(), F.lit("bootstrap")).otherwise(plain)
 
 
-def caught_up(behind: Column, behind_std: Column, ahead: Column, ahead_std: Column, *, threshold: float = MATCH_TOLERANCE, z: float = Z_ONE_SIDED_05, probability: Column | None = None) -> Column:
+def caught_up(behind: Column, behind_std: Column, ahead: Column, ahead_std: Column, *, threshold: float | Column = MATCH_TOLERANCE, z: float = Z_ONE_SIDED_05, probability: Column | None = None) -> Column:
     """Whether a score plausibly equals one ahead of it."""
     method = match_method(behind_std, ahead_std, probability)
     analytical = ahead - behind <= z * F.sqrt(behind_std * behind_std + ahead_std * ahead_std)
@@ -34,6 +34,11 @@ def prob_exceeds(a: Column, b: Column) -> Column:
     return F.try_divide(above, F.when(a.isNotNull() & b.isNotNull(), F.size(pairs)))
 
 
+def paired(draws: str | None, behind: str, ahead: str) -> Column | None:
+    """The share of draws in which one side's exceed the other's; without a column of draws, none."""
+    return prob_exceeds(F.col(f"{behind}_{draws}"), F.col(f"{ahead}_{draws}")) if draws else None
+
+
 def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
@@ -48,13 +53,13 @@ def sides(df: DataFrame, leader: str = "lead", laggard: str = "lag") -> tuple[Da
     return side(False, leader), side(True, laggard)
 
 
-def first_catchup(front: DataFrame, as_of: Column, *, threshold: float = MATCH_TOLERANCE, draws: str | None = None) -> DataFrame:
+def first_catchup(front: DataFrame, as_of: Column, *, threshold: float | Column = MATCH_TOLERANCE, draws: str | None = None) -> DataFrame:
     """For each leader on a frontier, the earliest later laggard that caught up with it.
 
     Unmatched leaders stay, with their age at ``as_of`` as the gap.  ``draws``: an array column of paired draws.
     """
     leaders, laggards = sides(front)
-    probability = prob_exceeds(F.col(f"lag_{draws}"), F.col(f"lead_{draws}")) if draws else None
+    probability = paired(draws, "lag", "lead")
     stds = F.col("lag_score_std"), F.col("lead_score_std")
     caught = caught_up(F.col("lag_score"), stds[0], F.col("lead_score"), stds[1], threshold=threshold, probability=probability)
     laggards = laggards.withColumnRenamed("benchmark_id", "lag_benchmark")
@@ -70,10 +75,13 @@ def first_catchup(front: DataFrame, as_of: Column, *, threshold: float = MATCH_T
     )
 
 
-def frontier_match_map(records: DataFrame, *, threshold: float = MATCH_TOLERANCE) -> DataFrame:
-    """For each strict laggard record, the earliest strict leader record that had reached its level."""
+def frontier_match_map(records: DataFrame, *, threshold: float | Column = MATCH_TOLERANCE, draws: str | None = None) -> DataFrame:
+    """For each strict laggard record, the earliest strict leader record that had reached its level.
+
+    ``draws``: an array column of paired draws.
+    """
     leaders, laggards = sides(records)
-    reached = caught_up(F.col("lead_score"), F.col("lead_score_std"), F.col("lag_score"), F.col("lag_score_std"), threshold=threshold)
+    reached = caught_up(F.col("lead_score"), F.col("lead_score_std"), F.col("lag_score"), F.col("lag_score_std"), threshold=threshold, probability=paired(draws, "lead", "lag"))
     leaders = leaders.withColumnRenamed("benchmark_id", "lead_benchmark")
     pairs = laggards.join(leaders, (F.col("benchmark_id") == F.col("lead_benchmark")) & reached, "left")
     return pairs.groupBy("benchmark_id", "lag_model").agg(F.min_by("lead_model", "lead_date").alias("lead_model"))

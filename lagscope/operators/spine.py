@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..schema import MATCH_TOLERANCE, months
 from .frontier import strict_records
-from .match import caught_up, sides
+from .match import caught_up, paired, sides
 
 
 def _in_force(records: DataFrame, name: str) -> DataFrame:
@@ -16,13 +16,13 @@ def _in_force(records: DataFrame, name: str) -> DataFrame:
     return records.withColumn("until", F.date_sub(after, 1))
 
 
-def daily_gap(front: DataFrame, *, threshold: float = MATCH_TOLERANCE, start: Column | None = None, end: Column | None = None) -> DataFrame:
+def daily_gap(front: DataFrame, *, threshold: float | Column = MATCH_TOLERANCE, start: Column | None = None, end: Column | None = None, draws: str | None = None) -> DataFrame:
     """For each benchmark and day of the window: the time since the latest leader record that the day's best
     laggard has caught up with (``gap_months``), the same by score alone (``strict_months``), and the score
     between the best of both groups and the best laggard (``vertical``).
 
     The window runs from the first day that both groups have a record to the last date, unless given.  A day on
-    which no leader is caught up with counts from the first leader.
+    which no leader is caught up with counts from the first leader.  ``draws``: an array column of paired draws.
     """
     leaders, laggards = sides(strict_records(front))
     bounds = leaders.groupBy("benchmark_id").agg(F.min("lead_date").alias("first_lead"), F.max("lead_date").alias("last_lead"))
@@ -31,11 +31,12 @@ def daily_gap(front: DataFrame, *, threshold: float = MATCH_TOLERANCE, start: Co
     bounds = bounds.join(last, "benchmark_id").select("benchmark_id", (start if start is not None else F.greatest("first_lead", "first_lag")).alias("ws"), (end if end is not None else F.col("last")).alias("we"))
     spans = _in_force(laggards, "lag").join(bounds, "benchmark_id")
     a, z = F.greatest("lag_date", "ws"), F.least(F.coalesce("until", "we"), "we")
-    days = spans.filter(a <= z).withColumn("day", F.explode(F.sequence(a, z)))
-    open_ = days.join(leaders, "benchmark_id").filter(F.col("lead_date") <= F.col("day"))
-    caught = caught_up(F.col("lag_score"), F.col("lag_score_std"), F.col("lead_score"), F.col("lead_score_std"), threshold=threshold)
+    # a pair of records is judged once, then counted on each of its days
+    caught = caught_up(F.col("lag_score"), F.col("lag_score_std"), F.col("lead_score"), F.col("lead_score_std"), threshold=threshold, probability=paired(draws, "lag", "lead"))
+    pairs = spans.filter(a <= z).join(leaders, "benchmark_id").select("benchmark_id", "lag_model", "lag_score", "lead_date", "lead_score", a.alias("a"), z.alias("z"), caught.alias("caught"))
+    open_ = pairs.filter(F.greatest("a", "lead_date") <= F.col("z")).withColumn("day", F.explode(F.sequence(F.greatest("a", "lead_date"), "z")))
     per_day = open_.groupBy("benchmark_id", "day", "lag_model", "lag_score").agg(
-        F.max(F.when(caught, F.col("lead_date"))).alias("ref"), F.max(F.when(F.col("lag_score") > F.col("lead_score"), F.col("lead_date"))).alias("ref_strict"),
+        F.max(F.when(F.col("caught"), F.col("lead_date"))).alias("ref"), F.max(F.when(F.col("lag_score") > F.col("lead_score"), F.col("lead_date"))).alias("ref_strict"),
         F.min("lead_date").alias("first"), F.max("lead_score").alias("best"),
     )
     since = lambda ref: months(F.datediff("day", F.coalesce(ref, "first")))
@@ -67,10 +68,10 @@ def month_spine(bounds: DataFrame, first: str, last: str) -> DataFrame:
     return steps.withColumn("day", F.date_add("month", day - 1)).filter(F.col("day") <= F.col(last)).drop("i", "month")
 
 
-def historical_gap(front: DataFrame, as_of: Column, *, threshold: float = MATCH_TOLERANCE) -> DataFrame:
+def historical_gap(front: DataFrame, as_of: Column, *, threshold: float | Column = MATCH_TOLERANCE, draws: str | None = None) -> DataFrame:
     """Month by month from half a year after the first record: how long after the first leader of its level the
     best laggard came, and whether it had caught up with the best leader.  Months in which a group is empty are
-    left out; no leader at the level means 0 and matched."""
+    left out; no leader at the level means 0 and matched.  ``draws``: an array column of paired draws."""
     bounds = front.groupBy("benchmark_id").agg(F.add_months(F.min("date"), 6).alias("first")).withColumn("last", as_of).filter("first <= last")
     spine = month_spine(bounds, "first", "last").select("benchmark_id", "day")
     leaders, laggards = sides(front)
@@ -82,12 +83,12 @@ def historical_gap(front: DataFrame, as_of: Column, *, threshold: float = MATCH_
         return joined.groupBy("benchmark_id", "day").agg(F.min_by(F.struct(*own), key).alias("r")).select("benchmark_id", "day", "r.*")
 
     now = best(laggards, "lag").join(best(leaders, "lead"), ["benchmark_id", "day"])
-    level = leaders.select("benchmark_id", F.col("lead_date").alias("l_date"), F.col("lead_score").alias("l_score"), F.col("lead_score_std").alias("l_std"))
-    reached = now.join(level, "benchmark_id").filter((F.col("l_date") <= F.col("day")) & caught_up(F.col("l_score"), F.col("l_std"), F.col("lag_score"), F.col("lag_score_std"), threshold=threshold))
+    level = leaders.select("benchmark_id", F.col("lead_date").alias("l_date"), F.col("lead_score").alias("l_score"), F.col("lead_score_std").alias("l_std"), *([F.col(f"lead_{draws}").alias(f"l_{draws}")] if draws else []))
+    reached = now.join(level, "benchmark_id").filter((F.col("l_date") <= F.col("day")) & caught_up(F.col("l_score"), F.col("l_std"), F.col("lag_score"), F.col("lag_score_std"), threshold=threshold, probability=paired(draws, "l", "lag")))
     first = reached.groupBy("benchmark_id", "day").agg(F.min("l_date").alias("at_level"))
     out = now.join(first, ["benchmark_id", "day"], "left")
     gap = F.coalesce(F.greatest(F.lit(0.0), months(F.datediff("lag_date", "at_level"))), F.lit(0.0))
-    matched = F.col("at_level").isNull() | caught_up(F.col("lag_score"), F.col("lag_score_std"), F.col("lead_score"), F.col("lead_score_std"), threshold=threshold)
+    matched = F.col("at_level").isNull() | caught_up(F.col("lag_score"), F.col("lag_score_std"), F.col("lead_score"), F.col("lead_score_std"), threshold=threshold, probability=paired(draws, "lag", "lead"))
     return out.select("benchmark_id", "day", gap.alias("gap_months"), matched.alias("matched"), F.col("lead_model").alias("reference_model"), F.col("lead_score").alias("reference_score"), F.col("lag_model").alias("laggard_model"), F.col("lag_score").alias("laggard_score"))
 
 

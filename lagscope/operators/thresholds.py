@@ -26,21 +26,32 @@ def validity_floor(df: DataFrame) -> DataFrame:
     return df.filter("score is not null").groupBy("benchmark_id").agg(F.percentile("score", F.lit(0.1)).alias("floor"))
 
 
-def threshold_datapoints(df: DataFrame, as_of: Column, *, accepted: list[float] | None = None) -> DataFrame:
+def threshold_datapoints(df: DataFrame, as_of: Column, *, accepted: list[float] | None = None, settings: DataFrame | None = None) -> DataFrame:
     """First crossers of each threshold that a leader has reached, with the gap or, while open, the gap so far.
 
     Valid: in ``accepted`` (to six decimals), or above the benchmark's floor.  Of the thresholds of one pair of
     crossers with a valid one, the highest is accepted.
+
+    ``settings``: a row a benchmark at most, with ``benchmark_id`` and, null where the rule above holds, ``accepted``
+    and ``thresholds`` (arrays) and ``floor``; it takes the place of ``accepted``.
     """
     df = df.filter("date is not null and score is not null and is_laggard is not null")
     records = strict_records(df)
-    grid = auto_grid(df).join(validity_floor(df), "benchmark_id")
+    floors = validity_floor(df)
+    if settings is None:
+        grid = auto_grid(df).join(floors, "benchmark_id").withColumn("allowed", F.array(*map(F.lit, accepted)).cast("array<double>") if accepted is not None else F.lit(None).cast("array<double>"))
+    else:
+        own = settings.select("benchmark_id", F.col("accepted").alias("allowed"), F.col("thresholds").alias("own"), F.col("floor").alias("own_floor"))
+        given = own.filter("own is not null").select("benchmark_id", F.explode("own").alias("threshold"))
+        grid = auto_grid(df).join(given, "benchmark_id", "left_anti").unionByName(given)
+        grid = grid.join(floors, "benchmark_id").join(own.drop("own"), "benchmark_id", "left").withColumn("floor", F.coalesce("own_floor", "floor")).drop("own_floor")
     hits = grid.join(records, "benchmark_id").filter("score >= threshold")
     lag = F.col("is_laggard")
     first = lambda side: F.min_by(F.when(side, F.struct("model", "date")), F.when(side, F.struct("date", -F.col("score"), "model")))
-    both = hits.groupBy("benchmark_id", "threshold", "floor").agg(first(~lag).alias("lead"), first(lag).alias("lag")).filter("lead is not null")
+    both = hits.groupBy("benchmark_id", "threshold", "floor", "allowed").agg(first(~lag).alias("lead"), first(lag).alias("lag")).filter("lead is not null")
     both = both.join(df.groupBy("benchmark_id").agg(F.bool_or("is_laggard").alias("has_lag")).filter("has_lag"), "benchmark_id")
-    valid = F.round("threshold", 6).isin([round(x, 6) for x in accepted]) if accepted is not None else F.col("threshold") > F.col("floor")
+    listed = F.array_contains(F.transform("allowed", lambda x: F.round(x, 6)), F.round("threshold", 6))
+    valid = F.when(F.col("allowed").isNotNull(), listed).otherwise(F.col("threshold") > F.col("floor"))
     days = F.datediff("lag.date", "lead.date").cast("bigint")
     rows = both.select(
         "benchmark_id", "threshold", "floor", F.col("lead.model").alias("lead_model"), F.col("lead.date").alias("lead_date"), F.col("lag.model").alias("lag_model"), F.col("lag.date").alias("lag_date"),

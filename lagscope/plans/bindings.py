@@ -23,6 +23,12 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_draws(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with a column ``draws``: those of the vector that the record's number picks, null for many."""
+    draws = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("pick"), F.col("embedding").cast("array<double>").alias("draws"))
+    return rows.join(draws, F.col("model") % 101 == F.col("pick"), "left").drop("pick")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as scored records without deviations: even users trail."""
     return to_canonical(

@@ -21,8 +21,8 @@ FRONT = RANKED + ", f AS (SELECT * EXCLUDE before FROM p WHERE before IS NULL OR
 RECORDS = RANKED + ", r AS (SELECT * EXCLUDE before FROM p WHERE before IS NULL OR score > before)"
 
 
-def caught(a: str, a_std: str, b: str, b_std: str) -> str:
-    return f"CASE WHEN {a_std} IS NOT NULL AND {b_std} IS NOT NULL AND ({a_std} > 0 OR {b_std} > 0) THEN {b} - {a} <= {Z} * sqrt({a_std} * {a_std} + {b_std} * {b_std}) ELSE {a} >= {b} - 1.0 END"
+def caught(a: str, a_std: str, b: str, b_std: str, tolerance: str = "1.0") -> str:
+    return f"CASE WHEN {a_std} IS NOT NULL AND {b_std} IS NOT NULL AND ({a_std} > 0 OR {b_std} > 0) THEN {b} - {a} <= {Z} * sqrt({a_std} * {a_std} + {b_std} * {b_std}) ELSE {a} >= {b} - {tolerance} END"
 
 
 def gaps(std: str = "score_std") -> str:
@@ -37,6 +37,15 @@ g AS (SELECT benchmark_id, lead_model, lead_date, lead_score, lag_model, lag_dat
   date_diff('day', lead_date, coalesce(lag_date, {AS_OF})) / 30.4375::DOUBLE AS gap_months, lag_date IS NOT NULL AS matched, CASE WHEN lag_date IS NOT NULL THEN match_type END AS match_type FROM first)"""
 
 
+def drawn(a: str, b: str, caught_: str) -> str:
+    """Whether table a's record has caught up with b's, by paired draws where both have them."""
+    share = f"list_sum(list_transform(range(1, len({a}.draws) + 1), lambda i: CASE WHEN {a}.draws[i] > {b}.draws[i] THEN 1.0 ELSE 0.0 END)) / len({a}.draws)"
+    return f"CASE WHEN {a}.draws IS NOT NULL AND {b}.draws IS NOT NULL THEN {share} >= 0.05 ELSE {caught_} END"
+
+
+#: Adds draws to the records of p (and so of f and r).
+WITH_DRAWS = RANKED.replace("FROM o)", "FROM o LEFT JOIN (SELECT vec_id, embedding::DOUBLE[] AS draws FROM embeddings) ON o.model % 101 = vec_id)")
+
 GAP_COLUMNS = "benchmark_id, lead_model, lead_date, lead_score, lag_model, lag_date, lag_score, gap_days, round(gap_months, 6) AS gap_months, matched, match_type"
 
 
@@ -246,7 +255,46 @@ SELECT 'all' AS pool, grid_date, round(CASE WHEN w >= 1.0 THEN s / w END, 6) AS
     "source_hash": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "notebook_horizontal_levels": f"""WITH {ORDERS}, {FRONT}, s AS (SELECT benchmark_id, is_laggard, min(score) AS a, max(score) AS z FROM f GROUP BY ALL), b AS (SELECT benchmark_id, max(a) AS a, min(z) AS z FROM s GROUP BY benchmark_id),
 l AS (SELECT benchmark_id, i, a + i * ((z - a) / 99) AS level FROM b, (SELECT unnest(generate_series(0, 99)) AS i)),
-h AS (SELECT l.benchmark_id, i, level, min(date) FILTER (NOT is_laggard) AS ld, min(date) FILTER (is_laggard) AS gd FROM l JOIN f ON f.benchmark_id = l.benchmark_id AND score >= level GROUP BY ALL)
-SELECT benchmark_id, i, round(level, 4) AS level, round(date_diff('day', ld, gd) / 30.5::DOUBLE, 6) AS gap_months FROM h WHERE ld IS NOT NULL AND gd IS NOT NULL""",
+c AS (SELECT l.benchmark_id, i, level, date AS ld, score AS ls, score_std AS lstd FROM l JOIN f ON f.benchmark_id = l.benchmark_id AND NOT is_laggard AND score >= level QUALIFY row_number() OVER (PARTITION BY l.benchmark_id, i ORDER BY date, score DESC, model) = 1),
+h AS (SELECT c.benchmark_id, i, level, ld, min(f.date) AS gd FROM c JOIN f ON f.benchmark_id = c.benchmark_id AND f.is_laggard AND (f.score >= level OR CASE WHEN f.score_std IS NULL OR lstd IS NULL THEN true
+  WHEN f.score_std * f.score_std + lstd * lstd = 0 THEN f.score = ls ELSE abs(f.score - ls) <= 1.959963984540054 * sqrt(f.score_std * f.score_std + lstd * lstd) END) GROUP BY ALL)
+SELECT benchmark_id, i, round(level, 4) AS level, round(date_diff('day', ld, gd) / 30.5::DOUBLE, 6) AS gap_months FROM h""",
     "notebook_vertical": f"WITH {ORDERS}, {FRONT}{daily()} SELECT benchmark_id, round(avg(vertical), 4) AS mean, round(stddev_samp(vertical), 4) AS std, round(quantile_cont(vertical, 0.05), 4) AS low, round(quantile_cont(vertical, 0.95), 4) AS high FROM d GROUP BY benchmark_id",
 }
+
+#: The daily gaps, the history and the match map with draws: the same SQL with another predicate on records that carry them.
+
+
+def _with_draws(sql: str) -> str:
+    """SQL on the frontier f, with draws in all the records that it compares."""
+    for a, b in (("lag", "rec"), ("f", "bg"), ("bg", "bl"), ("l", "g")):
+        plain = caught(f"{a}.score", f"{a}.score_std", f"{b}.score", f"{b}.score_std")
+        sql = sql.replace(plain, drawn(a, b, plain))
+    for cut in ("score, score_std FROM days", "score, score_std FROM p", "score, score_std FROM spine"):
+        sql = sql.replace(cut, cut.replace("score_std", "score_std, draws"))
+    return sql.replace(RANKED, WITH_DRAWS)
+
+
+SQL |= {
+    "gap_metrics_draws": _with_draws(SQL["gap_metrics"]),
+    "historical_gap_draws": _with_draws(SQL["historical_monthly_gap"]),
+    "frontier_match_draws": _with_draws(SQL["frontier_match_pairs"]),
+    "threshold_settings": POINTS.replace(GRID, GRID.replace("grid AS (", "auto AS (") + """,
+given AS (SELECT 'F' AS benchmark_id, unnest([100000.0::DOUBLE, 200000.0::DOUBLE, 300000.0::DOUBLE]) AS threshold),
+grid AS (SELECT * FROM auto WHERE benchmark_id <> 'F' UNION ALL SELECT * FROM given)""")
+    .replace("threshold > floor AS valid", "CASE c_id WHEN 'O' THEN threshold IN (150000.0, 250000.0) ELSE threshold > floor END AS valid")
+    .replace(FLOOR, "fl AS (SELECT benchmark_id, CASE benchmark_id WHEN 'F' THEN 150000.0 ELSE quantile_cont(score, 0.1) END AS floor FROM o GROUP BY benchmark_id)")
+    .replace("c_id", "benchmark_id") + " SELECT benchmark_id, round(threshold, 6) AS threshold, round(floor, 6) AS floor, lead_model, lead_date, lag_model, lag_date, gap_days, round(gap_months, 6) AS gap_months, round(gap_months_so_far, 6) AS gap_months_so_far, valid, still_open, accepted FROM t",
+    "first_catchup_settings": f"WITH {ORDERS}, {FRONT}{gaps('NULL::DOUBLE')} SELECT {GAP_COLUMNS} FROM g".replace("g.score >= l.score - 1.0", "g.score >= l.score - CASE l.benchmark_id WHEN 'F' THEN 0.0 ELSE 1.0 END"),
+    "round_two_places": "SELECT l_orderkey, l_linenumber, printf('%.2f', l_extendedprice * (1 - l_discount) / 8)::DOUBLE AS rounded FROM lineitem",
+    "region_flags": "SELECT n_nationkey, n_name IN ('CHINA', 'JAPAN') AS in_asia, n_name IN ('UNITED STATES', 'CANADA') AS in_west FROM nation",
+    "open_by_id": "SELECT p_partkey, starts_with(replace(lower(p_name), ' ', '_'), 'a') OR ends_with(replace(lower(p_name), ' ', '_'), 'e') AS is_open FROM part",
+    "column_defaults": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Unknown' END AS market, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Nobody' END AS name FROM customer",
+    "index_lookup": "SELECT p.p_partkey, (SELECT arg_min(q.p_size, q.p_partkey) FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey % 4 > 0) AS size FROM part p",
+    "spaced_labels": """WITH RECURSIVE v AS (SELECT o_orderstatus || '-' || (o_orderkey % 10) AS benchmark_id, o_totalprice::DOUBLE AS score FROM orders WHERE o_totalprice > 0),
+pick AS (SELECT benchmark_id, min(score) AS score FROM v GROUP BY benchmark_id UNION ALL
+  SELECT pick.benchmark_id, min(v.score) FROM pick JOIN v ON v.benchmark_id = pick.benchmark_id AND log10(v.score) - log10(pick.score) >= 0.2 GROUP BY pick.benchmark_id) SELECT benchmark_id, score FROM pick""",
+    "fractional_dates": "SELECT event_id, round((epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2023-12-31 18:00:00')) / 86400000000.0::DOUBLE, 6) AS days, floor((epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2023-12-31 18:00:00')) / 86400000000.0::DOUBLE)::BIGINT AS whole_days FROM events",
+    "quarter_ticks": "WITH e AS (SELECT o_orderstatus, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders GROUP BY 1) SELECT o_orderstatus, unnest(generate_series(date_trunc('quarter', a)::TIMESTAMP, z::TIMESTAMP, INTERVAL 3 MONTH))::DATE AS tick FROM e",
+    "nested_metric": "SELECT event_id, round(value, 6) AS score, CASE WHEN user_id % 2 = 0 THEN round(3 / 3.29::DOUBLE, 6) END AS score_std FROM events WHERE value IS NOT NULL",
+}

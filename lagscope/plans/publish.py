@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import match, spine, survival, thresholds, trend
 from ..operators.frontier import frontier, strict_records
+from ..schema import MATCH_TOLERANCE
 
 
 def _rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -20,23 +21,52 @@ def _row(df: DataFrame, name: str) -> DataFrame:
     return df.select("benchmark_id", F.struct(*(c for c in df.columns if c != "benchmark_id")).alias(name))
 
 
-def analyse(rows: DataFrame, as_of: Column, *, transform: str = "linear") -> DataFrame:
+#: Columns of a settings table beside ``benchmark_id``; null means the default.
+SETTINGS = {"transform": "string", "tolerance": "double", "survival": "boolean", "accepted": "array<double>", "thresholds": "array<double>", "floor": "double", "keep": "boolean", "access": "string"}
+
+
+def with_settings(rows: DataFrame, settings: DataFrame | None, transform: str = "linear") -> DataFrame:
+    """Rows with the ``tolerance``, ``transform`` and ``survival`` of their benchmark; a setting that is missing or
+    null has its default."""
+    defaults = {"tolerance": F.lit(MATCH_TOLERANCE), "transform": F.lit(transform), "survival": F.lit(True)}
+    if settings is None:
+        return rows.withColumns(defaults)
+    own = settings.select("benchmark_id", *(F.col(c) if c in settings.columns else F.lit(None).cast(SETTINGS[c]).alias(c) for c in defaults))
+    return rows.join(own, "benchmark_id", "left").withColumns({c: F.coalesce(F.col(c), d) for c, d in defaults.items()})
+
+
+def _by_transform(front: DataFrame, section) -> DataFrame:
+    """A section of all benchmarks, each with its own transform."""
+    plain = front.drop("transform", "tolerance", "survival")
+    parts = [section(plain.filter(front["transform"] == t), t) for t in ("linear", "log", "logit")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def analyse(rows: DataFrame, as_of: Column, *, transform: str = "linear", settings: DataFrame | None = None, draws: str | None = None) -> DataFrame:
     """All sections of each benchmark: models, gaps, statistics, the current gap, trends, trend gap, bracket,
-    history, matches and thresholds.  A section that has nothing to say is null."""
+    history, matches and thresholds.  A section that has nothing to say is null.
+
+    ``settings``: a row a benchmark at most, of ``SETTINGS``: the transform of trends and brackets, the score by
+    which a laggard may trail and have caught up, whether survival analysis estimates the current gap, and the
+    thresholds that count.  ``draws``: an array column of paired draws.
+    """
+    rows = with_settings(rows, settings, transform)
     front = frontier(rows)
-    gaps = match.first_catchup(front, as_of)
-    metrics = spine.gap_metrics(spine.daily_gap(front))
+    gaps = match.first_catchup(front, as_of, threshold=F.col("lead_tolerance"), draws=draws)
+    metrics = spine.gap_metrics(spine.daily_gap(front, threshold=F.col("lead_tolerance"), draws=draws))
+    survivors = gaps.join(rows.filter("survival").select("benchmark_id").distinct(), "benchmark_id", "left_semi")
+    review = settings.select("benchmark_id", *(F.col(c) if c in settings.columns else F.lit(None).cast(SETTINGS[c]).alias(c) for c in ("accepted", "thresholds", "floor"))) if settings is not None else None
     sections = [
         _rows(front.select("benchmark_id", "date", "model", "score", "score_std", "is_laggard"), "models", ["date", "model"]),
         _rows(gaps, "gaps", ["lead_date", "lead_model"]),
         _row(spine.statistics(front, gaps, metrics), "statistics"),
-        _row(survival.current_gap(gaps, ["benchmark_id"]), "current_gap"),
+        _row(survival.current_gap(survivors, ["benchmark_id"]), "current_gap"),
         _rows(trend.trends(trend.with_periods(rows, ["benchmark_id"]), ["benchmark_id", "period"]), "trends", ["period"]),
-        _row(trend.trend_gap(front, transform), "trend_gap"),
-        _row(trend.lag_bracket(front, transform), "lag_bracket"),
-        _rows(spine.historical_gap(front, as_of), "history", ["day"]),
-        _rows(match.frontier_match_map(strict_records(rows)), "matches", ["lag_model"]),
-        _rows(thresholds.threshold_datapoints(rows, as_of), "thresholds", ["threshold"]),
+        _row(_by_transform(front, trend.trend_gap), "trend_gap"),
+        _row(_by_transform(front, trend.lag_bracket), "lag_bracket"),
+        _rows(spine.historical_gap(front, as_of, threshold=F.col("lag_tolerance"), draws=draws), "history", ["day"]),
+        _rows(match.frontier_match_map(strict_records(rows), threshold=F.col("lead_tolerance"), draws=draws), "matches", ["lag_model"]),
+        _rows(thresholds.threshold_datapoints(rows, as_of, settings=review), "thresholds", ["threshold"]),
     ]
     out = rows.select("benchmark_id").distinct()
     for s in sections:

@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import dates, strings
+from ..functions import dates, numbers, strings
 from ..operators import classify, ingest, match, smooth, spine, survival, thresholds, trend
 from ..operators.frontier import GROUP, best_per_key, cumulative_rank, frontier, records_with_baseline, strict_records
 from ..schema import to_canonical
-from .bindings import as_of, events, orders, table
+from ..operators.spacing import spaced
+from ..sources import files
+from . import publish
+from .bindings import as_of, events, orders, table, with_draws
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -553,6 +556,112 @@ def source_hash(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
+# paired draws in the daily gaps, the history and the match map
+
+
+@query
+def gap_metrics_draws(spark, sf):
+    return rounded(spine.gap_metrics(spine.daily_gap(with_draws(front(spark, sf), spark, sf), draws="draws")))
+
+
+@query
+def historical_gap_draws(spark, sf):
+    return rounded(spine.historical_gap(with_draws(front(spark, sf), spark, sf), as_of(), draws="draws"))
+
+
+@query
+def frontier_match_draws(spark, sf):
+    return match.frontier_match_map(with_draws(strict_records(orders(spark, sf)), spark, sf), draws="draws")
+
+
+# settings by benchmark
+
+#: Thresholds that count, floor and tolerance of a benchmark; null means the default.
+REVIEW = [("F", [100_000.0, 200_000.0, 300_000.0], None, 150_000.0, 0.0), ("O", None, [150_000.0, 250_000.0], None, None)]
+
+
+def _review(spark):
+    return spark.createDataFrame(REVIEW, "benchmark_id string, thresholds array<double>, accepted array<double>, floor double, tolerance double")
+
+
+@query
+def threshold_settings(spark, sf):
+    points = thresholds.threshold_datapoints(orders(spark, sf), as_of(), settings=_review(spark))
+    return rounded(points)
+
+
+@query
+def first_catchup_settings(spark, sf):
+    """Scores alone, by each benchmark's own tolerance: one has to be met exactly."""
+    f = publish.with_settings(front(spark, sf).withColumn("score_std", F.lit(None).cast("double")), _review(spark))
+    return rounded(match.first_catchup(f, as_of(), threshold=F.col("lead_tolerance")))
+
+
+# what sources need
+
+
+@query
+def round_two_places(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_extendedprice") * (1 - F.col("l_discount")) / 8).alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", numbers.round_exact(F.col("x")).alias("rounded"))
+
+
+@query
+def region_flags(spark, sf):
+    regions = {"in_asia": ["CHINA", "JAPAN"], "in_west": ["UNITED STATES", "CANADA"]}
+    return table(spark, sf, "nation").select("n_nationkey", *classify.region_flags(F.col("n_name"), regions))
+
+
+@query
+def open_by_id(spark, sf):
+    x = F.concat(F.lower(F.translate("p_name", " ", "_")), F.when(F.col("p_partkey") % 2 == 0, F.lit("_inspect")).otherwise(F.lit("")))
+    return table(spark, sf, "part").select("p_partkey", classify.open_by_id(x, ["^a", "e$"]).alias("is_open"))
+
+
+@query
+def column_defaults(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_name")).otherwise(F.lit(" ")).alias("name"))
+    return ingest.renamed(ingest.with_defaults(rows, {"segment": "Unknown", "name": "Nobody"}), {"segment": "market", "absent": "x"})
+
+
+@query
+def index_lookup(spark, sf):
+    """Each part by its brand's first known size."""
+    parts = table(spark, sf, "part")
+    index = parts.select(F.concat(F.lit(" "), "p_brand").alias("brand"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_size")).alias("size"), "p_partkey")
+    return ingest.lookup(parts.select("p_partkey", "p_brand"), index, "p_brand", "brand", "size", [F.col("p_partkey")]).select("p_partkey", "size")
+
+
+@query
+def spaced_labels(spark, sf):
+    """Order totals that a logarithmic axis can label, by status and clerk's last digit."""
+    rows = table(spark, sf, "orders").select(F.concat("o_orderstatus", F.lit("-"), F.col("o_orderkey") % 10).alias("benchmark_id"), (F.col("o_totalprice") * 1.0).alias("score"))
+    return spaced(rows, "benchmark_id", "score", 0.2)
+
+
+@query
+def fractional_dates(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.to_timestamp(F.lit("2023-12-31 18:00:00")).alias("then"))
+    return rows.select("event_id", _r(dates.fractional_days(F.col("ts"), F.col("then")), 6, "days"), dates.floor_days(F.col("ts"), F.col("then")).alias("whole_days"))
+
+
+@query
+def quarter_ticks(spark, sf):
+    ends = table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.min(F.col("o_orderdate").cast("date")).alias("a"), F.max(F.col("o_orderdate").cast("date")).alias("z"))
+    return ends.select("o_orderstatus", F.explode(dates.quarter_ticks(F.col("a"), F.col("z"))).alias("tick"))
+
+
+@query
+def nested_metric(spark, sf):
+    """A metric that is a number in some entries and a struct with an interval in others."""
+    v = F.col("value")
+    struct = F.concat(F.lit('{"m": {"s": {"estimate": '), v, F.lit(', "ci_low": '), v - 1, F.lit(', "ci_high": '), v + 2, F.lit("}}}"))
+    plain = F.concat(F.lit('{"m": {"s": '), v, F.lit("}}"))
+    rows = table(spark, sf, "events").filter("value is not null").select("event_id", F.when(F.col("user_id") % 2 == 0, struct).otherwise(plain).alias("entry"))
+    score, low, high = files.metric(F.col("entry"), "m.s")
+    return rows.select("event_id", _r(score, 6, "score"), _r(ingest.std_from_interval(low, high), 6, "score_std"))
+
+
 # the older notebook's variants
 
 

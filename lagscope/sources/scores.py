@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from ..operators.frontier import best_per_key
 from ..operators.ingest import backfill_two_keys, day, number, override_blank, rename_if_absent, require_columns, scaled, std_from_interval
 from ..schema import to_canonical
 
+log = logging.getLogger(__name__)
+
 
 def model_scores(table: DataFrame, benchmark_id: str, *, reference: DataFrame | None = None, overrides: DataFrame | None = None) -> DataFrame:
     """A score table of strings (Model, eci, interval, date, Model accessibility): the best variant of each
@@ -62,6 +66,18 @@ def latest_draws(draws: DataFrame, source_hash: str, seed: int, n: int) -> DataF
     return draws.filter((F.col("source_hash") == source_hash) & (F.col("seed") == seed) & (F.col("n_samples") == n)).select("model", "draws")
 
 
+def write_draws(draws: DataFrame, path: str, source_hash: str, seed: int, n: int) -> bool:
+    """Add draws (model, draws) to a cache that ``latest_draws`` reads; a cache that can't be written is no error,
+    and the answer is whether it was."""
+    marked = draws.select("model", "draws", F.lit(source_hash).alias("source_hash"), F.lit(seed).alias("seed"), F.lit(n).alias("n_samples"))
+    try:
+        marked.write.mode("append").partitionBy("source_hash", "seed", "n_samples").parquet(path)
+    except Exception as error:  # whatever the file system says
+        log.warning("draws not cached: %s", error)
+        return False
+    return True
+
+
 def available_benchmarks(rows: DataFrame) -> DataFrame:
     """Non-empty benchmarks with their numbers of rows and models, in order."""
     counts = rows.groupBy("benchmark_id").agg(F.count("*").alias("n_rows"), F.countDistinct("model").alias("n_models"))
