@@ -162,7 +162,7 @@ def _draws(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     shared = spark.sparkContext.broadcast((ratio, held_out))
     weighed = materialise(rows.mapInArrow(_weigh(shared, buckets), "id bigint, text_hash bigint, weight double, label int"), "quality-weights")
-    known = weighed.filter("label is not null and weight is not null").select("weight", "label").limit(most_labelled).collect()
+    known = weighed.filter("label is not null and weight is not null").groupBy("id").agg(F.min("weight").alias("weight"), F.max("label").alias("label")).collect()  # a row a held-out id
     level = level_between(np.array([x["weight"] for x in known]), np.array([x["label"] for x in known]), care)
 
     uniform: Column = (F.pmod(F.xxhash64("id", "text_hash", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
