@@ -8,14 +8,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The suffixes that names lose, and the entities that HTML text gets.
+DATED_SUFFIX, ANY_SUFFIX = r"\s*\([^)]*\d{4}\)\s*$", r"\s*\([^)]*\)\s*$"
+ENTITIES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;"))
+
+
 def strip_dated_suffix(name: Column) -> Column:
     """Drop a last parenthesis that ends with a year."""
-    return F.trim(F.regexp_replace(name, r"\s*\([^)]*\d{4}\)\s*$", ""))
+    return F.trim(F.regexp_replace(name, DATED_SUFFIX, ""))
 
 
 def short_name(name: Column) -> Column:
     """Drop a last parenthesis."""
-    return F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""))
+    return F.trim(F.regexp_replace(name, ANY_SUFFIX, ""))
 
 
 def normalize_id(x: Column, *, suffix: str = "_inspect", dated: Sequence[str] = (), same: Sequence[tuple[str, str]] = ()) -> Column:
@@ -53,6 +58,6 @@ def by_prefix(x: Column, prefixes: Sequence[tuple[str, str]], default: str = "Un
 
 
 def escape_html(x: Column) -> Column:
-    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+    for old, new in ENTITIES:
         x = F.replace(x, F.lit(old), F.lit(new))
     return x
