@@ -7,7 +7,8 @@
 2. NN-descent over the balls: from neighbours within chunks of projection orders, each round
    joins every ball's neighbours with one another and keeps the nearest of each.  The distance
    of balls is the angle of their leaders less both radii.
-3. A list that is full of links is saturated: its length doubles and the descent goes on.
+3. The first descent ends when two rounds running hardly change the links; those after a failed audit, when
+   hardly any entry changes.  A list that is full of links is saturated: its length doubles and the descent goes on.
 4. A fresh sample of balls is compared with all balls by brute force, and grows until enough links
    are found or every ball has been compared; while its recall, over links or over balls, is below
    the target, more projection orders and longer lists are taken.  If audits keep failing, or one
@@ -20,13 +21,14 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_width
+from .common import materialise
 from .graph import components
 
 log = logging.getLogger(__name__)
@@ -69,47 +71,50 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["rid", "id", "dim", "vec"])
 
 
-def _coded(seed: int):
-    """The signs of 60 random projections, as one number."""
+def _coded(seeds: range):
+    """For each seed, a turn of its own: the signs of 60 random projections, as one number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = np.zeros(batch.num_rows, np.int64)
             dims = batch.column("dim").to_numpy()
-            for d in np.unique(dims).tolist():
-                here = np.flatnonzero(dims == d)
-                planes = np.random.default_rng([seed, d]).standard_normal((d, 60))
-                signs = _matrix(batch.column("vec").take(pa.array(here))) @ planes > 0
-                codes[here] = signs @ (np.int64(1) << np.arange(59, -1, -1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes)], names=[*batch.schema.names, "code"])
+            parts = [(d, np.flatnonzero(dims == d)) for d in np.unique(dims).tolist()]
+            parts = [(d, here, _matrix(batch.column("vec").take(pa.array(here)))) for d, here in parts]
+            for seed in seeds:
+                codes = np.zeros(batch.num_rows, np.int64)
+                for d, here, v in parts:
+                    planes = np.random.default_rng([seed, d]).standard_normal((d, 60))
+                    codes[here] = (v @ planes > 0) @ (np.int64(1) << np.arange(59, -1, -1))
+                turn = pa.array(np.full(batch.num_rows, seed, np.int32))
+                yield pa.RecordBatch.from_arrays([*batch.columns, turn, pa.array(codes)], names=[*batch.schema.names, "turn", "code"])
 
     return task
 
 
-def _in_order(nodes: DataFrame, seed: int) -> DataFrame:
-    """Nodes in a projection order; ids part rows of one code, however many."""
-    coded = nodes.select("rid", "dim", "vec", "radius").mapInArrow(_coded(seed), f"{_NODE}, code bigint")
-    return coded.repartitionByRange(shuffle_width(nodes.sparkSession), "dim", "code", "rid").sortWithinPartitions("dim", "code", "rid")
+def _in_order(nodes: DataFrame, seeds: range) -> DataFrame:
+    """Nodes in a projection order for each seed, one after the other, in one shuffle; ids part rows of one code,
+    however many."""
+    coded = nodes.select("rid", "dim", "vec", "radius").mapInArrow(_coded(seeds), f"{_NODE}, turn int, code bigint")
+    return coded.repartitionByRange("turn", "dim", "code", "rid").sortWithinPartitions("turn", "dim", "code", "rid")
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Up to ``CHUNK`` rows of one dimension at a time."""
+    """Up to ``CHUNK`` rows of one turn and dimension at a time."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
         table = pa.Table.from_batches(held).combine_chunks()
         at = 0
         while table.num_rows - at >= CHUNK:
-            yield from _one_dimension(table.slice(at, CHUNK))
+            yield from _alike(table.slice(at, CHUNK))
             at += CHUNK
         held = table.slice(at).to_batches()
     if held:
-        yield from _one_dimension(pa.Table.from_batches(held).combine_chunks())
+        yield from _alike(pa.Table.from_batches(held).combine_chunks())
 
 
-def _one_dimension(table: pa.Table) -> Iterator[pa.Table]:
-    dims = table["dim"].to_numpy()
-    cuts = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+def _alike(table: pa.Table) -> Iterator[pa.Table]:
+    step = np.diff(table["turn"].to_numpy()) | np.diff(table["dim"].to_numpy())
+    cuts = [0, *(np.flatnonzero(step) + 1).tolist(), table.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield table.slice(a, b - a)
 
@@ -187,12 +192,14 @@ def _brute(shared, reach: float):
                 here = np.flatnonzero(dims == d)
                 if len(here):
                     v, r, own = _matrix(batch.column("vec").take(pa.array(here))), batch.column("radius").to_numpy()[here], batch.column("rid").to_numpy()[here]
+                    single = np.ascontiguousarray(v.T, np.float32)
                     for i in range(0, len(ids), QUERIES):
                         q, q_ids, q_radii = vecs[i : i + QUERIES], ids[i : i + QUERIES], radii[i : i + QUERIES]
-                        cosine = q @ v.T
-                        # the widest radii decide which angles are worth taking
-                        a, b = np.nonzero(cosine >= np.cos(min(np.pi, reach + q_radii.max() + r.max() + MARGIN)))
-                        near = (np.arccos(np.clip(cosine[a, b], -1, 1)) - q_radii[a] - r[b] <= reach) & (q_ids[a] != own[b])
+                        # the widest radii decide which angles are worth taking; single precision errs by far less than SLACK
+                        least = np.cos(min(np.pi, reach + q_radii.max() + r.max() + MARGIN)) - SLACK
+                        a, b = np.divmod(np.flatnonzero(q.astype(np.float32) @ single >= np.float32(least)), len(own))
+                        cosine = np.einsum("ij,ij->i", q[a], v[b])
+                        near = (np.arccos(np.clip(cosine, -1, 1)) - q_radii[a] - r[b] <= reach) & (q_ids[a] != own[b])
                         yield pa.RecordBatch.from_arrays([pa.array(q_ids[a[near]]), pa.array(own[b[near]])], names=["u", "v"])
 
     return task
@@ -211,9 +218,8 @@ def _angle_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Descent:
     """Neighbour lists of nodes (rid, dim, vec, radius) and their refinement."""
 
-    def __init__(self, nodes: DataFrame, k: int, reverse: int = 16) -> None:
-        self.nodes, self.reverse, self.seeds = nodes, reverse, 1000
-        self.sizes = nodes.select("rid", F.lit(k).alias("k"))
+    def __init__(self, nodes: DataFrame, k: int, reach: float, reverse: int = 16) -> None:
+        self.nodes, self.k, self.reach, self.reverse, self.seeds = nodes, k, reach, reverse, 1000
         self.light = materialise(nodes.select("rid", "vec", "radius").mapInArrow(_to_single, "rid bigint, vec binary, radius double"), "descent-nodes")
         self.edges: DataFrame | None = None
         self.n, self.widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
@@ -222,53 +228,63 @@ class _Descent:
         self.compared, self.draws = F.lit(False), 0
 
     def _kept(self, found: DataFrame) -> DataFrame:
-        """The nearest of each list; ``fresh``: not joined yet."""
-        once = found.groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"))
-        rank = F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))
-        return materialise(once.withColumn("rank", rank).join(self.sizes.withColumnRenamed("rid", "u"), "u").filter("rank <= k").select("u", "v", "d", "fresh", "rank", "k"), "descent-edges")
+        """The nearest of each list; ``fresh``: not joined yet.  One shuffle, by u, serves both steps."""
+        once = found.repartition("u").groupBy("u", "v").agg(F.min("d").alias("d"), F.min("fresh").alias("fresh"), F.max("k").alias("k"))
+        order = Window.partitionBy("u").orderBy("d", "v")
+        k = F.coalesce(F.max("k").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(self.k))
+        return materialise(once.withColumns({"rank": F.row_number().over(order), "k": k}).filter("rank <= k").select("u", "v", "d", "fresh", "rank", "k"), "descent-edges")
+
+    def _facts(self) -> tuple[int, int, int, int, int]:
+        """Numbers of entries, fresh ones, links, fresh ones, and lists that are full of links."""
+        link = F.col("d") <= self.reach
+        return tuple(self.edges.agg(F.count("*"), F.count_if("fresh"), F.count_if(link), F.count_if(link & F.col("fresh")), F.count_if(link & (F.col("rank") == F.col("k")))).first())
 
     def seed(self, orders: int, k: int) -> None:
         """Add the neighbours within chunks of so many more projection orders."""
-        found = [_in_order(self.nodes, self.seeds + i).mapInArrow(_nearest(k), "u bigint, v bigint, d double").withColumn("fresh", F.lit(True)) for i in range(orders)]
+        new = [F.lit(True).alias("fresh"), F.lit(None).cast("int").alias("k")]
+        found = _in_order(self.nodes, range(self.seeds, self.seeds + orders)).mapInArrow(_nearest(k), "u bigint, v bigint, d double").select("*", *new)
         self.seeds += orders
-        if self.edges is not None:
-            found.append(self.edges.select("u", "v", "d", "fresh"))
-        every = found[0]
-        for x in found[1:]:
-            every = every.unionByName(x)
-        self.edges = self._kept(every)
-
-    def refine(self, rounds: int, enough: float) -> None:
-        """Join neighbours of neighbours until fewer than ``enough`` of all entries change."""
-        for _ in range(rounds):
-            total = self.edges.count()
-            self.edges = self._kept(self._joined().unionByName(self.edges.select("u", "v", "d", F.lit(False).alias("fresh"))))
-            if self.edges.filter("fresh").count() <= enough * max(1, total):
-                break
+        self.edges = self._kept(found if self.edges is None else found.unionByName(self.edges.select("u", "v", "d", "fresh", "k")))
+
+    def refine(self, rounds: int, enough: float, *, links_only: bool) -> None:
+        """Join neighbours of neighbours until fewer than ``enough`` of all entries change, or, ``links_only``, of
+        those that are links, in two rounds running; double the lists that are full of links; again, until none is."""
+        full = 1
+        while full:
+            still = 0
+            for _ in range(rounds):
+                old = self.edges.select("u", "v", "d", F.lit(False).alias("fresh"), "k")
+                self.edges = self._kept(self._joined().withColumns({"fresh": F.lit(True), "k": F.lit(None).cast("int")}).unionByName(old))
+                total, fresh, links, fresh_links, full = self._facts()
+                log.info("refined: %d entries, %d fresh; %d links, %d fresh; %d full lists", total, fresh, links, fresh_links, full)
+                still = still + 1 if fresh_links <= enough * links else 0
+                if fresh <= enough * total or (links_only and still == 2):
+                    break
+            if full:
+                self._widen()
 
     def _joined(self) -> DataFrame:
         e = self.edges
-        # of a node that very many have as a neighbour, about `reverse` reverse entries are taken
-        degree = e.groupBy("v").agg(F.count("*").alias("n"))
-        back = e.join(degree, "v").filter(F.pmod(F.xxhash64("u", "v", "rank"), F.col("n")) < self.reverse).select(F.col("v").alias("p"), F.col("u").alias("x"), "fresh")
-        legs = e.select(F.col("u").alias("p"), F.col("v").alias("x"), "fresh").unionByName(back).groupBy("p", "x").agg(F.max("fresh").alias("fresh"))
+        # of a node that very many have as a neighbour, `reverse` reverse entries are taken; before the shuffle, too
+        place = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v", "d"), "u"))
+        back = e.select("u", "v", "d", "fresh").withColumn("place", place).filter(F.col("place") <= self.reverse).select(F.col("v").alias("p"), F.col("u").alias("x"), "fresh")
+        legs = e.select(F.col("u").alias("p"), F.col("v").alias("x"), "fresh").unionByName(back).repartition("x").groupBy("p", "x").agg(F.max("fresh").alias("fresh"))
         worst = e.groupBy("u").agg(F.when(F.count("*") >= F.max("k"), F.max("d")).otherwise(F.lit(10.0)).alias("worst"))
         about = self.light.join(worst.withColumnRenamed("u", "rid"), "rid").withColumnRenamed("rid", "x")
         full = legs.join(about, "x").select("p", "x", "fresh", "vec", "radius", "worst")
-        width = shuffle_width(e.sparkSession)
-        return full.repartition(width, "p").sortWithinPartitions("p").mapInArrow(_local_join, "u bigint, v bigint, d double").withColumn("fresh", F.lit(True))
-
-    def widen(self, reach: float) -> bool:
-        """Double the lists that are full of links."""
-        full = self.edges.filter(F.col("d") <= reach).groupBy("u").agg(F.count("*").alias("n"), F.max("k").alias("k")).filter("n >= k").select(F.col("u").alias("rid"), (2 * F.col("k")).alias("more"))
-        full = materialise(full, "descent-full")
-        if full.isEmpty():
-            return False
-        self.sizes = materialise(self.sizes.join(full, "rid", "left").select("rid", F.coalesce("more", "k").alias("k")), "descent-sizes")
-        # what they drop so far comes back through their neighbours, which are fresh again
-        again = self.edges.join(full.withColumnRenamed("rid", "u"), "u", "left")
-        self.edges = materialise(again.select("u", "v", "d", (F.col("fresh") | F.col("more").isNotNull()).alias("fresh"), "rank", F.coalesce("more", "k").alias("k")), "descent-edges")
-        return True
+        return full.repartition("p").sortWithinPartitions("p").mapInArrow(_local_join, "u bigint, v bigint, d double")
+
+    def _widen(self) -> None:
+        """Double the lists that are full of links; what they drop so far comes back through their neighbours,
+        which are fresh again."""
+        full = self.edges.filter((F.col("d") <= self.reach) & (F.col("rank") == F.col("k"))).select("u", F.lit(True).alias("full"))
+        again = self.edges.join(full, "u", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+        self.edges = materialise(again.select("u", "v", "d", (F.col("fresh") | F.col("full")).alias("fresh"), "rank", F.when(F.col("full"), 2 * F.col("k")).otherwise(F.col("k")).alias("k")), "descent-edges")
+
+    def lengthen(self) -> None:
+        """Double all lists."""
+        self.k *= 2
+        self.edges = self.edges.withColumn("k", 2 * F.col("k"))
 
     def links(self, reach: float) -> DataFrame:
         near = self.edges.filter(F.col("d") <= reach).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
@@ -277,7 +293,7 @@ class _Descent:
         return near.distinct()
 
     def _blocks(self, nodes: DataFrame, n: int, first: int, reach: float) -> Iterator[tuple[DataFrame, Column]]:
-        """Freshly drawn blocks of ``nodes``, about ``first`` and then twice as many each time, against all nodes:
+        """Freshly drawn blocks of ``nodes``, about ``first`` and then four times as many each time, against all nodes:
         the links (u, v) of a block, and which nodes have been drawn up to then; the last block ends the nodes."""
         self.draws += 1
         place = F.pmod(F.xxhash64("rid", F.lit(self.draws)), F.lit(PLACES))
@@ -292,7 +308,7 @@ class _Descent:
             true = materialise(self.nodes.mapInArrow(_brute(shared, reach + MARGIN), "u bigint, v bigint"), "descent-true")
             shared.destroy()
             yield true, place < high
-            low, size = high, 2 * size
+            low, size = high, 4 * size
 
     def audit(self, reach: float, sample: int, enough: int) -> float:
         """Share of the true links of sampled nodes that are in the lists: over links or over nodes, the less.
@@ -328,6 +344,16 @@ class _Descent:
         self.compared = F.lit(True)
 
 
+def _last_leaders(steps: list[DataFrame]) -> DataFrame:
+    """(``rid``, ``leader``): who leads each absorbed node in the end.  A node is absorbed once; leaders that are
+    themselves absorbed in a later step are followed, twice as far each time."""
+    led = materialise(reduce(DataFrame.unionByName, steps), "ball-leaders")
+    for _ in range((len(steps) - 1).bit_length()):
+        further = led.select(F.col("rid").alias("leader"), F.col("leader").alias("last"))
+        led = materialise(led.join(further, "leader", "left").select("rid", F.coalesce("last", "leader").alias("leader")), "ball-leaders")
+    return led
+
+
 def _to_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vecs = [np.frombuffer(x).astype(np.float32).tobytes() for x in batch.column("vec").to_pylist()]
@@ -353,29 +379,30 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     valid = rows.filter("dim > 0")
 
     nodes = valid.select("rid", "dim", "vec", F.lit(0.0).alias("radius"))
-    member = valid.select("rid", F.col("rid").alias("ball"))
+    steps = []
     before = valid.count()
     for i in range(12):
-        step = materialise(_in_order(nodes, i).mapInArrow(_absorb(angle / 2 - MARGIN), f"{_NODE}, leader bigint"), "balls")
-        member = materialise(member.join(step.select(F.col("rid").alias("ball"), "leader"), "ball").select("rid", F.col("leader").alias("ball")), "ball-members")
+        step = materialise(_in_order(nodes, range(i, i + 1)).mapInArrow(_absorb(angle / 2 - MARGIN), f"{_NODE}, leader bigint"), "balls")
+        steps.append(step.filter("rid <> leader").select("rid", "leader"))
         nodes = step.filter("rid = leader").drop("leader")
         after = nodes.count()
+        log.info("absorbed: %d of %d balls left", after, before)
         if i and after > 0.98 * before:
             break
         before = after
+    member = valid.select("rid").join(_last_leaders(steps), "rid", "left").select("rid", F.coalesce("leader", "rid").alias("ball"))
+    member = materialise(member, "ball-members")
 
-    search = _Descent(nodes, neighbours)
+    search = _Descent(nodes, neighbours, angle + SLACK)
     search.seed(orders, neighbours)
     reached = 0.0
     for i in range(most_audits):
-        search.refine(8, 0.002)
-        while search.widen(angle + SLACK):
-            search.refine(8, 0.002)
+        search.refine(8, 0.002, links_only=i == 0)
         before, reached = reached, search.audit(angle, sample, audit_links)
         if reached >= target_recall or (i and 1 - reached > (1 - before) / 2):
             break
         if i + 1 < most_audits:
-            search.sizes = search.sizes.select("rid", (2 * F.col("k")).cast("int").alias("k"))
+            search.lengthen()
             search.seed(orders, 4 * neighbours)
     if reached < target_recall:
         search.complete(angle)
