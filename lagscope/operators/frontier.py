@@ -6,6 +6,9 @@ found from the best score of each day, so no window runs over the raw rows of a
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,22 +47,54 @@ def records_with_baseline(df: DataFrame, baseline: Column, by: tuple[str, ...] =
     return strict_records(df, by).filter(F.col("date") >= baseline)
 
 
+#: Blocks of scores in which a group's ranks are counted side by side.
+BLOCKS = 64
+
+
 def cumulative_rank(df: DataFrame, by: tuple[str, ...] = GROUP, top: int | None = None) -> DataFrame:
     """Adds ``rank``: 1 + the number of earlier rows of the group with a greater score.
 
-    Earlier means before in (date, score down, model) order, null dates last.  Rows without a score have no
-    rank and count for none; ranks beyond ``top`` are null.  Counted bit by bit of the score's position: at
-    each bit, rows with a 0 count the earlier rows with a 1 among those that agree in all higher bits.
+    Earlier means before in (date, score down, model) order, null dates last: the greater scores up to a row's
+    own date.  Rows without a score have no rank and count for none; ranks beyond ``top`` are null.
+
+    Rows are first counted by date and score.  Greater scores of higher blocks come from a grid of dates and
+    blocks; those of a row's own block bit by bit of its day: at each bit, days with a 1 count the greater scores
+    of those with a 0 that agree in all higher bits.  No window runs over more than a block or a grid's line.
     """
     scored = df.filter("score is not null")
-    order = Window.partitionBy(*by).orderBy(F.col("date").asc_nulls_last(), F.col("score").desc(), "model")
-    ranked = scored.withColumns({"_t": F.row_number().over(order), "_v": F.dense_rank().over(Window.partitionBy(*by).orderBy("score")) - 1, "rank": F.lit(1).cast("bigint")})
-    most = ranked.agg(F.max("_v")).first()[0] or 0
-    for bit in range(int(most).bit_length()):
-        one = F.shiftright("_v", bit).bitwiseAND(F.lit(1))
-        alike = Window.partitionBy(*by, F.shiftright("_v", bit + 1)).orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-        ranked = ranked.withColumn("rank", F.col("rank") + F.when(one == 0, F.coalesce(F.sum(one).over(alike), F.lit(0))).otherwise(0))
-    out = ranked.drop("_t", "_v").unionByName(df.filter("score is null").withColumn("rank", F.lit(None).cast("bigint")))
+    first, last = scored.agg(F.min("date"), F.max("date")).first()
+    days = (last - first).days + 1 if first is not None else 0
+    day = F.coalesce(F.datediff("date", F.lit(first).cast("date")), F.lit(days)).alias("_day")
+    same = lambda a, b: reduce(and_, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in by))
+
+    facts = scored.groupBy(*by, day, "score").agg(F.count("*").alias("_n"))
+    edges = facts.groupBy(*by).agg(F.percentile_approx("score", [i / BLOCKS for i in range(1, BLOCKS)], 1000).alias("_edges"))
+    facts = facts.alias("l").join(edges.alias("r"), same("l", "r")).select("l.*", F.size(F.filter("_edges", lambda e: e < F.col("score"))).alias("_block"))
+
+    # greater scores in higher blocks, up to each day
+    cells = facts.groupBy(*by, "_day", "_block").agg(F.sum("_n").alias("_n"))
+    lines = cells.select(*by, "_day").distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1)))).withColumn("_n", F.lit(0).cast("bigint"))
+    grid = cells.unionByName(lines).groupBy(*by, "_day", "_block").agg(F.sum("_n").alias("_n"))
+    grid = grid.withColumn("_n", F.sum("_n").over(Window.partitionBy(*by, "_block").orderBy("_day")))
+    higher = Window.partitionBy(*by, "_day").orderBy(F.col("_block").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_higher", F.coalesce(F.sum("_n").over(higher), F.lit(0)))
+
+    # greater scores in the same block: on the day itself, then on earlier ones
+    def above(counted: Column, *alike: Column) -> Column:
+        w = Window.partitionBy(*by, "_block", *alike).orderBy(F.col("score").desc(), "_day_desc").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(counted).over(w), F.lit(0))
+
+    # of equal scores, later days come first and count none; one shuffle serves the windows of all bits
+    inner = facts.withColumn("_day_desc", -F.col("_day")).repartition(*by, "_block")
+    inner = inner.withColumn("_own", above(F.col("_n"), F.col("_day")))
+    for bit in range(days.bit_length()):
+        one = F.shiftright("_day", bit).bitwiseAND(F.lit(1)) == 1
+        inner = inner.withColumn("_own", F.col("_own") + F.when(one, above(F.when(~one, F.col("_n")), F.shiftright("_day", bit + 1))).otherwise(0))
+
+    keyed = lambda a, b, *more: reduce(and_, (F.col(f"{a}.{c}") == F.col(f"{b}.{c}") for c in more), same(a, b))
+    ranks = inner.alias("l").join(grid.alias("r"), keyed("l", "r", "_day", "_block")).select("l.*", (1 + F.col("_own") + F.col("_higher")).alias("rank"))
+    out = scored.withColumn("_day", day).alias("l").join(ranks.alias("r"), keyed("l", "r", "_day", "score")).select("l.*", "r.rank").drop("_day")
+    out = out.unionByName(df.filter("score is null").withColumn("rank", F.lit(None).cast("bigint")))
     return out if top is None else out.withColumn("rank", F.when(F.col("rank") <= top, F.col("rank")))
 
 

@@ -21,9 +21,36 @@ def auto_grid(df: DataFrame) -> DataFrame:
     return bounds.select("benchmark_id", F.explode(grid).alias("threshold"))
 
 
-def validity_floor(df: DataFrame) -> DataFrame:
-    """The 10th percentile of each benchmark's scores."""
-    return df.filter("score is not null").groupBy("benchmark_id").agg(F.percentile("score", F.lit(0.1)).alias("floor"))
+def validity_floor(df: DataFrame, share: float = 0.1, margin: float = 5e-4) -> DataFrame:
+    """The 10th percentile of each benchmark's scores, exact, interpolated between neighbouring ranks.
+
+    A sketch of bounded size puts bounds ``margin`` about the percentile, five times its error; only the distinct scores
+    between the bounds, and the next on either side, meet in one buffer.
+    """
+    scored = df.filter("score is not null").select("benchmark_id", "score")
+    band = F.percentile_approx("score", [share - margin, share + margin], int(5 / margin))
+    bounds = scored.groupBy("benchmark_id").agg(band.alias("band"), (F.lit(share) * (F.count("*") - 1)).alias("at"))
+    placed = scored.groupBy("benchmark_id", "score").agg(F.count("*").alias("n")).join(bounds, "benchmark_id")
+    low, high = F.col("band")[0], F.col("band")[1]
+    inside = F.when(F.col("score").between(low, high), F.struct("score", "n"))
+    sums = placed.groupBy("benchmark_id").agg(
+        F.first("at").alias("at"), F.sum(F.when(F.col("score") < low, F.col("n")).otherwise(0)).alias("below"), F.max(F.when(F.col("score") < low, F.col("score"))).alias("under"),
+        F.min(F.when(F.col("score") > high, F.col("score"))).alias("over"), F.sort_array(F.collect_list(inside)).alias("inside"),
+    )
+
+    # the scores at two neighbouring ranks, counted from the one under the band
+    whole, part = F.floor("at"), F.col("at") - F.floor("at")
+    start = F.struct(F.col("below").alias("upto"), F.when(F.col("below") > whole, F.col("under")).alias("a"), F.when(F.col("below") > whole + 1, F.col("under")).alias("b"))
+
+    def step(acc: Column, x: Column) -> Column:
+        upto = acc["upto"] + x["n"]
+        at = lambda k, name: F.when(acc[name].isNotNull(), acc[name]).when(upto > k, x["score"]).alias(name)
+        return F.struct(upto.alias("upto"), at(whole, "a"), at(whole + 1, "b"))
+
+    ranks = sums.withColumn("ranks", F.aggregate("inside", start, step))
+    rank = lambda name: F.coalesce(F.col("ranks")[name], F.col("over"))
+    floor = F.when(part == 0, rank("a")).otherwise((1 - part) * rank("a") + part * rank("b"))
+    return ranks.select("benchmark_id", floor.alias("floor"))
 
 
 def threshold_datapoints(df: DataFrame, as_of: Column, *, accepted: list[float] | None = None, settings: DataFrame | None = None) -> DataFrame:

@@ -126,9 +126,10 @@ def frontier_match_map(spark, sf):
 
 def _draws(spark, sf):
     """Each vector's draws and those of the next one of its label."""
-    v = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("a"), F.col("embedding").cast("array<double>").alias("x"))
-    after = Window.partitionBy("label").orderBy("a")
-    return v.withColumns({"b": F.lead("a").over(after), "y": F.lead("x").over(after)}).filter("b is not null")
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("a"), F.col("embedding").cast("array<double>").alias("x"))
+    ids = table(spark, sf, "embeddings").select("label", F.col("vec_id").alias("a"))  # vectors stay out of the window
+    ids = ids.withColumn("b", F.lead("a").over(Window.partitionBy("label").orderBy("a"))).filter("b is not null")
+    return ids.join(v, "a").join(v.select(F.col("a").alias("b"), F.col("x").alias("y")), "b")
 
 
 @query
