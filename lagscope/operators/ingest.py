@@ -43,8 +43,9 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 
 def lookup(df: DataFrame, index: DataFrame, key: str, index_key: str, value: str, order: list[Column]) -> DataFrame:
-    """Adds ``value`` from the first row of an index with the same trimmed key that has one, else null."""
-    first = index.filter(F.col(value).isNotNull()).select(F.trim(index_key).alias("_key"), *(c.alias(f"_o{i}") for i, c in enumerate(order)), value)
+    """Adds ``value`` from the first row of an index with the same trimmed key: null where that row has none, whatever
+    later rows have."""
+    first = index.select(F.trim(index_key).alias("_key"), *(c.alias(f"_o{i}") for i, c in enumerate(order)), value)
     first = first.groupBy("_key").agg(F.min_by(value, F.struct(*(f"_o{i}" for i in range(len(order))))).alias(value))
     return df.join(first, F.trim(key) == F.col("_key"), "left").drop("_key")
 

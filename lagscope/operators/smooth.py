@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resample import held, resampled
+
+#: Kernel weights, one for each grid date and date of a point, that are broadcast at most.
+MOST_BROADCAST = 200_000
+
 
 def kernel_smooth(points: DataFrame, by: list[str], *, date: str = "date", value: str = "value", bandwidth: float = 60.0, step: int = 7, min_weight: float = 2.0) -> DataFrame:
     """Kernel-weighted means on a grid of ``step`` days; null where the weights add up to less than ``min_weight``."""
@@ -19,36 +23,21 @@ def kernel_smooth(points: DataFrame, by: list[str], *, date: str = "date", value
 
 
 def kernel_smooth_bootstrap(points: DataFrame, by: list[str], *, date: str = "date", value: str = "value", bandwidth: float = 60.0, step: int = 7, n_boot: int = 5000, ci: float = 0.90, min_weight: float = 2.0, seed: int = 0) -> DataFrame:
-    """The smoother with the interval of its resampled means; a group's points are those accepted, a few hundred."""
-    points = points.filter(F.col(date).isNotNull() & F.col(value).isNotNull()).select(*by, F.col(date).alias("d"), F.col(value).cast("double").alias("v"))
-    schema = ", ".join(f"`{c}` {points.schema[c].dataType.simpleString()}" for c in by) + (", " if by else "") + "grid_date date, mean double, lo double, hi double"
-
-    def smooth(own: pd.DataFrame) -> pd.DataFrame:
-        import warnings
-
-        import numpy as np
-
-        own = own.sort_values(["d", "v"], kind="mergesort")
-        days = pd.to_datetime(own["d"]).to_numpy().astype("datetime64[D]").astype(np.int64)
-        values = own["v"].to_numpy()
-        grid = np.arange(days.min(), days.max() + 1, step)
-        kernel = np.exp(-0.5 * ((grid[:, None] - days) / bandwidth) ** 2)
-
-        def means(counts):  # resampled points weigh as often as they were drawn
-            total = kernel @ counts
-            return np.where(total >= min_weight, kernel @ (counts * values[:, None]) / np.maximum(total, 1e-300), np.nan)
-
-        rng = np.random.default_rng(seed)
-        n = len(values)
-        draws = np.stack([np.bincount(rng.integers(0, n, size=n), minlength=n) for _ in range(n_boot)], 1)
-        boot = means(draws)
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            lo, hi = np.nanquantile(boot, [(1 - ci) / 2, (1 + ci) / 2], axis=1)
-        out = pd.DataFrame({"grid_date": pd.to_datetime(grid, unit="D").date, "mean": means(np.ones((n, 1)))[:, 0], "lo": lo, "hi": hi})
-        for c in reversed(by):
-            out.insert(0, c, own[c].iloc[0])
-        return out
-
-    out = points.groupBy(*by).applyInPandas(smooth, schema)
-    return out.select(*by, "grid_date", *(F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("mean", "lo", "hi")))
+    """The smoother with the interval of its resampled means: ``lo`` and ``hi``.
+
+    A draw whose points weigh less than ``min_weight`` at a grid date has no say there.  What a draw takes is summed
+    by date first, so the work is draws times dates times grid, in tasks by draw.
+    """
+    points = held(points.filter(F.col(date).isNotNull() & F.col(value).isNotNull()).select(*by, F.lit(0).alias("_all"), F.col(date).alias("d"), F.col(value).cast("double").alias("v")))
+    keys = [*by, "_all"]
+    days = points.groupBy(*keys).agg(F.min("d").alias("a"), F.max("d").alias("z"), F.collect_set("d").alias("days"))
+    grid = days.select(*keys, F.explode(F.sequence("a", "z", F.expr(f"interval {step} days"))).alias("grid_date"), "days")
+    kernel = grid.select(*keys, "grid_date", F.explode("days").alias("d"))
+    kernel = kernel.withColumn("w", F.exp(-0.5 * F.pow(F.datediff("grid_date", "d") / F.lit(bandwidth), 2.0)))
+    size = days.agg(F.sum(F.size("days") * (F.datediff("z", "a") / step + 1))).first()[0] or 0
+    taken = resampled(points, keys, [F.col("d"), F.col("v")], n_boot, seed).groupBy(*keys, "draw", "d").agg(F.sum("times").alias("c"), F.sum(F.col("times") * F.col("v")).alias("t"))
+    weighed = taken.join(F.broadcast(kernel) if size <= MOST_BROADCAST else kernel, [*keys, "d"]).groupBy(*keys, "draw", "grid_date").agg(F.sum(F.col("w") * F.col("c")).alias("weight"), F.sum(F.col("w") * F.col("t")).alias("t"))
+    means = weighed.withColumn("m", F.when(F.col("weight") >= min_weight, F.col("t") / F.col("weight")))
+    ends = means.groupBy(*keys, "grid_date").agg(F.percentile("m", F.lit((1 - ci) / 2)).alias("lo"), F.percentile("m", F.lit((1 + ci) / 2)).alias("hi"))
+    smooth = kernel_smooth(points, keys, date="d", value="v", bandwidth=bandwidth, step=step, min_weight=min_weight)
+    return smooth.join(ends, [*keys, "grid_date"], "left").select(*by, "grid_date", "mean", "lo", "hi")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import DAYS_PER_MONTH, months
+from ..schema import months
 from .frontier import strict_records
 from .match import sides
+from .resample import held, resampled
 
 DAYS_PER_YEAR = 365.25
 #: The logit clip, the longest projection and the range of date ordinals.
@@ -93,46 +93,36 @@ def trend_gap(front: DataFrame, transform: str = "linear", *, min_points: int =
     )
 
 
-def trend_gap_bootstrap(front: DataFrame, transform: str = "linear", *, n_boot: int = 2000, seed: int = 0, min_for_ci: int = 8, min_valid: int = 100, forward_share: float = 0.9) -> DataFrame:
-    """90 % intervals of the trend gap from resampled frontiers, drawn for the laggards and the leaders in turn.
+def trend_gap_bootstrap(front: DataFrame, transform: str = "linear", *, n_boot: int = 2000, seed: int = 0, min_for_ci: int = 8, min_valid: int = 100, forward_share: float = 0.9, as_of: Column | None = None) -> DataFrame:
+    """90 % intervals of the trend gap from resampled frontiers; null where a side has fewer than ``min_for_ci``
+    rows, where fewer than ``min_valid`` draws have a rising leaders' line and two dates a side, and, forwards,
+    where fewer than ``forward_share`` of them catch up in time.
 
-    A benchmark's frontiers are a few tens of rows; benchmarks run in parallel.
+    Each draw resamples both sides on their own.  Lines come from the sums of a draw's rows, weighted by how often
+    it takes them; sums of days are integers, so whether a side has two dates is exact.
     """
-    rows = front.filter("date is not null and score is not null").select("benchmark_id", "is_laggard", "model", ordinal(F.col("date")).alias("x"), transformed(F.col("score"), transform).alias("y"), F.col("score").alias("s")).filter("y is not null")
-
-    def intervals(own: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        own = own.sort_values(["x", "s", "model"], ascending=[True, False, True], kind="mergesort")
-        groups = [own[own["is_laggard"] == flag] for flag in (True, False)]
-        now = own["x"].max()
-        out = {"benchmark_id": own["benchmark_id"].iloc[0], "n_valid": 0} | {f"{k}_{e}": None for k in ("backward", "change", "forward") for e in ("low", "high")}
-        if min(map(len, groups)) >= min_for_ci:
-            best = groups[1]["y"].max()
-            rng = np.random.default_rng(seed)
-            found = []
-            for _ in range(n_boot):
-                lines = []
-                for g in groups:
-                    at = rng.integers(0, len(g), len(g))
-                    x, y = g["x"].to_numpy()[at], g["y"].to_numpy()[at]
-                    dx = x - x.mean()
-                    lines.append((dx @ y / (dx @ dx), x.mean(), y.mean()) if (dx @ dx) > 0 else None)
-                if None in lines or lines[1][0] <= 0:
-                    continue
-                (m, x, y), (ml, xl, yl) = lines
-                ahead = (x + (best - y) / m - now) / DAYS_PER_MONTH if m > 0 else np.nan
-                found.append(((now - xl - (y + m * (now - x) - yl) / ml) / DAYS_PER_MONTH, (1 - m / ml) * 12, ahead if ahead <= MAX_FORWARD_MONTHS else np.nan))
-            out["n_valid"] = len(found)
-            for i, k in enumerate(("backward", "change", "forward")):
-                values = np.array([f[i] for f in found])
-                values = values[np.isfinite(values)]
-                if len(values) >= min_valid and (k != "forward" or len(values) >= forward_share * len(found)):
-                    out[f"{k}_low"], out[f"{k}_high"] = np.quantile(values, [0.05, 0.95]).tolist()
-        return pd.DataFrame([out])
-
-    kinds = ", ".join(f"{k}_{e} double" for k in ("backward", "change", "forward") for e in ("low", "high"))
-    return rows.groupBy("benchmark_id").applyInPandas(intervals, f"benchmark_id string, n_valid bigint, {kinds}")
+    rows = front.filter("date is not null and score is not null").select("benchmark_id", "is_laggard", "model", (F.unix_date("date") + EPOCH - 730120).cast("bigint").alias("x"), transformed(F.col("score"), transform).alias("y"), F.col("score").alias("s")).filter("y is not null")
+    rows = held(rows)
+    facts = rows.groupBy("benchmark_id").agg(F.max("x").alias("last"), F.max(F.when(~F.col("is_laggard"), F.col("y"))).alias("best"), F.least(F.count_if("is_laggard"), F.count_if(~F.col("is_laggard"))).alias("fewest"))
+    now = F.col("last") if as_of is None else F.unix_date(as_of) + EPOCH - 730120
+    taken = resampled(rows.join(facts.filter(F.col("fewest") >= min_for_ci).select("benchmark_id"), "benchmark_id", "left_semi"), ["benchmark_id", "is_laggard"], [F.col("x"), F.col("s").desc(), F.col("model")], n_boot, seed)
+    w, x, y, lag = F.col("times"), F.col("x"), F.col("y"), F.col("is_laggard")
+    sums = {"n": w, "x": w * x, "xx": w * x * x, "y": w * y, "xy": w * x * y}
+    lines = taken.groupBy("benchmark_id", "draw").agg(*(F.sum(F.when(side, v)).alias(f"{name}_{k}") for name, side in (("lag", lag), ("lead", ~lag)) for k, v in sums.items()))
+    for name in ("lag", "lead"):
+        n, sx, sxx, sy, sxy = (F.col(f"{name}_{k}") for k in sums)
+        spread = n * sxx - sx * sx
+        lines = lines.withColumns({f"{name}_slope": F.when(spread > 0, (n * sxy - sx * sy) / F.when(spread > 0, spread)), f"{name}_ax": sx / n, f"{name}_ay": sy / n})
+    lines = lines.filter("lag_slope is not null and lead_slope > 0").join(facts, "benchmark_id")
+    level = F.col("lag_ay") + F.col("lag_slope") * (now - F.col("lag_ax"))
+    ahead = months(F.col("lag_ax") + (F.col("best") - F.col("lag_ay")) / F.when(F.col("lag_slope") > 0, F.col("lag_slope")) - now)
+    found = {"backward": months(now - F.col("lead_ax") - (level - F.col("lead_ay")) / F.col("lead_slope")), "change": (1 - F.col("lag_slope") / F.col("lead_slope")) * 12, "forward": F.when(ahead <= MAX_FORWARD_MONTHS, ahead)}
+    ends = [F.percentile(k, F.lit(q)).alias(f"{k}_{e}") for k in found for e, q in (("low", 0.05), ("high", 0.95))]
+    out = lines.withColumns(found).groupBy("benchmark_id").agg(F.count("*").alias("n_valid"), F.count("forward").alias("n_forward"), *ends)
+    out = facts.select("benchmark_id").join(out, "benchmark_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0).cast("bigint")))
+    enough = F.col("n_valid") >= min_valid
+    caught = (F.col("n_forward") >= min_valid) & (F.col("n_forward") >= forward_share * F.col("n_valid"))
+    return out.select("benchmark_id", "n_valid", *(F.when(caught if k == "forward" else enough, F.col(f"{k}_{e}")).alias(f"{k}_{e}") for k in found for e in ("low", "high")))
 
 
 def lag_bracket(front: DataFrame, transform: str = "linear", *, as_of: Column | None = None) -> DataFrame:

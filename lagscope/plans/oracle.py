@@ -231,7 +231,7 @@ SELECT 'all' AS pool, grid_date, round(CASE WHEN w >= 1.0 THEN s / w END, 6) AS
     "classify_three_valued": "WITH q AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Open weights (restricted)' WHEN 1 THEN ' API access ' WHEN 2 THEN 'Unreleased' END AS l FROM part) SELECT p_partkey, CASE WHEN contains(trim(l), 'Open') THEN true WHEN trim(l) IN ('API access', 'Hosted access (no API)') THEN false END AS is_open, coalesce(contains(l, 'Open'), false) AS is_open_old FROM q",
     "classify_chain": "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN true WHEN p_size % 7 IN (1, 2) THEN false WHEN contains(lower(p_name), '1') THEN true WHEN contains(lower(p_brand), 'brand#1') THEN false WHEN contains(lower(p_brand), 'brand#2') OR contains(lower(p_brand), 'brand#3') THEN true END AS is_open FROM part",
     "classify_accessible": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE contains(lower(p_brand), 'brand#2') OR contains(lower(p_type), 'brand#2') END AS is_open FROM part",
-    "region_flags": "SELECT n_name, contains(lower(r_name), 'asia') OR contains(lower(r_name), 'east') AS is_a, contains(lower(r_name), 'america') AS is_b FROM nation JOIN region ON n_regionkey = r_regionkey",
+    "region_keywords": "SELECT n_name, contains(lower(r_name), 'asia') OR contains(lower(r_name), 'east') AS is_a, contains(lower(r_name), 'america') AS is_b FROM nation JOIN region ON n_regionkey = r_regionkey",
     "two_sided_difference": f"WITH {ORDERS}, {FRONT}, j AS (SELECT l.benchmark_id, l.model AS lead_model, g.model AS lag_model, l.score AS a, g.score AS b, sqrt(l.score_std * l.score_std + g.score_std * g.score_std) AS se FROM f l JOIN f g ON g.benchmark_id = l.benchmark_id AND g.is_laggard WHERE NOT l.is_laggard) SELECT benchmark_id, lead_model, lag_model, CASE WHEN se = 0 THEN a <> b ELSE abs(a - b) > 1.959963984540054 * se END AS differs, CASE WHEN se = 0 THEN false ELSE abs(a - b) > 1.959963984540054 * se END AS differs_strict FROM j",
     "backfill_two_key": "WITH c AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN c_name || ' (Sep 2025)' ELSE c_name END AS name, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS segment, c_name AS plain FROM customer), r AS (SELECT c_name AS k, lower(c_mktsegment) AS kind, c_acctbal AS balance FROM customer WHERE c_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY c_name ORDER BY c_acctbal) = 1) SELECT name, coalesce(segment, kind) AS segment, balance FROM c LEFT JOIN r ON plain = k",
     "override_blank_only": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 2 = 0 THEN CASE s_name WHEN 'Supplier#000000001' THEN 'Open weights' WHEN 'Supplier#000000002' THEN 'API access' ELSE ' ' END ELSE 'API access' END AS label FROM supplier",
@@ -262,6 +262,49 @@ SELECT benchmark_id, i, round(level, 4) AS level, round(date_diff('day', ld, gd)
     "notebook_vertical": f"WITH {ORDERS}, {FRONT}{daily()} SELECT benchmark_id, round(avg(vertical), 4) AS mean, round(stddev_samp(vertical), 4) AS std, round(quantile_cont(vertical, 0.05), 4) AS low, round(quantile_cont(vertical, 0.95), 4) AS high FROM d GROUP BY benchmark_id",
 }
 
+
+
+def drawn_index(draw: str, place: str, n: str) -> str:
+    """Which of n points stands at a place of a draw: the same integers as the operators'."""
+    state = f"({draw} * 1000003::BIGINT + {place} * 7919::BIGINT + 1) % 2147483647"
+    rounds = ["s0"] + [f"(s{i} * s{i} + {a} * s{i} + {c}) % 2147483647" for i, (a, c) in enumerate(((48271, 12345), (69621, 67891), (16807, 13579), (39373, 24683)))]
+    inner = f"SELECT *, {state} AS s0 FROM places"
+    for i in range(1, 5):
+        inner = f"SELECT *, {rounds[i]} AS s{i} FROM ({inner})"
+    return f"SELECT *, s4 * {n} // 2147483647 AS i FROM ({inner})"
+
+
+def smoothed(pool: str, n_boot: int, bandwidth: str, least: str) -> str:
+    """The smoother and its interval of the relation pts (pool, d, val)."""
+    w = f"exp(-0.5 * pow(date_diff('day', d, grid_date) / {bandwidth}::DOUBLE, 2))"
+    return f"""pt AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY d, val) - 1 AS i FROM pts),
+sizes AS (SELECT pool, count(*) AS n, min(d) AS a, max(d) AS z FROM pts GROUP BY pool),
+gr AS (SELECT pool, unnest(generate_series(a::TIMESTAMP, z::TIMESTAMP, INTERVAL 7 DAY))::DATE AS grid_date FROM sizes),
+k AS (SELECT pool, grid_date, sum({w}) AS w, sum({w} * val) AS s FROM gr JOIN pts USING (pool) GROUP BY pool, grid_date),
+places AS (SELECT pool, n, draw, unnest(generate_series(0, n - 1)) AS place FROM sizes, (SELECT unnest(generate_series(0, {n_boot - 1})) AS draw)),
+taken AS (SELECT pool, draw, i, count(*) AS times FROM ({drawn_index("draw", "place", "n")}) GROUP BY pool, draw, i),
+per_day AS (SELECT pool, draw, d, sum(times) AS c, sum(times * val) AS t FROM taken JOIN pt USING (pool, i) GROUP BY pool, draw, d),
+kernel AS (SELECT pool, grid_date, d, {w} AS w FROM gr JOIN (SELECT DISTINCT pool, d FROM pts) USING (pool)),
+means AS (SELECT pool, draw, grid_date, sum(w * c) AS w, sum(w * t) AS t FROM per_day JOIN kernel USING (pool, d) GROUP BY pool, draw, grid_date),
+ends AS (SELECT pool, grid_date, quantile_cont(t / w, 0.05) FILTER (w >= {least}) AS lo, quantile_cont(t / w, 0.95) FILTER (w >= {least}) AS hi FROM means GROUP BY pool, grid_date)
+SELECT {pool}, grid_date, round(CASE WHEN w >= {least} THEN s / w END, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi FROM k JOIN ends USING (pool, grid_date)"""
+
+
+SQL |= {
+    "kernel_smooth_bootstrap": f"{POINTS}, pts AS (SELECT 'all' AS pool, lag_date AS d, gap_months AS val FROM t WHERE accepted), {smoothed('pool', 5000, '180.0', '1.0')}",
+    "trend_gap_bootstrap": f"""WITH {ORDERS.replace('o_orderstatus AS', chr(39) + 'all' + chr(39) + ' AS')}, {FRONT}, y AS (SELECT benchmark_id, is_laggard, date_diff('day', DATE '2000-01-01', date)::BIGINT AS x, score AS y, row_number() OVER (PARTITION BY benchmark_id, is_laggard ORDER BY date, score DESC, model) - 1 AS i FROM f),
+facts AS (SELECT benchmark_id, max(x) AS now, max(y) FILTER (NOT is_laggard) AS best, least(count(*) FILTER (is_laggard), count(*) FILTER (NOT is_laggard)) AS fewest FROM y GROUP BY benchmark_id),
+sizes AS (SELECT benchmark_id, is_laggard, count(*) AS n FROM y JOIN facts USING (benchmark_id) WHERE fewest >= 8 GROUP BY ALL),
+places AS (SELECT benchmark_id, is_laggard, n, draw, unnest(generate_series(0, n - 1)) AS place FROM sizes, (SELECT unnest(generate_series(0, 1999)) AS draw)),
+taken AS (SELECT benchmark_id, is_laggard, draw, i, count(*) AS w FROM ({drawn_index("draw", "place", "n")}) GROUP BY ALL),
+sums AS (SELECT benchmark_id, draw, is_laggard, sum(w)::BIGINT AS n, sum(w * x)::BIGINT AS sx, sum(w * x * x)::BIGINT AS sxx, sum(w * y) AS sy, sum(w * x * y) AS sxy FROM taken JOIN y USING (benchmark_id, is_laggard, i) GROUP BY ALL),
+lines AS (SELECT *, CASE WHEN n * sxx - sx * sx > 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS m, sx / n::DOUBLE AS ax, sy / n AS ay FROM sums),
+e AS (SELECT g.benchmark_id, now, g.m AS ms, l.m AS ml, l.ax AS xl, l.ay AS yl, g.ay + g.m * (now - g.ax) AS level, CASE WHEN g.m > 0 THEN (g.ax + (best - g.ay) / g.m - now) / 30.4375::DOUBLE END AS ahead FROM lines g JOIN lines l ON l.benchmark_id = g.benchmark_id AND l.draw = g.draw AND NOT l.is_laggard JOIN facts ON facts.benchmark_id = g.benchmark_id WHERE g.is_laggard AND g.m IS NOT NULL AND l.m > 0),
+v AS (SELECT benchmark_id, (now - xl - (level - yl) / ml) / 30.4375::DOUBLE AS backward, (1 - ms / ml) * 12 AS change, CASE WHEN ahead <= 240 THEN ahead END AS forward FROM e),
+q AS (SELECT benchmark_id, count(*) AS n_valid, count(forward) AS nf, {", ".join(f"quantile_cont({k}, {p}) AS {k}_{n}" for k in ("backward", "change", "forward") for n, p in (("low", 0.05), ("high", 0.95)))} FROM v GROUP BY benchmark_id)
+SELECT benchmark_id, coalesce(n_valid, 0) AS n_valid, {", ".join(f"round(CASE WHEN {'nf >= 100 AND nf >= 0.9 * n_valid' if k == 'forward' else 'n_valid >= 100'} THEN {k}_{n} END, 4) AS {k}_{n}" for k in ("backward", "change", "forward") for n in ("low", "high"))} FROM facts LEFT JOIN q USING (benchmark_id)""",
+}
+
 #: The daily gaps, the history and the match map with draws: the same SQL with another predicate on records that carry them.
 
 
@@ -290,7 +333,7 @@ grid AS (SELECT * FROM auto WHERE benchmark_id <> 'F' UNION ALL SELECT * FROM gi
     "region_flags": "SELECT n_nationkey, n_name IN ('CHINA', 'JAPAN') AS in_asia, n_name IN ('UNITED STATES', 'CANADA') AS in_west FROM nation",
     "open_by_id": "SELECT p_partkey, starts_with(replace(lower(p_name), ' ', '_'), 'a') OR ends_with(replace(lower(p_name), ' ', '_'), 'e') AS is_open FROM part",
     "column_defaults": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Unknown' END AS market, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Nobody' END AS name FROM customer",
-    "index_lookup": "SELECT p.p_partkey, (SELECT arg_min(q.p_size, q.p_partkey) FROM part q WHERE q.p_brand = p.p_brand AND q.p_partkey % 4 > 0) AS size FROM part p",
+    "index_lookup": "WITH f AS (SELECT p_brand, arg_min(p_size, p_partkey) AS size, min(p_partkey) AS k FROM part GROUP BY p_brand) SELECT p_partkey, CASE WHEN k % 4 > 0 THEN f.size END AS size FROM part JOIN f ON f.p_brand = part.p_brand",
     "spaced_labels": """WITH RECURSIVE v AS (SELECT o_orderstatus || '-' || (o_orderkey % 10) AS benchmark_id, o_totalprice::DOUBLE AS score FROM orders WHERE o_totalprice > 0),
 pick AS (SELECT benchmark_id, min(score) AS score FROM v GROUP BY benchmark_id UNION ALL
   SELECT pick.benchmark_id, min(v.score) FROM pick JOIN v ON v.benchmark_id = pick.benchmark_id AND log10(v.score) - log10(pick.score) >= 0.2 GROUP BY pick.benchmark_id) SELECT benchmark_id, score FROM pick""",
@@ -298,3 +341,55 @@ pick AS (SELECT benchmark_id, min(score) AS score FROM v GROUP BY benchmark_id U
     "quarter_ticks": "WITH e AS (SELECT o_orderstatus, min(o_orderdate)::DATE AS a, max(o_orderdate)::DATE AS z FROM orders GROUP BY 1) SELECT o_orderstatus, unnest(generate_series(date_trunc('quarter', a)::TIMESTAMP, z::TIMESTAMP, INTERVAL 3 MONTH))::DATE AS tick FROM e",
     "nested_metric": "SELECT event_id, round(value, 6) AS score, CASE WHEN user_id % 2 = 0 THEN round(3 / 3.29::DOUBLE, 6) END AS score_std FROM events WHERE value IS NOT NULL",
 }
+
+
+# level walk and lanes, linked tables, versioned documents
+
+_LEVELS = SQL["notebook_horizontal_levels"].split("\nh AS")[0]
+_LINES = "ln AS (SELECT l_orderkey || '-' || l_linenumber AS run_id, l_partkey % 50 AS task_id, o_custkey AS model_id, l_returnflag AS scorer, l_extendedprice AS mean, count(*) FILTER (l_linenumber % 7 > 0) OVER (PARTITION BY l_orderkey, l_linenumber) AS ns FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+_TASKS = "tk AS (SELECT p_partkey AS task_id, lower(p_brand) || '/' || lower(p_name) || '/' || p_partkey AS path FROM part WHERE p_partkey < 55)"
+
+SQL |= {
+    "notebook_level_walk": _LEVELS.replace("WITH ", "WITH RECURSIVE ", 1) + """
+walk AS (SELECT DISTINCT benchmark_id, -1::BIGINT AS i, DATE '0001-01-01' AS out_date, NULL::DATE AS gd FROM c UNION ALL
+  SELECT benchmark_id, i, CASE WHEN p IS NULL THEN ds[len(ds)] WHEN p = 1 THEN out_date ELSE ds[p - 1] END, CASE WHEN p IS NOT NULL THEN ds[p] END FROM (
+    SELECT *, CASE WHEN list_contains(ms, true) THEN list_position(ms, true) END AS p FROM (
+      SELECT w.benchmark_id, w.i + 1 AS i, w.out_date, list(f.date ORDER BY f.date, f.score DESC, f.model) AS ds,
+        list((f.score >= level OR CASE WHEN f.score_std IS NULL OR lstd IS NULL THEN true WHEN f.score_std * f.score_std + lstd * lstd = 0 THEN f.score = ls ELSE abs(f.score - ls) <= 1.959963984540054 * sqrt(f.score_std * f.score_std + lstd * lstd) END) ORDER BY f.date, f.score DESC, f.model) AS ms
+      FROM walk w JOIN c ON c.benchmark_id = w.benchmark_id AND c.i = w.i + 1 JOIN f ON f.benchmark_id = w.benchmark_id AND f.is_laggard AND f.date > w.out_date GROUP BY ALL)))
+SELECT c.benchmark_id, c.i, round(c.level, 4) AS level, round(date_diff('day', ld, gd) / 30.5::DOUBLE, 6) AS gap_months FROM walk JOIN c ON c.benchmark_id = walk.benchmark_id AND c.i = walk.i WHERE gd IS NOT NULL""",
+    "label_lanes": f"""WITH RECURSIVE {ORDERS}, {RECORDS}, e AS (SELECT benchmark_id, min(date) AS a, max(date) AS z FROM r GROUP BY benchmark_id),
+b AS (SELECT benchmark_id, is_laggard, model, date_diff('day', a, date) * 600.0::DOUBLE / greatest(date_diff('day', a, z), 1) AS x, length(model::VARCHAR) * 3.4::DOUBLE + 6 AS half FROM r JOIN e USING (benchmark_id)),
+n AS (SELECT *, x - half AS x0, x + half AS x1, row_number() OVER (PARTITION BY benchmark_id, is_laggard ORDER BY x - half, model) AS k FROM b),
+walk AS (SELECT benchmark_id, is_laggard, 0::BIGINT AS k, NULL::BIGINT AS model, '-infinity'::DOUBLE AS e0, '-infinity'::DOUBLE AS e1, NULL::BIGINT AS lane FROM (SELECT DISTINCT benchmark_id, is_laggard FROM n) UNION ALL
+  SELECT benchmark_id, is_laggard, k, model, CASE WHEN lane = 0 THEN x1 ELSE e0 END, CASE WHEN lane = 1 THEN x1 ELSE e1 END, lane FROM (
+    SELECT n.*, e0, e1, CASE WHEN x0 >= e0 + 4.0 THEN 0 WHEN x0 >= e1 + 4.0 THEN 1 END::BIGINT AS lane FROM walk JOIN n ON n.benchmark_id = walk.benchmark_id AND n.is_laggard = walk.is_laggard AND n.k = walk.k + 1))
+SELECT benchmark_id, is_laggard, model, lane FROM walk WHERE k > 0""",
+    "task_paths": f"WITH {_TASKS} SELECT path, row_number() OVER (ORDER BY path) AS position FROM tk",
+    "available_tasks": f"WITH {_TASKS}, {_LINES} SELECT 'b' || tk.task_id AS benchmark_id, path, count(DISTINCT model_id) AS n_models FROM tk LEFT JOIN ln ON ln.task_id = tk.task_id WHERE tk.task_id % 3 = 0 GROUP BY tk.task_id, path",
+    "exploration_report": f"WITH {_TASKS}, {_LINES} SELECT tk.task_id, path, count(run_id) AS n_runs, coalesce(sum(ns), 0)::BIGINT AS n_scores, count(DISTINCT model_id) AS n_models, count(*) FILTER (ns = 0) AS n_unscored, count(DISTINCT model_id) >= 30 AS recommended, true AS models_within, true AS quantiles_within FROM tk LEFT JOIN ln ON ln.task_id = tk.task_id GROUP BY tk.task_id, path",
+    "accessibility_report": "WITH g AS (SELECT CASE n_regionkey WHEN 0 THEN 'Open weights' WHEN 1 THEN 'API access' WHEN 2 THEN 'Hosted' END AS label FROM nation) SELECT CASE WHEN label = 'Open weights' THEN 'open' WHEN label = 'API access' THEN 'closed' ELSE 'unknown' END AS kind, count(*) AS n_groups, coalesce(string_agg(DISTINCT label, '|' ORDER BY label), '') AS labels FROM g GROUP BY kind",
+    "merged_versions": """WITH o AS (SELECT o_custkey AS k, o_orderstatus = 'O' AS late, max(o_totalprice) AS top, min(o_totalprice) AS low, max(o_orderdate)::DATE AS day FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY ALL),
+l AS (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM o QUALIFY row_number() OVER (PARTITION BY k ORDER BY late DESC) = 1)
+SELECT 'c' || k AS key, CASE WHEN late THEN '1.1' ELSE '1.0' END AS version, CASE WHEN n = 2 THEN '1.0,1.1' WHEN late THEN '1.1' ELSE '1.0' END AS in_versions, day AS date, round(top, 2) AS score, CASE WHEN k % 2 = 1 THEN round(low, 2) END AS low, k % 2 = 0 AS is_sota, day::VARCHAR AS release_date FROM l""",
+    "version_metadata": "SELECT '1.1' AS version, '1.0,1.1' AS versions, count(DISTINCT o_custkey)::DOUBLE AS doubling_days, 1.0::DOUBLE AS doubling_low, NULL::DOUBLE AS doubling_high, NULL::DOUBLE AS recent_doubling_days, 'n/a' AS kept FROM orders WHERE o_orderstatus = 'O' AND o_custkey < 100",
+}
+
+
+# pooled thresholds, framings and lists
+
+_POOL = POINTS + """, st AS (SELECT * FROM (VALUES ('F', true, 'public'), ('O', true, 'private'), ('P', false, 'public')) AS v(benchmark_id, keep, access)),
+pl AS (SELECT t.*, access, unnest(['overall', access]) AS pool FROM t JOIN st USING (benchmark_id) WHERE accepted AND keep)"""
+_FRAMED = """r0 AS (SELECT o_orderstatus AS benchmark_id, o_orderkey AS model, o_orderdate::DATE AS date, o_totalprice AS score, NULL::DOUBLE AS score_std, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+o AS (SELECT 'east/' || benchmark_id AS benchmark_id, model, date, score, score_std, r_name = 'ASIA' AS is_laggard FROM r0 WHERE r_name IN ('ASIA', 'AMERICA')
+  UNION ALL SELECT 'south/' || benchmark_id, model, date, score, score_std, r_name IN ('AFRICA', 'MIDDLE EAST') FROM r0 WHERE r_name <> 'ASIA')"""
+
+SQL |= {
+    "threshold_pool": f"{_POOL} SELECT pool, benchmark_id, access, round(threshold, 6) AS threshold, lead_model, lead_date, lag_model, lag_date, gap_days, round(gap_months, 6) AS gap_months FROM pl",
+    "threshold_pool_summary": f"{_POOL} SELECT pool, round(median(gap_months), 6) AS median_gap_months, count(*) AS n_datapoints, count(DISTINCT benchmark_id) AS n_benchmarks FROM pl GROUP BY pool",
+    "threshold_pool_trends": f"{_POOL}, pts AS (SELECT pool, lag_date AS d, gap_months AS val FROM pl QUALIFY count(*) OVER (PARTITION BY pool) > 1), {smoothed('pool', 1000, '180.0', '1.0')} WHERE w >= 1.0".replace("SELECT pool, grid_date, round(CASE", "SELECT pool, grid_date AS date, round(CASE"),
+    "threshold_config": f"WITH {ORDERS}, {FLOOR} SELECT benchmark_id, benchmark_id <> 'P' AS keep, CASE benchmark_id WHEN 'O' THEN 'private' ELSE 'public' END AS access, round(CASE benchmark_id WHEN 'F' THEN 150000.0 ELSE floor END, 6) AS floor, CASE benchmark_id WHEN 'F' THEN '100000,200000,300000' END AS thresholds, CASE benchmark_id WHEN 'O' THEN '150000,250000' END AS accepted FROM fl",
+    "framing_history": SQL["historical_monthly_gap"].replace(ORDERS, _FRAMED),
+    "framing_matches": SQL["frontier_match_pairs"].replace(ORDERS, _FRAMED),
+    "model_list": f"WITH {ORDERS}, {RANKED} SELECT benchmark_id, model, date, score, is_laggard, before IS NULL OR score >= before AS on_frontier FROM p",
+}

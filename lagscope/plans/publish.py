@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..operators import match, spine, survival, thresholds, trend
 from ..operators.frontier import frontier, strict_records
 from ..schema import MATCH_TOLERANCE
 
+log = logging.getLogger(__name__)
+
 
 def _rows(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """All rows of a benchmark as a sorted array: sections are frontier-sized."""
@@ -42,32 +48,46 @@ def _by_transform(front: DataFrame, section) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def analyse(rows: DataFrame, as_of: Column, *, transform: str = "linear", settings: DataFrame | None = None, draws: str | None = None) -> DataFrame:
+def full_settings(settings: DataFrame) -> DataFrame:
+    """Settings with all their columns; those that are missing are null."""
+    return settings.select("benchmark_id", *(F.col(c).cast(t).alias(c) if c in settings.columns else F.lit(None).cast(t).alias(c) for c, t in SETTINGS.items()))
+
+
+def analyse(rows: DataFrame, as_of: Column, *, transform: str = "linear", settings: DataFrame | None = None, draws: str | None = None, n_boot: int = 0) -> DataFrame:
     """All sections of each benchmark: models, gaps, statistics, the current gap, trends, trend gap, bracket,
-    history, matches and thresholds.  A section that has nothing to say is null.
+    history, matches, thresholds and their summary.  A section that has nothing to say is null.
+
+    With ``settings`` there is ``threshold_config``, too, and with ``n_boot`` draws the ``trend_gap_interval``.
 
     ``settings``: a row a benchmark at most, of ``SETTINGS``: the transform of trends and brackets, the score by
-    which a laggard may trail and have caught up, whether survival analysis estimates the current gap, and the
+    which a laggard may trail and have caught up, whether survival analysis estimates the current gap (else it is the oldest unmatched age), and the
     thresholds that count.  ``draws``: an array column of paired draws.
     """
     rows = with_settings(rows, settings, transform)
     front = frontier(rows)
     gaps = match.first_catchup(front, as_of, threshold=F.col("lead_tolerance"), draws=draws)
     metrics = spine.gap_metrics(spine.daily_gap(front, threshold=F.col("lead_tolerance"), draws=draws))
-    survivors = gaps.join(rows.filter("survival").select("benchmark_id").distinct(), "benchmark_id", "left_semi")
-    review = settings.select("benchmark_id", *(F.col(c) if c in settings.columns else F.lit(None).cast(SETTINGS[c]).alias(c) for c in ("accepted", "thresholds", "floor"))) if settings is not None else None
+    by_survival = rows.select("benchmark_id", "survival").distinct()
+    estimated = lambda survive: survival.current_gap(gaps.join(by_survival.filter(F.col("survival") == survive), "benchmark_id", "left_semi"), ["benchmark_id"], survival=survive)
+    review = full_settings(settings) if settings is not None else None
+    points = thresholds.threshold_datapoints(rows, as_of, settings=review)
     sections = [
         _rows(front.select("benchmark_id", "date", "model", "score", "score_std", "is_laggard"), "models", ["date", "model"]),
         _rows(gaps, "gaps", ["lead_date", "lead_model"]),
         _row(spine.statistics(front, gaps, metrics), "statistics"),
-        _row(survival.current_gap(survivors, ["benchmark_id"]), "current_gap"),
+        _row(estimated(True).unionByName(estimated(False)), "current_gap"),
         _rows(trend.trends(trend.with_periods(rows, ["benchmark_id"]), ["benchmark_id", "period"]), "trends", ["period"]),
         _row(_by_transform(front, trend.trend_gap), "trend_gap"),
         _row(_by_transform(front, trend.lag_bracket), "lag_bracket"),
         _rows(spine.historical_gap(front, as_of, threshold=F.col("lag_tolerance"), draws=draws), "history", ["day"]),
         _rows(match.frontier_match_map(strict_records(rows), threshold=F.col("lead_tolerance"), draws=draws), "matches", ["lag_model"]),
-        _rows(thresholds.threshold_datapoints(rows, as_of, settings=review), "thresholds", ["threshold"]),
+        _rows(points, "thresholds", ["threshold"]),
+        _row(thresholds.threshold_summary(points), "threshold_summary"),
     ]
+    if review is not None:
+        sections.append(_row(thresholds.threshold_config(points, review), "threshold_config"))
+    if n_boot:
+        sections.append(_row(_by_transform(front, lambda f, t: trend.trend_gap_bootstrap(f, t, n_boot=n_boot)), "trend_gap_interval"))
     out = rows.select("benchmark_id").distinct()
     for s in sections:
         out = out.join(s, "benchmark_id", "left")
@@ -89,7 +109,56 @@ def framing(rows: DataFrame, laggard: Column, leader: Column) -> DataFrame:
     return rows.filter(laggard | leader).withColumn("is_laggard", laggard)
 
 
+def framings(rows: DataFrame, frames: Mapping[str, tuple[Column, Column]]) -> DataFrame:
+    """Rows as several framings have them, each with its own laggards and leaders, for one run over all of them.
+
+    A framing's benchmarks are named after it: ``framing/benchmark``.
+    """
+    sides = [F.when(F.coalesce(lag, F.lit(False)) | F.coalesce(lead, F.lit(False)), F.struct(F.lit(name).alias("name"), F.coalesce(lag, F.lit(False)).alias("lag"))) for name, (lag, lead) in frames.items()]
+    framed = rows.withColumn("_frame", F.explode(F.filter(F.array(*sides), lambda x: x.isNotNull())))
+    return framed.withColumns({"benchmark_id": F.concat_ws("/", "_frame.name", "benchmark_id"), "is_laggard": F.col("_frame.lag")}).drop("_frame")
+
+
+def model_list(rows: DataFrame) -> DataFrame:
+    """All scored and dated rows, not only those on a frontier, and which are.  One row each: a benchmark has any
+    number of them, so they are a table beside the documents."""
+    front = frontier(rows).select("benchmark_id", "is_laggard", "model", "date", "score").distinct().withColumn("on_frontier", F.lit(True))
+    known = rows.filter("date is not null and score is not null")
+    joined = known.join(front, ["benchmark_id", "is_laggard", "model", "date", "score"], "left")
+    return joined.select("benchmark_id", "model", "date", "score", "score_std", "is_laggard", F.coalesce("on_frontier", F.lit(False)).alias("on_frontier"))
+
+
 def publish(new: DataFrame, old: DataFrame | None, path: str) -> None:
     """Write documents, keeping old ones of benchmarks that the new run lacks."""
     every = new if old is None else match.preserve_missing(old, new, "benchmark_id")
     every.write.mode("overwrite").json(path)
+
+
+def publish_each(rows: DataFrame, as_of: Column, path: str, *, old: DataFrame | None = None, at_once: int = 4, **options) -> tuple[DataFrame, DataFrame]:
+    """Write each benchmark's document by a job of its own under ``path``, so that one that fails leaves the rest.
+
+    Returns the documents, and a table of errors (``benchmark_id``, ``error``), which is written, too.  Where a
+    benchmark failed, or the run lacks it, the document of ``old`` stays.  ``options`` go to ``analyse``.
+    """
+    spark = rows.sparkSession
+    names = sorted((r[0] for r in rows.select("benchmark_id").distinct().collect()), key=lambda n: (n is None, n))
+
+    def one(numbered: tuple[int, str | None]) -> str | None:
+        i, name = numbered
+        try:
+            own = rows.filter(F.col("benchmark_id").eqNullSafe(F.lit(name)))
+            documents(analyse(own, as_of, **options)).write.mode("overwrite").parquet(f"{path}/documents/{i}")
+        except Exception as error:  # whatever it is, the other benchmarks are not to miss out
+            log.warning("benchmark %s failed: %s", name, error)
+            return str(error)[:2000]
+        return None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        errors = list(pool.map(one, enumerate(names)))
+    failed = spark.createDataFrame([(n, e) for n, e in zip(names, errors, strict=True) if e], "benchmark_id string, error string")
+    failed.write.mode("overwrite").parquet(f"{path}/errors")
+    written = [f"{path}/documents/{i}" for i, e in enumerate(errors) if not e]
+    schema = "benchmark_id string, document string"
+    new = spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+    every = new if old is None else match.preserve_missing(old.select("benchmark_id", "document"), new, "benchmark_id")
+    return every, spark.read.schema("benchmark_id string, error string").parquet(f"{path}/errors")

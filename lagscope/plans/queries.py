@@ -11,8 +11,8 @@ from ..functions import dates, numbers, strings
 from ..operators import classify, ingest, match, smooth, spine, survival, thresholds, trend
 from ..operators.frontier import GROUP, best_per_key, cumulative_rank, frontier, records_with_baseline, strict_records
 from ..schema import to_canonical
-from ..operators.spacing import spaced
-from ..sources import files
+from ..operators.spacing import packed, spaced
+from ..sources import blocks, files, linked
 from . import publish
 from .bindings import as_of, events, orders, table, with_draws
 
@@ -24,6 +24,8 @@ PRICE_OVERRIDES = [("Supplier#000000001", "Open weights"), ("Supplier#000000002"
 
 
 def query(f: Query) -> Query:
+    if f.__name__ in _QUERIES:
+        raise ValueError(f"two queries are named {f.__name__}")
     _QUERIES[f.__name__] = f
     return f
 
@@ -414,7 +416,7 @@ def classify_accessible(spark, sf):
 
 
 @query
-def region_flags(spark, sf):
+def region_keywords(spark, sf):
     n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return n.select("n_name", classify.contains_any(F.col("r_name"), ["asia", "east"]).alias("is_a"), classify.contains_any(F.col("r_name"), ["america"]).alias("is_b"))
 
@@ -598,6 +600,63 @@ def first_catchup_settings(spark, sf):
     return rounded(match.first_catchup(f, as_of(), threshold=F.col("lead_tolerance")))
 
 
+#: Which benchmarks are pooled, and their data access.
+POOLED = [("F", True, "public"), ("O", True, "private"), ("P", False, "public")]
+
+
+def _pool(spark, sf):
+    return thresholds.threshold_pool(_points(spark, sf), publish.full_settings(spark.createDataFrame(POOLED, "benchmark_id string, keep boolean, access string")))
+
+
+@query
+def threshold_pool(spark, sf):
+    return rounded(_pool(spark, sf))
+
+
+@query
+def threshold_pool_summary(spark, sf):
+    return rounded(thresholds.pool_summary(_pool(spark, sf)))
+
+
+@query
+def threshold_pool_trends(spark, sf):
+    return rounded(thresholds.pool_trends(_pool(spark, sf), bandwidth=180.0, min_weight=1.0, n_boot=1000))
+
+
+@query
+def threshold_config(spark, sf):
+    own = publish.full_settings(_review(spark).join(spark.createDataFrame(POOLED, "benchmark_id string, keep boolean, access string"), "benchmark_id", "full"))
+    config = thresholds.threshold_config(thresholds.threshold_datapoints(orders(spark, sf), as_of(), settings=own), own)
+    return rounded(config.withColumns({c: F.array_join(F.transform(c, lambda x: x.cast("bigint").cast("string")), ",") for c in ("thresholds", "accepted")}))
+
+
+# framings and lists
+
+
+def _framed(spark, sf):
+    """Orders by their customers' regions, in two framings at once."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = o.select(F.col("o_orderstatus").alias("benchmark_id"), F.col("o_orderkey").alias("model"), F.col("o_orderdate").cast("date").alias("date"), F.col("o_totalprice").cast("double").alias("score"), F.lit(None).cast("double").alias("score_std"), "r_name")
+    at = lambda *names: F.col("r_name").isin(*names)
+    return publish.framings(rows, {"east": (at("ASIA"), at("AMERICA")), "south": (at("AFRICA", "MIDDLE EAST"), at("EUROPE", "AMERICA"))}).drop("r_name")
+
+
+@query
+def framing_history(spark, sf):
+    return rounded(spine.historical_gap(frontier(_framed(spark, sf)), as_of()))
+
+
+@query
+def framing_matches(spark, sf):
+    return match.frontier_match_map(strict_records(_framed(spark, sf)))
+
+
+@query
+def model_list(spark, sf):
+    return publish.model_list(orders(spark, sf)).select("benchmark_id", "model", "date", "score", "is_laggard", "on_frontier")
+
+
 # what sources need
 
 
@@ -679,6 +738,98 @@ def notebook_vertical(spark, sf):
     return rounded(daily.groupBy("benchmark_id").agg(F.avg("vertical").alias("mean"), F.stddev_samp("vertical").alias("std"), F.percentile("vertical", F.lit(0.05)).alias("low"), F.percentile("vertical", F.lit(0.95)).alias("high")), 4)
 
 
+@query
+def notebook_level_walk(spark, sf):
+    """The same levels, with laggards that are dropped on the way up."""
+    m = thresholds.level_walk(front(spark, sf))
+    return m.select("benchmark_id", F.col("i").cast("bigint").alias("i"), _r("level", 4), _r(F.datediff("lag_date", "lead_date") / F.lit(30.5), 6, "gap_months"))
+
+
+@query
+def label_lanes(spark, sf):
+    """Labels of each frontier's records in two lanes, 600 wide from its first date to its last."""
+    rows = strict_records(orders(spark, sf))
+    ends = rows.groupBy("benchmark_id").agg(F.min("date").alias("a"), F.max("date").alias("z"))
+    x = F.datediff("date", "a") * 600.0 / F.greatest(F.datediff("z", "a"), F.lit(1))
+    half = F.length(F.col("model").cast("string")) * 3.4 + 6
+    boxes = rows.join(ends, "benchmark_id").select("benchmark_id", "is_laggard", "model", (x - half).alias("x0"), (x + half).alias("x1"))
+    return packed(boxes, ["benchmark_id", "is_laggard"], "x0", "x1", ["x0", "model"]).select("benchmark_id", "is_laggard", "model", F.col("lane").cast("bigint").alias("lane"))
+
+
+# linked tables and versioned documents, as the given tables have them
+
+
+def _linked(spark, sf) -> dict[str, DataFrame]:
+    """Parts as tasks, order lines as scores of runs, customers as models of groups by nation."""
+    line = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    runs = line.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("run_id"), (F.col("l_partkey") % 50).alias("task_id"), F.col("o_custkey").alias("model_id"), F.col("o_orderstatus").alias("status"))
+    scores = line.filter("l_linenumber % 7 > 0").select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("run_id"), F.col("l_returnflag").alias("scorer"), F.col("l_extendedprice").alias("mean"), F.lit(0.0).alias("stderr"))
+    tasks = table(spark, sf, "part").filter("p_partkey < 55").select(F.col("p_partkey").alias("task_id"), F.concat_ws("/", F.lower("p_brand"), F.lower("p_name"), F.col("p_partkey")).alias("path"))
+    groups = table(spark, sf, "nation").select(F.col("n_nationkey").alias("group_id"), F.when(F.col("n_regionkey") == 0, "Open weights").when(F.col("n_regionkey") == 1, "API access").when(F.col("n_regionkey") == 2, "Hosted").alias("accessibility"))
+    return {"tasks": tasks, "runs": runs, "scores": scores, "groups": groups}
+
+
+@query
+def task_paths(spark, sf):
+    return linked.task_paths(_linked(spark, sf)["tasks"]).select("path", F.col("position").cast("bigint").alias("position"))
+
+
+@query
+def available_tasks(spark, sf):
+    t = _linked(spark, sf)
+    configured = t["tasks"].filter("task_id % 3 = 0").select(F.concat(F.lit("b"), "task_id").alias("benchmark_id"), "path")
+    missing = configured.select(F.concat(F.lit("x"), "benchmark_id").alias("benchmark_id"), F.concat("path", F.lit("?")).alias("path"))
+    return linked.available_tasks(t["tasks"], t["runs"], configured.unionByName(missing))
+
+
+@query
+def exploration_report(spark, sf):
+    """Exact numbers, and whether the sketches lie within three standard errors or their rank error."""
+    t = _linked(spark, sf)
+    out = linked.exploration(t["tasks"], t["runs"], t["scores"], recommended=30)
+    best = t["runs"].join(t["scores"].groupBy("run_id").agg(F.max("mean").alias("best")), "run_id").select("task_id", "best")
+    ranks = best.join(out.select("task_id", "low", "median", "high"), "task_id").groupBy("task_id").agg(F.count("*").alias("n"), *(F.count_if(F.col("best") <= F.col(c)).alias(f"le_{c}") for c in ("low", "median", "high")), *(F.count_if(F.col("best") < F.col(c)).alias(f"lt_{c}") for c in ("low", "median", "high")))
+    slack = F.col("n") / linked.QUANTILE_ACCURACY + 1
+    near = [(F.col(f"lt_{c}") <= q * F.col("n") + slack) & (F.col(f"le_{c}") >= q * F.col("n") - slack) for c, q in (("low", 0.1), ("median", 0.5), ("high", 0.9))]
+    checked = out.join(ranks, "task_id", "left").withColumn("quantiles_within", F.coalesce(near[0] & near[1] & near[2], F.lit(True)))
+    models_within = F.abs(F.col("about_models") - F.col("n_models")) <= 3 * linked.DISTINCT_ERROR * F.col("n_models") + 1
+    return checked.select("task_id", "path", "n_runs", "n_scores", "n_models", "n_unscored", "recommended", models_within.alias("models_within"), "quantiles_within")
+
+
+@query
+def accessibility_report(spark, sf):
+    return linked.accessibility_report(_linked(spark, sf)["groups"])
+
+
+def _versions(spark, sf) -> DataFrame:
+    """Customers' orders as two versions of documents, a hundred customers in each: JSON, and block YAML."""
+    o = table(spark, sf, "orders").filter("o_orderstatus in ('F', 'O')").groupBy("o_custkey", "o_orderstatus").agg(F.max("o_totalprice").alias("top"), F.min("o_totalprice").alias("low"), F.max(F.col("o_orderdate").cast("date")).alias("day"))
+    plain = F.col("o_custkey") % 2 == 0
+    number = lambda c: F.format_string("%.2f", c)
+    as_json = F.format_string('"c%d": {"release_date": "%s", "metrics": {"p50_horizon_length": %s, "is_sota": %s}}', "o_custkey", F.col("day").cast("string"), F.when(plain, number("top")).otherwise(F.format_string('{"estimate": %s, "ci_low": %s}', number("top"), number("low"))), F.when(plain, "true").otherwise("false"))
+    as_yaml = F.format_string("  c%d:\n    release_date: %s # latest\n    metrics:\n      p50_horizon_length:%s\n      is_sota: %s\n", "o_custkey", F.col("day").cast("string"), F.when(plain, F.concat(F.lit(" "), number("top"))).otherwise(F.format_string("\n        estimate: %s\n        ci_low: %s", number("top"), number("low"))), F.when(plain, "true").otherwise("false"))
+    first = F.col("o_orderstatus") == "F"
+    parts = o.select(F.when(first, "1.0").otherwise("1.1").alias("version"), F.expr("o_custkey div 100").cast("string").alias("file"), F.when(first, as_json).otherwise(as_yaml).alias("part"))
+    docs = parts.groupBy("version", "file").agg(F.array_sort(F.collect_list("part")).alias("p"))
+    figure = F.size("p")
+    text = F.when(F.col("version") == "1.0", F.format_string('{"results": {%s}, "doubling_time_in_days": {"all_time_stitched": {"point_estimate": %d}}}', F.array_join("p", ", "), figure)).otherwise(F.concat(F.lit("doubling_time_in_days:\n  all_time: {point_estimate: "), figure, F.lit(", ci_low: 1}\n  from_2023:\n    point_estimate: n/a\nresults:\n"), F.array_join("p", "")))
+    texts = docs.select(F.concat_ws("/", "version", "file").alias("file"), text.alias("text"))
+    return blocks.json_documents(texts).select(F.split("file", "/")[0].alias("version"), F.split("file", "/")[1].alias("file"), "json")
+
+
+@query
+def merged_versions(spark, sf):
+    out = files.merged_versions(_versions(spark, sf), F.col("id"))
+    return out.select("key", "version", F.array_join("in_versions", ",").alias("in_versions"), "date", "score", "low", "is_sota", F.expr("variant_get(entry, '$.release_date', 'string')").alias("release_date"))
+
+
+@query
+def version_metadata(spark, sf):
+    """The figures of the first hundred customers' documents."""
+    out = files.document_metadata(_versions(spark, sf).filter("file = '0'"))
+    return out.select("version", F.array_join("versions", ",").alias("versions"), "doubling_days", "doubling_low", "doubling_high", "recent_doubling_days", F.expr("variant_get(rest, '$.doubling_time_in_days.from_2023.point_estimate', 'string')").alias("kept"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

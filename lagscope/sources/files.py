@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
+from .blocks import json_documents, read_documents
 
 
 def read_csv_strings(spark: SparkSession, path: str) -> DataFrame:
@@ -68,15 +69,48 @@ def metric(entry: Column, path: str) -> tuple[Column, Column, Column]:
     return F.coalesce(get(f"$.{path}.estimate"), get(f"$.{path}")), get(f"$.{path}.ci_low"), get(f"$.{path}.ci_high")
 
 
-def read_nested_results(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of nested documents ``{"results": {id: {release_date, metrics: {...}}}}``, one row each.
-
-    Documents are JSON (of YAML, the subset that is JSON), one a file.
-    """
-    text = spark.read.text(path, wholetext=True)
-    entries = text.select(F.explode(F.from_json(F.get_json_object("value", "$.results"), "map<string,string>")).alias("id", "entry"))
+def nested_results(documents: DataFrame) -> DataFrame:
+    """Entries of documents (``file``, ``json``) ``{"results": {id: {release_date, metrics: {...}}}}``, one row each."""
+    entries = documents.select("file", F.explode(F.from_json(F.get_json_object("json", "$.results"), "map<string,string>")).alias("id", "entry"))
     score, low, high = metric(F.col("entry"), "metrics.p50_horizon_length")
     return entries.select(
-        "id", parse_date(F.get_json_object("entry", "$.release_date")).alias("date"), score.alias("score"), low.alias("low"), high.alias("high"),
-        metric(F.col("entry"), "metrics.average_score")[0].alias("average_score"), F.coalesce(F.get_json_object("entry", "$.metrics.is_sota").try_cast("boolean"), F.lit(False)).alias("is_sota"),
+        "file", "id", parse_date(F.get_json_object("entry", "$.release_date")).alias("date"), score.alias("score"), low.alias("low"), high.alias("high"),
+        metric(F.col("entry"), "metrics.average_score")[0].alias("average_score"), F.coalesce(F.get_json_object("entry", "$.metrics.is_sota").try_cast("boolean"), F.lit(False)).alias("is_sota"), "entry",
     )
+
+
+def read_nested_results(spark: SparkSession, path: str) -> DataFrame:
+    """``nested_results`` of whole files, JSON or block YAML; a file that can't be read gives no rows."""
+    return nested_results(json_documents(read_documents(spark, path))).drop("file", "entry")
+
+
+#: The figures of a document beside its entries: name, and the JSON paths that may hold it, first come first.
+FIGURES = {
+    "doubling_days": ("doubling_time_in_days.all_time.point_estimate", "doubling_time_in_days.all_time_stitched.point_estimate"),
+    "doubling_low": ("doubling_time_in_days.all_time.ci_low", "doubling_time_in_days.all_time_stitched.ci_low"),
+    "doubling_high": ("doubling_time_in_days.all_time.ci_high", "doubling_time_in_days.all_time_stitched.ci_high"),
+    "recent_doubling_days": ("doubling_time_in_days.from_2023_on.point_estimate", "doubling_time_in_days.from_2023.point_estimate"),
+}
+
+
+def merged_versions(documents: DataFrame, key: Column) -> DataFrame:
+    """Of versioned documents (``version``, ``file``, ``json``) each entry as the latest version has it.
+
+    ``key`` names an entry across versions, from its ``id``.  Beside the typed columns, ``entry`` keeps all of the
+    entry as a variant, and ``in_versions`` lists the versions that have it.
+    """
+    rows = nested_results(documents.select(F.struct("version", "file").alias("file"), "json")).withColumns({"version": F.col("file.version"), "key": key})
+    latest = F.max_by(F.struct("id", "date", "score", "low", "high", "average_score", "is_sota", "entry"), F.struct("version", F.col("file.file"), "id"))
+    out = rows.groupBy("key").agg(latest.alias("r"), F.max("version").alias("version"), F.array_sort(F.collect_set("version")).alias("in_versions"))
+    return out.select("key", "version", "in_versions", "r.*").withColumn("entry", F.try_parse_json("entry"))
+
+
+def document_metadata(documents: DataFrame) -> DataFrame:
+    """One row: the figures of the latest version's document (``version``, ``json``), typed, all that stands beside its
+    entries as a variant ``rest``, and the versions there are.  A figure that is missing or no number is null."""
+    top = documents.filter("json is not null").agg(F.max_by("json", "version").alias("json"), F.max("version").alias("version"), F.array_sort(F.collect_set("version")).alias("versions"))
+    whole = F.from_json("json", "map<string,string>")
+    rest = F.map_filter(whole, lambda k, v: k != "results")
+    joined = F.concat(F.lit("{"), F.array_join(F.transform(F.map_entries(rest), lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2), F.lit(":"), F.when(F.try_parse_json(e["value"]).isNotNull(), e["value"]).otherwise(F.to_json(F.array(e["value"])).substr(F.lit(2), F.length(F.to_json(F.array(e["value"]))) - 2)))), ","), F.lit("}"))
+    figures = [F.coalesce(*(F.get_json_object("json", f"$.{p}").try_cast("double") for p in paths)).alias(name) for name, paths in FIGURES.items()]
+    return top.select("version", "versions", *figures, F.try_parse_json(joined).alias("rest"))
