@@ -55,4 +55,53 @@ SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM w LEFT JOIN nh ON w.doc_id = nh.doc_id LEFT JOIN ni ON w.doc_id = ni.doc_id
 """
 
-SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_near_dedup": OP6, "op7_embedding_dedup": OP7, "op9_decontamination": OP9}
+#: Unsigned crc32 of a document's decimal id, bit by bit.
+CRC = "xor(list_reduce(flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)::BIGINT], [-1, -1, -1, -1, -1, -1, -1, -1]::BIGINT[]))), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END, 4294967295::BIGINT), 4294967295)"
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(({x})::VARCHAR) || ':' || {x} END"
+
+
+OP12 = f"""
+WITH RECURSIVE v AS (SELECT *, {" || ".join(f"({_field(c)})" for c in ("doc_id", "source", "lang", "n_chars"))} AS head,
+  CASE WHEN {CRC} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS tampered FROM documents),
+leaves AS (SELECT doc_id, lang, sha256(head || {_field("text")}) AS leaf, sha256(head || {_field("tampered")}) AS claimed,
+  row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM v),
+nodes AS (SELECT lang, 0 AS level, i, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, level, n, i // 8),
+subroots AS (SELECT lang, level AS depth, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+above AS (SELECT 0 AS level, i, n, subroot AS h FROM subroots
+  UNION ALL SELECT level + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM above WHERE n > 1 GROUP BY level, n, i // 8),
+root AS (SELECT level AS depth, h AS root FROM above WHERE n = 1),
+runs AS (SELECT lang, level, i // 8 AS run, string_agg(h, '' ORDER BY i) AS digests FROM nodes WHERE n > 1 GROUP BY ALL),
+top_runs AS (SELECT level, i // 8 AS run, string_agg(h, '' ORDER BY i) AS digests FROM above WHERE n > 1 GROUP BY ALL),
+path AS (SELECT doc_id, lang, leaf, claimed AS fold, '' AS proof, i, 0 AS level FROM leaves
+  UNION ALL SELECT doc_id, lang, leaf, sha256(l || fold || r), proof || l || r, i // 8, level + 1
+  FROM (SELECT p.*, substr(digests, 1, 64 * (i % 8)) AS l, substr(digests, 64 * (i % 8) + 65) AS r FROM path p JOIN runs ON runs.lang IS NOT DISTINCT FROM p.lang AND runs.level = p.level AND run = i // 8)),
+outer_path AS (SELECT doc_id, leaf, subroot, fold, proof, s.i AS i, 0 AS level FROM path JOIN subroots s ON s.lang IS NOT DISTINCT FROM path.lang AND s.depth = path.level
+  UNION ALL SELECT doc_id, leaf, subroot, sha256(l || fold || r), proof || l || r, i // 8, level + 1
+  FROM (SELECT p.*, substr(digests, 1, 64 * (i % 8)) AS l, substr(digests, 64 * (i % 8) + 65) AS r FROM outer_path p JOIN top_runs ON top_runs.level = p.level AND run = i // 8))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM outer_path JOIN root ON depth = level
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {CRC} AS h FROM documents),
+e AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+u AS (SELECT *, unnest(generate_series(0, n - 1)) AS i FROM f WHERE n > 0),
+w AS (SELECT doc_id, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM u),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM m),
+t AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM s GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM t GROUP BY doc_id, start, length),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(start + period, start + length - 1)) AS i FROM runs),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS kept FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) AS place FROM runs),
+lines AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN best ON best.doc_id = d.doc_id AND place = 1 LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+SQL: dict[str, str] = {"op1_substring_dedup": OP1, "op6_near_dedup": OP6, "op7_embedding_dedup": OP7, "op9_decontamination": OP9, "op12_manifest": OP12, "op13_periodic_runs": OP13}
