@@ -338,7 +338,8 @@ def remove_repeated_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_
     heavy = spark.sparkContext.broadcast(heavy_slots(source, window, minimizer, max(BUCKET_BYTES // 8, 4 * drawn // SLOTS)))
     blobs = source.mapInArrow(_pack(window, minimizer, buckets, heavy), "bucket int, strings binary, facts binary")
     ranges = blobs.repartitionById(buckets, "bucket").mapInArrow(_judge(window), "doc bigint, text_hash bigint, begin bigint, end bigint")
-    found = ranges.groupBy("doc", "text_hash").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends")).select(F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash"), "begins", "ends")
+    # rows with one id and text all find the same ranges: a set of them, which map tasks reduce, goes to each row
+    found = ranges.groupBy("doc", "text_hash").agg(F.collect_set(F.struct("begin", "end")).alias("spans")).select(F.col("doc").alias("f_doc"), F.col("text_hash").alias("f_hash"), F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
     joined = source.join(found, F.col("doc").eqNullSafe(F.col("f_doc")) & (F.col("text_hash") == F.col("f_hash")), "left")
     out = joined.select("doc", "text", "begins", "ends").mapInArrow(_remove, "doc bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<begin:bigint,end:bigint>>")
     return out.withColumnRenamed("doc", id_col)
