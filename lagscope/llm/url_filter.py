@@ -12,6 +12,8 @@ large, is gathered in one place.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,49 +44,71 @@ def path_templates(paths: DataFrame, least: int = 3) -> DataFrame:
     """Adds ``template``, an array of segments, to rows with ``host`` and ``path``, each of which counts ``n`` times.
 
     A segment stays as it is if at least ``least`` of all have it under its parent.  Under a parent of fewer no
-    segment can, so all that follow become wildcards at once: long paths take rounds only where others share them.
+    segment can, so all that follow become wildcards at once.  What all paths under a parent begin with, the common
+    beginning of the least and the greatest of them, is taken in one step; so there are as many rounds as branchings
+    on a path, however deep it is.  A path that has come to its end is written once and read again at the end.
     """
-    rows = paths.withColumns({"segments": F.filter(F.split("path", "/"), lambda x: x != ""), "template": F.array().cast("array<string>")})
     wild = lambda x: F.concat(F.lit(WILD), F.regexp_extract(x, r"\.[A-Za-z][A-Za-z0-9]{0,4}$", 0))
-    d = 0
-    while not rows.filter(F.size("segments") > d).isEmpty():
+    rows = paths.withColumns({"left": F.filter(F.split("path", "/"), lambda x: x != ""), "template": F.array().cast("array<string>")})
+    ended, rows = [rows.filter(F.size("left") == 0)], rows.filter(F.size("left") > 0)
+    while not rows.isEmpty():
         # parents and their segments are known by 64-bit hashes; a host's paths may all have one
-        rows = rows.withColumn("segment", F.get("segments", F.lit(d)))
-        rows = rows.withColumn("parent", F.when(F.col("segment").isNotNull(), F.xxhash64("host", "template"))).withColumn("child", F.when(F.col("segment").isNotNull(), F.xxhash64("host", "template", "segment")))
-        counts = materialise(rows.filter("segment is not null").groupBy("parent", "child").agg(F.sum("n").alias("n")), "url-counts")
-        parents = materialise(counts.groupBy("parent").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).filter(F.col("n") >= least), "url-parents")
+        rows = rows.withColumn("segment", F.get("left", F.lit(0))).withColumns({"parent": F.xxhash64("host", "template"), "child": F.xxhash64("host", "template", "segment")})
+        counts = materialise(rows.groupBy("parent", "child").agg(F.sum("n").alias("n"), F.min("left").alias("a"), F.max("left").alias("z")), "url-counts")
+        same = F.zip_with("a", "z", lambda x, y: x.eqNullSafe(y))
+        shared = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0).cast("bigint")) - 1, F.size("a").cast("bigint")).cast("int")
+        parents = counts.groupBy("parent").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).filter(F.col("n") >= least)
+        parents = materialise(parents.select("parent", "n", shared.alias("shared")), "url-parents")
         children = counts.filter(F.col("n") >= least).select("child", "n", F.lit(True).alias("literal"))
         hot, hot_child = (materialise(hot_keys(x, key), "url-hot") for x, key in ((parents, "parent"), (children, "child")))
-        rows = dealt(rows, "parent", hot, ["path"]).join(copied(parents.select("parent", F.lit(True).alias("shared")), "parent", hot), ["parent", "piece"], "left").drop("piece")
+        rows = dealt(rows, "parent", hot, ["path"]).join(copied(parents.select("parent", "shared"), "parent", hot), ["parent", "piece"], "left").drop("piece")
         rows = dealt(rows, "child", hot_child, ["path"]).join(copied(children.drop("n"), "child", hot_child), ["child", "piece"], "left")
+        alone, together = F.col("shared").isNull(), F.col("shared") > 0
         named = F.when(F.col("literal"), F.col("segment")).otherwise(wild(F.col("segment")))
-        alone = F.col("shared").isNull()
-        template = F.when(F.col("segment").isNull(), F.col("template")).when(alone, F.concat("template", F.transform(F.slice("segments", d + 1, F.size("segments")), wild))).otherwise(F.concat("template", F.array(named)))
-        # a row that is alone has no segments left
-        left = F.when(F.col("segment").isNotNull() & alone, F.slice("segments", 1, d)).otherwise(F.col("segments"))
-        rows = materialise(rows.select(*paths.columns, left.alias("segments"), template.alias("template")), "url-level")
-        d += 1
-    return rows.drop("segments")
+        step = F.when(alone, F.transform("left", wild)).when(together, F.slice("left", F.lit(1), F.greatest("shared", F.lit(1)))).otherwise(F.array(named))
+        rows = rows.select(*paths.columns, F.concat("template", step).alias("template"), F.slice("left", F.size(step) + 1, F.greatest(F.size("left"), F.lit(1))).alias("left"))
+        rows = materialise(rows, "url-level")
+        ended.append(rows.filter(F.size("left") == 0))
+        rows = rows.filter(F.size("left") > 0)
+    return reduce(DataFrame.unionByName, ended).drop("left")
+
+
+def _with_branch(rows: DataFrame, key: str, facts: DataFrame) -> DataFrame:
+    """``rows`` with the ``facts`` of their ``key``, of which very many may have one."""
+    hot = materialise(hot_keys(rows.groupBy(key).agg(F.count("*").alias("n")), key), "url-hot")
+    return dealt(rows, key, hot, ["template"]).join(copied(facts, key, hot), [key, "piece"]).drop("piece")
+
+
+def _branchings(counts: DataFrame) -> list[int]:
+    """Levels, from the last up, at which some parent has several segments."""
+    at = F.explode(F.sequence(F.lit(1), F.size("template"))).alias("d")
+    nodes = counts.filter(F.size("template") > 0).select("host", "template", at).select("d", F.xxhash64("host", F.slice("template", F.lit(1), F.col("d") - 1)).alias("parent"), F.element_at("template", F.col("d")).alias("segment")).distinct()
+    several = nodes.groupBy("d", "parent").agg(F.count("*").alias("n")).filter("n > 1")
+    return sorted((x["d"] for x in several.select("d").distinct().collect()), reverse=True)
 
 
 def merged_templates(counts: DataFrame, z: float = 1.96) -> DataFrame:
     """From ``host``, ``template``, ``good``, ``bad``: the same with ``merged``, the template that it becomes.
 
     At each level, from the last up, a branch joins the wildcard branch of its siblings unless its share of
-    good labels lies more than ``z`` standard errors from that of all siblings together.
+    good labels lies more than ``z`` standard errors from that of all siblings together.  A branch without
+    siblings joins it in any case, so levels at which no parent has several take no round.
     """
-    rows = counts.withColumn("merged", F.col("template"))
-    # levels at which a template has more than a wildcard; at others nothing can merge
-    levels = counts.select(F.posexplode("template").alias("at", "segment")).filter(F.col("segment") != WILD).select("at").distinct().collect()
-    for d in sorted((x["at"] + 1 for x in levels), reverse=True):
-        wild = F.when(F.size("merged") >= d, F.concat(F.slice("merged", 1, d - 1), F.array(F.lit(WILD)), F.slice("merged", d + 1, F.size("merged")))).otherwise(F.col("merged"))
-        branches = rows.groupBy("host", "merged").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).withColumn("wild", wild)
-        pools = branches.groupBy("host", "wild").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb"))
+    counts = materialise(counts, "url-templates")
+    levels = _branchings(counts)
+    lone = F.transform("template", lambda x, i: F.when((i + 1).isin(levels) if levels else F.lit(False), x).otherwise(F.lit(WILD)))
+    rows = counts.withColumn("merged", lone)
+    for d in levels:
+        wild = F.when(F.size("merged") >= d, F.concat(F.slice("merged", 1, d - 1), F.array(F.lit(WILD)), F.slice("merged", d + 1, F.greatest(F.size("merged"), F.lit(1))))).otherwise(F.col("merged"))
+        rows = rows.withColumn("branch", F.xxhash64("host", "merged"))
+        branches = rows.groupBy("branch").agg(F.first("host").alias("host"), F.first("merged").alias("template"), F.sum("good").alias("g"), F.sum("bad").alias("b"))
+        branches = materialise(branches.withColumn("merged", F.col("template")).withColumn("wild", wild).withColumn("pool", F.xxhash64("host", "wild")), "url-branches")
+        pools = materialise(branches.groupBy("pool").agg(F.sum("g").alias("pg"), F.sum("b").alias("pb")), "url-pools")
         n, p = F.col("g") + F.col("b"), F.try_divide("pg", F.col("pg") + F.col("pb"))
         error = F.sqrt(F.try_divide(p * (1 - p), n))  # null without labels
         apart = F.coalesce((error > 0) & (F.abs(F.try_divide("g", n) - p) > z * error), F.lit(False))
-        moved = branches.join(pools, ["host", "wild"]).select("host", "merged", F.when(apart, F.col("merged")).otherwise(F.col("wild")).alias("to"))
-        rows = materialise(rows.join(moved, ["host", "merged"]).select("host", "template", "good", "bad", F.col("to").alias("merged")), "url-merge")
+        moved = _with_branch(branches, "pool", pools).select("branch", F.when(apart, F.col("merged")).otherwise(F.col("wild")).alias("to"))
+        rows = materialise(_with_branch(rows.drop("merged"), "branch", moved).select("host", "template", "good", "bad", F.col("to").alias("merged")), "url-merge")
     return rows
 
 
@@ -118,9 +142,10 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id",
     hosts = merged.groupBy("host").agg(F.sum("good").alias("hg"), F.sum("bad").alias("hb"))
     base = F.coalesce(F.try_divide("tg", F.col("tg") + F.col("tb")), F.lit(1.0))
     hosts = hosts.crossJoin(F.broadcast(table)).select("host", ((F.col("hg") + strength * base) / (F.col("hg") + F.col("hb") + strength)).alias("host_purity"))
-    judged = merged.groupBy("host", "merged").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).join(hosts, "host")
-    judged = judged.select("host", "merged", ((F.col("g") + strength * F.col("host_purity")) / (F.col("g") + F.col("b") + strength)).alias("purity"))
-    verdicts = merged.select("host", "template", "merged").join(judged, ["host", "merged"])
+    judged = merged.groupBy("host", "merged").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).withColumn("template", F.col("merged"))
+    judged = _with_branch(judged, "host", materialise(hosts, "url-hosts"))
+    judged = judged.select(F.xxhash64("host", "merged").alias("to"), ((F.col("g") + strength * F.col("host_purity")) / (F.col("g") + F.col("b") + strength)).alias("purity"))
+    verdicts = _with_branch(merged.select("host", "template", "merged", F.xxhash64("host", "merged").alias("to")), "to", judged)
     # a host and template may have very many paths, and a path very many pages
     verdicts = verdicts.withColumn("branch", F.xxhash64("host", "template")).select("branch", "merged", "purity")
     named = paths.select("place", "n", F.xxhash64("host", "template").alias("branch"))
