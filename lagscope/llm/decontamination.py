@@ -60,7 +60,7 @@ def winnow(words: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.nd
 class Items:
     """Benchmark items as word hashes, with an index of their fingerprints."""
 
-    def __init__(self, names: list[str], texts: list[bytes], window: int, gram: int) -> None:
+    def __init__(self, names: list[str | None], texts: list[bytes], window: int, gram: int) -> None:
         self.window, self.gram, self.rolling = window, gram, Rolling()
         words = Words([t.lower() for t in texts], _TABLE)
         hashes = words.hashes(self.rolling)
@@ -152,7 +152,7 @@ def _scan(shared, text_col: str | None):
             rows = []
             for d, words in zip(batch.column("row_id").to_pylist(), document_words(_texts(batch, text_col), items.rolling), strict=True):
                 found, which = items.find(words)
-                rows.append((d, len(words), *_merged(found), sorted({items.names[i] for i in which})))
+                rows.append((d, len(words), *_merged(found), sorted({items.names[i] for i in which} - {None})))
             yield _result(rows, batch)
 
     return task
@@ -188,7 +188,7 @@ def _extend(window: int, gram: int, text_col: str | None):
                 near = own.as_py() or []
                 items = Items([x["name"] for x in near], [(x["text"] or "").encode() for x in near], window, gram)
                 found, which = items.find(words) if near else ([], set())
-                rows.append((d, len(words), *_merged(found), sorted({items.names[i] for i in which})))
+                rows.append((d, len(words), *_merged(found), sorted({items.names[i] for i in which} - {None})))
             yield _result(rows, batch)
 
     return task
@@ -217,12 +217,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     inside = text_col if carry else None
     if size <= most_broadcast:
         items = named.collect()
-        shared = spark.sparkContext.broadcast(([x["name"] or "" for x in items], [x["text"].encode() for x in items], window, gram))
+        shared = spark.sparkContext.broadcast(([x["name"] for x in items], [x["text"].encode() for x in items], window, gram))
         found = rows.mapInArrow(_scan(shared, inside), _with_row(rows))
     else:
         found = _by_join(rows, named, window, gram, inside)
     hit = F.aggregate(F.zip_with("begins", "ends", lambda a, z: z - a), F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return found.select(F.col("row_id").alias(id_col), "n_words", hit.alias("n_hit"), "begins", "ends", F.filter("items", lambda x: x != "").alias("items"), *(["row"] if carry else []))
+    return found.select(F.col("row_id").alias(id_col), "n_words", hit.alias("n_hit"), "begins", "ends", "items", *(["row"] if carry else []))
 
 
 def _with_row(rows: DataFrame) -> StructType:
@@ -234,7 +234,7 @@ def _by_join(rows: DataFrame, named: DataFrame, window: int, gram: int, inside:
     """The same with fingerprints joined by shuffle; a document is known by its id and its text's hash."""
     text = F.col(f"row.`{inside}`") if inside else F.col("text")
     hashed = rows.withColumn("key", F.xxhash64("row_id", text)).withColumn("n_words", F.coalesce(F.regexp_count(ascii_lower(text), F.lit(ITEM_WORD)), F.lit(0)).cast("bigint"))
-    items = materialise(named.select(F.coalesce("name", F.lit("")).alias("name"), "text", F.xxhash64("name", "text").alias("key"), F.regexp_count(ascii_lower(F.col("text")), F.lit(ITEM_WORD)).alias("words")).distinct(), "decontamination-items")
+    items = materialise(named.select("name", "text", F.xxhash64(F.col("name").isNull(), "name", "text").alias("key"), F.regexp_count(ascii_lower(F.col("text")), F.lit(ITEM_WORD)).alias("words")).distinct(), "decontamination-items")
     lengths = sorted(x["words"] for x in items.filter(F.col("words").between(1, window - 1)).select("words").distinct().collect())  # below the window
     # of documents with the same id and text one is enough
     texts = hashed.select("key", text.alias("text")).filter("text is not null").groupBy("key").agg(F.any_value("text").alias("text"))

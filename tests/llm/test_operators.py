@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -404,6 +405,121 @@ def test_url_templates_of_wide_and_deep_hosts(spark):
     assert {i for i in range(300) if got[1000 + i]["verdict"] == "block"} == {i for i in range(300) if i % 10 == 0}
 
 
+def brute_templates(paths, least=3):
+    """(host, path) -> template, level by level, of {(host, path): rows}."""
+    wild = lambda x: "*" + (re.search(r"\.[A-Za-z][A-Za-z0-9]{0,4}$", x) or [""])[0]
+    out = {}
+
+    def build(rows, template):
+        out.update((key, template) for key, left in rows if not left)
+        rows = [r for r in rows if r[1]]
+        if sum(paths[k] for k, _ in rows) < least:
+            out.update((key, template + tuple(map(wild, left))) for key, left in rows)
+            return
+        counts, groups = Counter(), defaultdict(list)
+        for key, left in rows:
+            counts[left[0]] += paths[key]
+        for key, left in rows:
+            groups[left[0] if counts[left[0]] >= least else wild(left[0])].append((key, left[1:]))
+        for name, own in groups.items():
+            build(own, (*template, name))
+
+    hosts = defaultdict(list)
+    for host, path in paths:
+        hosts[host].append(((host, path), [x for x in path.split("/") if x]))
+    for own in hosts.values():
+        build(own, ())
+    return out
+
+
+def brute_purities(pages, labels, strength=5.0, z=1.96):
+    """page id -> purity of its merged template; pages are (id, host, path), labels say which numbers are good."""
+    label = {}
+    for i, _, path in pages:
+        m = re.search(r"([0-9]+)[^/0-9]*/?$", path)
+        label[i] = labels.get(int(m[1])) if m else None
+    template = brute_templates(Counter((h, p) for _, h, p in pages))
+    merged = {(h, t): t for (h, _), t in template.items()}
+    counts = defaultdict(lambda: [0, 0])
+    for i, h, p in pages:
+        if label[i] is not None:
+            counts[h, template[h, p]][not label[i]] += 1
+
+    def summed(of):
+        out = defaultdict(lambda: [0, 0])
+        for k in merged:
+            g, b = counts[k]
+            out[of(k)][0] += g
+            out[of(k)][1] += b
+        return out
+
+    for d in range(max(map(len, merged.values())), 0, -1):
+        hidden = lambda m, d=d: m[: d - 1] + ("*",) + m[d:] if len(m) >= d else m
+        branch = summed(lambda k: (k[0], merged[k]))
+        pool, after = summed(lambda k: (k[0], hidden(merged[k]))), {}
+        for k in merged:
+            (g, b), (pg, pb) = branch[k[0], merged[k]], pool[k[0], hidden(merged[k])]
+            share = pg / (pg + pb) if pg + pb else None
+            error = (share * (1 - share) / (g + b)) ** 0.5 if g + b else 0
+            apart = error > 0 and abs(g / (g + b) - share) > z * error
+            after[k] = merged[k] if apart else hidden(merged[k])
+        merged = after
+    table, host, leaf = summed(lambda k: 0)[0], summed(lambda k: k[0]), summed(lambda k: (k[0], merged[k]))
+    base = table[0] / sum(table) if sum(table) else 1.0
+    out = {}
+    for i, h, p in pages:
+        own = (host[h][0] + strength * base) / (sum(host[h]) + strength)
+        g, b = leaf[h, merged[h, template[h, p]]]
+        out[i] = (g + strength * own) / (g + b + strength)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_url_verdicts_by_brute_force(spark, seed):
+    """Learned templates, merges and purities on small trees whose branches differ, with chains and early ends."""
+    rng = random.Random(seed)
+    pages = []
+    for i in range(400):
+        path = [rng.choice("ab"), *(["same", "chain"] if rng.random() < 0.5 else []), rng.choice(["x", "y", "z", "rare%d.html" % rng.randrange(90)]), *(rng.choice("pq") for _ in range(rng.randrange(3)))]
+        pages.append((i, rng.choice(["h.net", "k.net"]), "/" + "/".join([*path[: rng.randrange(2, 9)], f"{i}.html" if rng.random() < 0.8 else ""])))
+    labels = {i: int(rng.random() < (0.9 if "x" in p or "/a/" in p else 0.2)) for i, _, p in pages if rng.random() < 0.7}
+    df = spark.createDataFrame([(i, f"http://{h}{p}") for i, h, p in pages], "page_id bigint, url string")
+    got = judge_urls(df, spark.createDataFrame([(k, v, 0) for k, v in labels.items()], "doc_id bigint, quality int, toxic int")).collect()
+    want = brute_purities(pages, labels)
+    assert {r["page_id"]: round(r["purity"], 9) for r in got} == {i: round(x, 9) for i, x in want.items()}
+    assert all(r["verdict"] == ("block" if want[r["page_id"]] < 0.5 else "allow") for r in got)
+    assert len({r["template"] for r in got}) > 3
+
+
+def test_url_paths_of_many_shared_segments(spark):
+    """Chains that several paths share take one round, however long."""
+    trap = "/".join(f"s{i}" for i in range(400))
+    pages = spark.createDataFrame([(i, f"http://h.net/{trap}/{i % 2}/{i}") for i in range(8)] + [(9, f"http://h.net/{trap}")], "page_id bigint, url string")
+    began = time.time()
+    got = judge_urls(pages, spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id bigint, quality int, toxic int")).collect()
+    assert len(got) == 9 and time.time() - began < 60
+    assert len({r["template"].count("/") for r in got}) == 2
+
+
+def test_repeated_rows_of_long_texts(spark):
+    """Copies with one id and text find the same ranges, and each gets them once."""
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text)] * 300 + [(1, text + " end"), (2, " ".join(f"v{i}" for i in range(60)))]
+    got = remove_repeated_substrings(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)).collect()
+    kept = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"][-5:]) for r in got)
+    assert kept == {(None, 200, 200, ""): 300, (1, 201, 200, "end"): 1, (2, 60, 0, rows[-1][1][-5:]): 1}
+    assert max(len(r["removed"]) for r in got) == 1
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_contamination_by_an_item_with_an_empty_id(spark, limit):
+    """An empty id is an id; a null one is not reported."""
+    docs = spark.createDataFrame([(1, PASSAGE), (2, LONG)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([("", PASSAGE), (None, PASSAGE), (None, LONG)], "item_id string, text string")
+    got = {r["doc_id"]: r for r in find_contamination(docs, bench, most_broadcast=limit).collect()}
+    assert got[1]["items"] == [""] and got[2]["items"] == [] and got[2]["n_hit"] == got[2]["n_words"] > 0
+
+
 def test_level_and_kth(spark):
     assert level_between(np.array([0.0, 1.0, 5.0, 6.0]), np.array([0, 0, 1, 1])) == 3.0
     assert level_between(np.array([1.0]), np.array([1])) == -np.inf
