@@ -327,7 +327,7 @@ def nearest_vectors(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id"
     drawn = _stacked(_drawn(entries, min(sample, SAMPLE_BYTES // (8 * widest)), n, 1), widest)
     if not len(drawn):  # few rows, of which none was drawn
         drawn = _stacked(entries.select("cls", "dim", "vec").limit(LEAST_REGION).collect(), widest)
-    k = min(most_centroids, max(4, 1 << round(np.log2(np.sqrt(n) / 4))))
+    k = min(most_centroids, 1 << max(2, round(np.log2(np.sqrt(n) / 4))))
     half = widest // 2
     index = MultiIndex(fit_centroids(drawn[:, :half], k, 1), fit_centroids(drawn[:, half:], k, 2), widest)
     shared = spark.sparkContext.broadcast(index)  # at most 2 * most_centroids halves
