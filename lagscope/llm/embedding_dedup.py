@@ -8,11 +8,14 @@
    joins every ball's neighbours with one another and keeps the nearest of each.  The distance
    of balls is the angle of their leaders less both radii.
 3. The first descent ends when two rounds running hardly change the links; those after a failed audit, when
-   hardly any entry changes.  A list that is full of links is saturated: its length doubles and the descent goes on.
-4. A fresh sample of balls is compared with all balls by brute force, and grows until enough links
-   are found or every ball has been compared; while its recall, over links or over balls, is below
-   the target, more projection orders and longer lists are taken.  If audits keep failing, or one
-   doesn't halve the share that is missing, brute force compares the balls that no audit has.
+   hardly any entry changes.  A list that is full of links is saturated: its length doubles and the descent goes on,
+   up to ``MOST_WIDENED`` doublings.  Balls whose lists are full even then lie in a dense region; they are compared with
+   all balls in blocks, without lists.
+4. Each audit compares a fresh sample of balls with all balls by brute force.  Where links are rare, a sample holds
+   few; so probes are planted, too: some balls get a partner of their own at the link angle, the hardest that
+   counts, which the search doesn't know from other balls.  While the share of real links (of links, and of balls) or
+   of probes that is in the lists is below the target, more projection orders and longer lists are taken.  If
+   audits keep failing, or one doesn't halve the share that is missing, brute force compares the balls left.
 5. Balls within the link angle are edges.  Their members' links are counted by bounds where
    these decide and by cosine in double precision where they don't.
 """
@@ -39,6 +42,8 @@ CHUNK = 256
 SLACK, MARGIN = 2e-3, 1e-6
 #: Bytes of vectors that a brute-force block broadcasts at most, its rows compared at a time, and places of a draw.
 BLOCK_BYTES, QUERIES, PLACES = 16 << 20, 512, 1 << 40
+#: How often a list that is full of links doubles.
+MOST_WIDENED = 2
 
 _NODE = "rid bigint, dim int, vec binary, radius double"
 
@@ -181,6 +186,25 @@ def _local_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held).combine_chunks())
 
 
+def _probes(angle: float):
+    """For each node a partner at ``angle`` from it, in a direction of its own; its id is below 0."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vecs = []
+            for rid, x in zip(batch.column("rid").to_pylist(), batch.column("vec").to_pylist(), strict=True):
+                v = np.frombuffer(x)
+                w = np.random.default_rng([rid, len(v)]).standard_normal(len(v))
+                w = w - (w @ v) * v
+                size = np.sqrt(w @ w)
+                p = np.cos(angle) * v + np.sin(angle) * w / size if size > 1e-9 else v
+                vecs.append((p / np.sqrt(p @ p)).tobytes())
+            ids = pa.array(-1 - batch.column("rid").to_numpy())
+            yield pa.RecordBatch.from_arrays([ids, batch.column("dim"), pa.array(vecs, pa.binary()), pa.array(np.zeros(len(vecs)))], names=["rid", "dim", "vec", "radius"])
+
+    return task
+
+
 def _brute(shared, reach: float):
     """Nodes within ``reach`` of the shared ones: (u, v)."""
 
@@ -216,16 +240,20 @@ def _angle_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Descent:
-    """Neighbour lists of nodes (rid, dim, vec, radius) and their refinement."""
+    """Neighbour lists of nodes (rid, dim, vec, radius), and of some ``probes`` planted at ``angle``, and their refinement."""
 
-    def __init__(self, nodes: DataFrame, k: int, reach: float, reverse: int = 16) -> None:
-        self.nodes, self.k, self.reach, self.reverse, self.seeds = nodes, k, reach, reverse, 1000
+    def __init__(self, nodes: DataFrame, k: int, reach: float, angle: float, probes: int, reverse: int = 16) -> None:
+        self.real, self.k, self.reach, self.reverse, self.seeds = nodes, k, reach, reverse, 1000
+        self.n, self.widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
+        share = min(PLACES, probes * PLACES // max(1, self.n))
+        planted = nodes.filter(F.pmod(F.xxhash64("rid", F.lit(-1)), F.lit(PLACES)) < share).mapInArrow(_probes(angle), _NODE)
+        self.nodes = nodes = materialise(nodes.select("rid", "dim", "vec", "radius").unionByName(planted), "descent-all")
         self.light = materialise(nodes.select("rid", "vec", "radius").mapInArrow(_to_single, "rid bigint, vec binary, radius double"), "descent-nodes")
         self.edges: DataFrame | None = None
-        self.n, self.widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
         # links found by brute force, and the nodes all of whose links are among them
         self.proved: list[DataFrame] = []
         self.compared, self.draws = F.lit(False), 0
+        self.filled: DataFrame | None = None
 
     def _kept(self, found: DataFrame) -> DataFrame:
         """The nearest of each list; ``fresh``: not joined yet.  One shuffle, by u, serves both steps."""
@@ -248,8 +276,9 @@ class _Descent:
 
     def refine(self, rounds: int, enough: float, *, links_only: bool) -> None:
         """Join neighbours of neighbours until fewer than ``enough`` of all entries change, or, ``links_only``, of
-        those that are links, in two rounds running; double the lists that are full of links; again, until none is."""
-        full = 1
+        those that are links, in two rounds running; double the lists that are full of links; again, until none is.
+        Lists that doubling doesn't help are left to brute force."""
+        full, widened = 1, 0
         while full:
             still = 0
             for _ in range(rounds):
@@ -260,8 +289,23 @@ class _Descent:
                 still = still + 1 if fresh_links <= enough * links else 0
                 if fresh <= enough * total or (links_only and still == 2):
                     break
+            if full and widened == MOST_WIDENED:
+                self._fill()
+                return
             if full:
                 self._widen()
+                widened += 1
+
+    def _fill(self) -> None:
+        """Compare the nodes whose lists are full of links with all nodes; then every link of theirs is known."""
+        full = self.edges.filter((F.col("d") <= self.reach) & (F.col("rank") == F.col("k"))).select(F.col("u").alias("rid")).distinct()
+        full = full if self.filled is None else full.join(self.filled, "rid", "left_anti")
+        rest = materialise(self.real.join(full, "rid", "left_semi").filter(~self.compared), "descent-full")
+        self.filled = rest.select("rid") if self.filled is None else self.filled.unionByName(rest.select("rid"))
+        n = rest.count()
+        log.info("brute force for %d of %d balls with full lists", n, self.n)
+        if n:
+            self.proved += [true for true, _ in self._blocks(rest, n, max(QUERIES, BLOCK_BYTES // (8 * self.widest)), self.reach)]
 
     def _joined(self) -> DataFrame:
         e = self.edges
@@ -287,7 +331,7 @@ class _Descent:
         self.edges = self.edges.withColumn("k", 2 * F.col("k"))
 
     def links(self, reach: float) -> DataFrame:
-        near = self.edges.filter(F.col("d") <= reach).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        near = self.edges.filter((F.col("d") <= reach) & (F.col("u") >= 0) & (F.col("v") >= 0)).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         for x in self.proved:
             near = near.union(x.select(F.least("u", "v"), F.greatest("u", "v")))
         return near.distinct()
@@ -305,38 +349,34 @@ class _Descent:
                 by.setdefault(x["dim"], []).append(x)
             block = {d: (np.array([x["rid"] for x in own]), np.stack([np.frombuffer(x["vec"]) for x in own]), np.array([x["radius"] for x in own])) for d, own in by.items()}
             shared = self.nodes.sparkSession.sparkContext.broadcast(block)
-            true = materialise(self.nodes.mapInArrow(_brute(shared, reach + MARGIN), "u bigint, v bigint"), "descent-true")
+            true = materialise(self.real.mapInArrow(_brute(shared, reach + MARGIN), "u bigint, v bigint"), "descent-true")
             shared.destroy()
             yield true, place < high
             low, size = high, 4 * size
 
     def audit(self, reach: float, sample: int, enough: int) -> float:
-        """Share of the true links of sampled nodes that are in the lists: over links or over nodes, the less.
+        """Share of what should be in the lists that is: of the true links of ``sample`` fresh nodes, over links or
+        over nodes, if there are ``enough`` of these links to tell, and of the probes; the least of them.
 
-        The sample is a fresh one, of ``sample`` nodes at first, and grows until brute force has found ``enough``
-        links at its nodes.  If that takes all nodes, every link is known, and the share is 1.  What brute force
-        finds stays known.
+        What brute force finds stays known.  If the sample takes all nodes, every link is, and the share is 1.
         """
         known = materialise(self.links(reach + SLACK).withColumn("hit", F.lit(1)), "descent-known")
-        n = found = nodes = shares = 0
-        proved, drawn = [], F.lit(False)
-        for true, drawn in self._blocks(self.nodes, self.n, sample, reach):
-            proved.append(true)
-            seen = true.select("u", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).join(known, ["a", "b"], "left")
-            x = seen.groupBy("u").agg(F.count("*").alias("n"), F.count("hit").alias("found")).agg(F.sum("n"), F.sum("found"), F.count("*"), F.sum(F.col("found") / F.col("n"))).first()
-            n, found, nodes, shares = n + (x[0] or 0), found + (x[1] or 0), nodes + x[2], shares + (x[3] or 0.0)
-            if n >= max(1, enough):
-                break
-        else:
-            found, shares = n, nodes
-        self.proved += proved
+        true, drawn = next(self._blocks(self.real, self.n, sample, reach))
+        seen = true.select("u", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).join(known, ["a", "b"], "left")
+        n, found, nodes, shares = (x or 0 for x in seen.groupBy("u").agg(F.count("*").alias("n"), F.count("hit").alias("found")).agg(F.sum("n"), F.sum("found"), F.count("*"), F.sum(F.col("found") / F.col("n"))).first())
+        met = self.edges.filter((F.col("d") <= self.reach) & (F.col("u") == -1 - F.col("v")))
+        probes = self.nodes.filter("rid < 0").count()
+        planted = met.select(F.least("u", "v").alias("p")).distinct().count()
+        self.proved.append(true)
         self.compared = self.compared | drawn
-        log.info("audit %d: %d links at %d of %d balls, %d known, mean share %.4f", self.draws, n, nodes, self.n, found, shares / nodes if nodes else 1.0)
-        return min(found / n, shares / nodes) if n else 1.0
+        log.info("audit %d: %d of %d links at %d of %d balls, mean share %.4f; %d of %d probes", self.draws, found, n, nodes, self.n, shares / nodes if nodes else 1.0, planted, probes)
+        if sample >= self.n:
+            return 1.0
+        return min(found / n if n >= max(1, enough) else 1.0, shares / nodes if n >= max(1, enough) else 1.0, planted / probes if probes else 0.0)
 
     def complete(self, reach: float) -> None:
         """Compare what no audit has compared with all nodes; then every link is known."""
-        rest = materialise(self.nodes.filter(~self.compared), "descent-rest")
+        rest = materialise(self.real.filter(~self.compared), "descent-rest")
         n = rest.count()
         log.info("brute force for the %d of %d balls not compared yet", n, self.n)
         most = max(QUERIES, BLOCK_BYTES // (8 * self.widest))
@@ -360,13 +400,13 @@ def _to_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(vecs, pa.binary()), batch.column("radius")], names=["rid", "vec", "radius"])
 
 
-def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, neighbours: int = 8, orders: int = 6, target_recall: float = 0.98, sample: int = 512, audit_links: int = 1000, most_audits: int = 4) -> DataFrame:
+def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, neighbours: int = 8, orders: int = 6, target_recall: float = 0.98, sample: int = 512, audit_links: int = 100, probes: int = 1000, most_audits: int = 4) -> DataFrame:
     """Links of vectors with a cosine of ``cosine`` or more, and the components they make.
 
     Returns one row per vector: the id column, ``n_links`` (other vectors linked with it), ``component_id``
     (the least id reachable by links, itself included) and ``kept`` (it is that id).  No pair below the
-    threshold is linked; the share of pairs found is audited against ``target_recall`` on ``sample`` balls or
-    more, until their links number ``audit_links`` or all balls are compared.  If ``most_audits`` audits fail,
+    threshold is linked; the share of pairs found is audited against ``target_recall``, on the links of ``sample``
+    balls where they number ``audit_links`` or more, and on ``probes`` planted pairs.  If ``most_audits`` audits fail,
     or one finds more than half as much missing as the one before, all balls are compared: no link is missed.
 
     Defined cases: a vector that is null, empty or zero, or holds null or non-finite components, links with
@@ -393,7 +433,7 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     member = valid.select("rid").join(_last_leaders(steps), "rid", "left").select("rid", F.coalesce("leader", "rid").alias("ball"))
     member = materialise(member, "ball-members")
 
-    search = _Descent(nodes, neighbours, angle + SLACK)
+    search = _Descent(nodes, neighbours, angle + SLACK, angle, probes)
     search.seed(orders, neighbours)
     reached = 0.0
     for i in range(most_audits):
