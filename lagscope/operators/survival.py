@@ -70,9 +70,11 @@ def current_gap(gaps: DataFrame, by: list[str], *, survival: bool = True, prior_
     return g.select(*by, estimate.alias("estimated_gap"), F.coalesce(oldest, F.lit(0.0)).alias("min_gap"), confidence.alias("confidence"), method.alias("method"), F.coalesce(F.size("ages"), F.lit(0)).cast("bigint").alias("n_unmatched"))
 
 
-def lognormal_pdf(spark, mu: float, sigma: float, low: float, high: float, points: int = 200) -> DataFrame:
-    """The log-normal density on an even grid."""
-    x = F.lit(low) + F.col("id") * F.lit((high - low) / (points - 1))
-    grid = spark.range(points).select(F.col("id").alias("i"), x.alias("x"))
-    z = (F.ln(F.col("x")) - mu) / sigma
-    return grid.withColumn("density", F.exp(-z * z / 2) / (F.col("x") * sigma * F.sqrt(F.lit(2 * 3.141592653589793))))
+def lognormal_density(prior: DataFrame, by: list[str], low: float, high: float, points: int = 200) -> DataFrame:
+    """The log-normal density of each group's prior (``mu``, ``sigma``) on an even grid: ``i``, ``x`` and ``density``.
+    A group without a prior has none."""
+    step = (high - low) / (points - 1)
+    grid = prior.filter("mu is not null").select(*by, "mu", "sigma", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))).alias("i"))
+    grid = grid.withColumn("x", F.lit(low) + F.col("i") * F.lit(step))
+    z = (F.ln(F.col("x")) - F.col("mu")) / F.col("sigma")
+    return grid.select(*by, "i", "x", (F.exp(-z * z / 2) / (F.col("x") * F.col("sigma") * F.sqrt(F.lit(2 * 3.141592653589793)))).alias("density"))

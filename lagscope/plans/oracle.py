@@ -227,7 +227,7 @@ SELECT 'all' AS pool, grid_date, round(CASE WHEN w >= 1.0 THEN s / w END, 6) AS
     "current_gap_estimate": current(),
     "current_gap_first_match": current("lead_date >= first_match"),
     "current_gap_oldest": f"WITH {ORDERS}, {FRONT}{gaps()}, q AS (SELECT benchmark_id, max(gap_months) FILTER (NOT matched) AS oldest, count(*) FILTER (NOT matched) AS n FROM g GROUP BY benchmark_id) SELECT benchmark_id, round(coalesce(oldest, 0), 4) AS estimated_gap, round(coalesce(oldest, 0), 4) AS min_gap, CASE WHEN n = 0 OR n >= 2 THEN 'high' ELSE 'medium' END AS confidence, CASE WHEN n = 0 THEN 'no_unmatched' ELSE 'oldest_unmatched' END AS method, n AS n_unmatched FROM q",
-    "lognormal_pdf_grid": "WITH q AS (SELECT i, 0.5::DOUBLE + i * ((20.0::DOUBLE - 0.5) / 199) AS x FROM (SELECT unnest(generate_series(0, 199)) AS i)) SELECT i, round(x, 6) AS x, round(exp(-((ln(x) - 1.5) / 0.4) * ((ln(x) - 1.5) / 0.4) / 2) / (x * 0.4 * sqrt(2 * 3.141592653589793::DOUBLE)), 6) AS density FROM q",
+    "lognormal_pdf_grid": f"WITH {ORDERS}, {FRONT}{gaps()}, l AS (SELECT benchmark_id, CASE WHEN matched AND gap_months > 0 THEN ln(CASE WHEN gap_months > 0 THEN gap_months END) END AS x FROM g), q AS (SELECT benchmark_id, avg(x) AS mu, greatest(stddev_samp(x), 0.1) AS sigma FROM l GROUP BY benchmark_id), d AS (SELECT benchmark_id, mu, sigma, i, 0.5::DOUBLE + i * ((20.0::DOUBLE - 0.5) / 199) AS x FROM q, (SELECT unnest(generate_series(0, 199)) AS i) WHERE mu IS NOT NULL) SELECT benchmark_id, i, round(x, 6) AS x, round(exp(-((ln(x) - mu) / sigma) * ((ln(x) - mu) / sigma) / 2) / (x * sigma * sqrt(2 * 3.141592653589793::DOUBLE)), 6) AS density FROM d",
     "classify_three_valued": "WITH q AS (SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'Open weights (restricted)' WHEN 1 THEN ' API access ' WHEN 2 THEN 'Unreleased' END AS l FROM part) SELECT p_partkey, CASE WHEN contains(trim(l), 'Open') THEN true WHEN trim(l) IN ('API access', 'Hosted access (no API)') THEN false END AS is_open, coalesce(contains(l, 'Open'), false) AS is_open_old FROM q",
     "classify_chain": "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN true WHEN p_size % 7 IN (1, 2) THEN false WHEN contains(lower(p_name), '1') THEN true WHEN contains(lower(p_brand), 'brand#1') THEN false WHEN contains(lower(p_brand), 'brand#2') OR contains(lower(p_brand), 'brand#3') THEN true END AS is_open FROM part",
     "classify_accessible": "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE contains(lower(p_brand), 'brand#2') OR contains(lower(p_type), 'brand#2') END AS is_open FROM part",
@@ -334,7 +334,7 @@ grid AS (SELECT * FROM auto WHERE benchmark_id <> 'F' UNION ALL SELECT * FROM gi
     "open_by_id": "SELECT p_partkey, starts_with(replace(lower(p_name), ' ', '_'), 'a') OR ends_with(replace(lower(p_name), ' ', '_'), 'e') AS is_open FROM part",
     "column_defaults": "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment ELSE 'Unknown' END AS market, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'Nobody' END AS name FROM customer",
     "index_lookup": "WITH f AS (SELECT p_brand, arg_min(p_size, p_partkey) AS size, min(p_partkey) AS k FROM part GROUP BY p_brand) SELECT p_partkey, CASE WHEN k % 4 > 0 THEN f.size END AS size FROM part JOIN f ON f.p_brand = part.p_brand",
-    "spaced_labels": """WITH RECURSIVE v AS (SELECT o_orderstatus || '-' || (o_orderkey % 10) AS benchmark_id, o_totalprice::DOUBLE AS score FROM orders WHERE o_totalprice > 0),
+    "spaced_labels": "WITH RECURSIVE " + ORDERS.replace("o_orderstatus AS benchmark_id", "o_orderstatus || '-' || (o_orderkey % 10) AS benchmark_id") + f", {RECORDS}" + """, v AS (SELECT benchmark_id, score FROM r WHERE score > 0),
 pick AS (SELECT benchmark_id, min(score) AS score FROM v GROUP BY benchmark_id UNION ALL
   SELECT pick.benchmark_id, min(v.score) FROM pick JOIN v ON v.benchmark_id = pick.benchmark_id AND log10(v.score) - log10(pick.score) >= 0.2 GROUP BY pick.benchmark_id) SELECT benchmark_id, score FROM pick""",
     "fractional_dates": "SELECT event_id, round((epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2023-12-31 18:00:00')) / 86400000000.0::DOUBLE, 6) AS days, floor((epoch_us(ts::TIMESTAMP) - epoch_us(TIMESTAMP '2023-12-31 18:00:00')) / 86400000000.0::DOUBLE)::BIGINT AS whole_days FROM events",

@@ -388,7 +388,8 @@ def current_gap_first_match(spark, sf):
 
 @query
 def lognormal_pdf_grid(spark, sf):
-    return rounded(survival.lognormal_pdf(spark, 1.5, 0.4, 0.5, 20.0))
+    """The prior's density of each benchmark, from half a month to 20 months."""
+    return rounded(survival.lognormal_density(survival.lognormal_prior(gaps(spark, sf), ["benchmark_id"]), ["benchmark_id"], 0.5, 20.0))
 
 
 # classification and ingest
@@ -694,9 +695,9 @@ def index_lookup(spark, sf):
 
 @query
 def spaced_labels(spark, sf):
-    """Order totals that a logarithmic axis can label, by status and clerk's last digit."""
-    rows = table(spark, sf, "orders").select(F.concat("o_orderstatus", F.lit("-"), F.col("o_orderkey") % 10).alias("benchmark_id"), (F.col("o_totalprice") * 1.0).alias("score"))
-    return spaced(rows, "benchmark_id", "score", 0.2)
+    """Scores of the records of orders, by status and clerk's last digit, that a logarithmic axis can label."""
+    digits = orders(spark, sf).withColumn("benchmark_id", F.concat("benchmark_id", F.lit("-"), F.col("model") % 10))
+    return spaced(strict_records(digits), "benchmark_id", "score", 0.2)
 
 
 @query
