@@ -145,7 +145,8 @@ def _draws(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     small_batches(spark)
     place = F.xxhash64(F.col(label_id_col).cast("bigint"), F.lit(seed))
-    sample = labels.select(F.col(label_id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"), place.alias("place")).filter("id is not null and label in (0, 1)").orderBy("place", "id", "label").limit(most_labelled).collect()
+    sample = labels.select(F.col(label_id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("label"), place.alias("place")).filter("id is not null and label in (0, 1)")
+    sample = sample.groupBy("id", "place").agg(F.min("label").alias("label")).orderBy("place", "id").limit(most_labelled).collect()
     target = {x["id"] for i, x in enumerate(sample) if i % 2 == 0 and x["label"] == 1}
     held_out = {x["id"]: x["label"] for i, x in enumerate(sample) if i % 2}
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
@@ -187,7 +188,7 @@ def resample_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_i
 
     Defined cases: a null or empty text, or one of white space alone, has no weight and is not kept; ties at
     the k-th draw are all kept, so repeated rows stay or go together; labels that are null or of unknown ids
-    are not used; without labels of both kinds all documents with a weight are kept; empty tables are fine;
+    are not used, and of several labels of one id the worst counts; without labels of both kinds all documents with a weight are kept; empty tables are fine;
     other columns are not read.  ``options``: those of ``_draws``, with their defaults.
     """
     drawn = _draws(docs, labels, id_col=id_col, **options)

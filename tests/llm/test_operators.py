@@ -17,7 +17,7 @@ from lagscope.llm.common import vocabulary_path
 from lagscope.llm.decontamination import find_contamination
 from lagscope.llm.embedding_dedup import linked_embeddings
 from lagscope.llm.mixing import mix_sources, source_targets, taken_words
-from lagscope.llm.near_dedup import near_duplicates
+from lagscope.llm.near_dedup import MinMax, band_count, near_duplicates
 from lagscope.llm.quality import keep_quality, kth_largest, level_between, resample_quality
 from lagscope.llm.sharding import balanced_shards
 from lagscope.llm.substring_dedup import SLOTS, _pack, heavy_slots, remove_repeated_substrings, repeated_windows
@@ -167,6 +167,28 @@ def test_near_duplicates_of_groups_not_quite_alike(spark):
     assert got == want and 2 < len(set(want.values())) < 150
 
 
+@pytest.mark.parametrize("similarity, rows", [(0.85, 5), (0.8, 4)])
+def test_bands_meet_as_often_as_independent_ones(similarity, rows):
+    """Pairs of sets just at the threshold: none without a common band, and as many bands in common as if the least and
+    the greatest of a hash told different things."""
+    rng = np.random.default_rng(1)
+    bands = band_count(similarity, rows)
+    hasher = MinMax(bands, rows)
+    common = 340
+    own = int(common * (1 - similarity) / (2 * similarity) + 1e-9)
+    exact = common / (common + 2 * own)
+    sets = []
+    for _ in range(1500):
+        x = rng.integers(0, 1 << 63, common + 2 * own, dtype=np.uint64) * np.uint64(2)
+        sets += [x[: common + own], np.concatenate([x[:common], x[common + own :]])]
+    keys = hasher.keys(sets)
+    met = (keys[::2] == keys[1::2]).sum(1)
+    chance = exact**rows
+    assert met.min() > 0
+    assert met.mean() == pytest.approx(bands * chance, rel=0.03)
+    assert met.std() == pytest.approx((bands * chance * (1 - chance)) ** 0.5, rel=0.08)
+
+
 def contaminated(text, items):
     pattern = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     words = [pattern.findall((t or "").encode().lower()) for t in (text, *(t for _, t in items))]
@@ -573,6 +595,17 @@ def labelled(n=400, seed=11):
     return rows
 
 
+def test_quality_of_contradictory_labels(spark):
+    """Of several labels of one id the worst counts, once: the answer is that of the table without the others."""
+    rows = labelled()
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id bigint, text string")
+    once = [(i, good and not i % 7 == 3) for i, _, good, _ in rows]
+    twice = once + [(i, 1) for i, good in once if not good or i % 5 == 0]
+    frame = lambda x: spark.createDataFrame([(i, int(g)) for i, g in x], "doc_id bigint, quality int")
+    got = [Counter((r["doc_id"], r["kept"], round(r["draw"], 9)) for r in resample_quality(docs, frame(x)).collect()) for x in (once, twice)]
+    assert got[0] == got[1]
+
+
 def test_quality(spark, docs, empty):
     rows = labelled()
     table = spark.createDataFrame([(d, t, "s") for d, t, _, _ in rows], SCHEMA)
