@@ -393,3 +393,25 @@ SQL |= {
     "framing_matches": SQL["frontier_match_pairs"].replace(ORDERS, _FRAMED),
     "model_list": f"WITH {ORDERS}, {RANKED} SELECT benchmark_id, model, date, score, is_laggard, before IS NULL OR score >= before AS on_frontier FROM p",
 }
+
+
+# adapters
+
+SQL |= {
+    "score_table_ingest": """WITH t AS (SELECT 'm-' || (c_custkey % 700) AS model, round(c_acctbal, 2) AS eci, round(c_acctbal - 10, 2) AS low, CASE WHEN c_custkey % 3 = 0 THEN round(c_acctbal + 5, 2) END AS high,
+  CASE WHEN c_custkey % 2 = 0 THEN '2023-' || lpad((1 + c_custkey % 12)::VARCHAR, 2, '0') || '-15' END AS date, c_custkey % 3 AS label FROM customer WHERE c_custkey % 5 > 0),
+b AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY model ORDER BY eci DESC, coalesce(date, ''), coalesce(low, 0)) = 1),
+k AS (SELECT *, substr(model, 3)::BIGINT AS k FROM b)
+SELECT 'index' AS benchmark_id, model, coalesce(date::DATE, CASE WHEN EXISTS (SELECT 1 FROM customer WHERE c_custkey = k AND c_custkey < 350) THEN DATE '2022-05-01' END) AS date, round(eci, 6) AS score, round((high - low) / 3.29, 6) AS score_std,
+  CASE label WHEN 0 THEN true WHEN 1 THEN false ELSE CASE WHEN k % 2 = 0 AND EXISTS (SELECT 1 FROM customer WHERE c_custkey = k) THEN true END END AS is_laggard FROM k""",
+    "benchmark_table_ingest": """WITH t AS (SELECT 'v' || l_partkey AS model, CASE WHEN l_orderkey % 2 = 0 THEN l_discount WHEN l_orderkey % 3 = 0 THEN l_quantity END AS s, l_shipdate::DATE AS date, CASE WHEN l_orderkey % 5 > 0 THEN l_tax END AS e, l_returnflag = 'R' AS is_laggard FROM lineitem WHERE l_orderkey % 11 > 0 AND l_orderkey % 13 > 0 AND l_returnflag IN ('R', 'A'))
+SELECT 'lines' AS benchmark_id, model, date, round(CASE WHEN s <= 1 THEN s * 100 ELSE s END, 6) AS score, round(coalesce(CASE WHEN e <= 1 THEN e * 100 ELSE e END, 0.0), 6) AS score_std, is_laggard FROM t WHERE s IS NOT NULL AND date IS NOT NULL""",
+    "resolved_task": f"WITH {_TASKS}, k AS (SELECT task_id FROM tk WHERE contains(path, 'gear') OR contains(path, 'brand') ORDER BY NOT contains(path, 'gear'), path LIMIT 1) SELECT look, task_id FROM (SELECT 20::BIGINT AS task_id, unnest(['path', 'alternate']) AS look UNION ALL SELECT task_id, 'keyword' FROM k)",
+    "run_scores": f"""WITH {_LINES.replace("o_custkey AS model_id", "o_custkey AS model_id, o_orderstatus AS status, l_linenumber")}, m AS (SELECT o_custkey AS model, min(o_orderdate)::DATE AS date FROM orders GROUP BY o_custkey)
+SELECT 'runs' AS benchmark_id, model, date, round(max(s.mean), 6) AS score, 0.0::DOUBLE AS score_std, CASE WHEN n_regionkey = 0 THEN true WHEN n_regionkey IN (1, 2) THEN false ELSE contains(lower(n_name), 'india') OR contains(lower(n_name), 'japan') END AS is_laggard
+FROM ln r JOIN ln s ON s.run_id = r.run_id JOIN m ON model = r.model_id JOIN customer ON c_custkey = model JOIN nation ON n_nationkey = c_nationkey WHERE r.status = 'F' AND s.l_linenumber % 7 > 0 AND s.scorer IN ('A', 'R') AND r.task_id IN (7, 8, 9) AND r.task_id IN (SELECT p_partkey FROM part WHERE p_partkey < 55) GROUP BY ALL""",
+    "latest_draws": "SELECT vec_id AS model, len(embedding)::BIGINT AS n, round(embedding[1]::DOUBLE, 6) AS first FROM embeddings WHERE vec_id % 6 = 0 AND len(embedding) = 64",
+    "available_benchmarks": f"WITH {ORDERS} SELECT benchmark_id, count(*) AS n_rows, count(DISTINCT model) AS n_models, row_number() OVER (ORDER BY benchmark_id) AS position FROM o GROUP BY benchmark_id",
+    "published_documents": f"""{POINTS}, {FRONT}{gaps()}, a AS (SELECT benchmark_id, count(*) AS n_models FROM f GROUP BY benchmark_id), b AS (SELECT benchmark_id, count(*) AS n_gaps, count(*) FILTER (matched) AS n_matched, coalesce(max(gap_months) FILTER (NOT matched), 0) AS oldest FROM g GROUP BY benchmark_id),
+c AS (SELECT benchmark_id, count(*) AS n_thresholds, count(*) FILTER (accepted) AS n_accepted FROM t GROUP BY benchmark_id) SELECT benchmark_id, n_models, n_gaps, n_thresholds, n_accepted, round(oldest, 4) AS min_gap, n_matched FROM a JOIN b USING (benchmark_id) JOIN c USING (benchmark_id)""",
+}

@@ -12,7 +12,7 @@ from ..operators import classify, ingest, match, smooth, spine, survival, thresh
 from ..operators.frontier import GROUP, best_per_key, cumulative_rank, frontier, records_with_baseline, strict_records
 from ..schema import to_canonical
 from ..operators.spacing import packed, spaced
-from ..sources import blocks, files, linked
+from ..sources import blocks, files, linked, scores
 from . import publish
 from .bindings import as_of, events, orders, table, with_draws
 
@@ -831,6 +831,79 @@ def version_metadata(spark, sf):
     return out.select("version", F.array_join("versions", ",").alias("versions"), "doubling_days", "doubling_low", "doubling_high", "recent_doubling_days", F.expr("variant_get(rest, '$.doubling_time_in_days.from_2023.point_estimate', 'string')").alias("kept"))
 
 
+# adapters, on tables of strings as files have them
+
+
+@query
+def score_table_ingest(spark, sf):
+    """Customers as a score table: the best variant of each model, dates backfilled, blank labels overridden."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    number = lambda x: F.format_string("%.2f", x)
+    rows = c.select(
+        F.concat(F.lit("m-"), k % 700).alias("Model"), F.when(k % 5 > 0, number("c_acctbal")).otherwise("n/a").alias("eci"), number(F.col("c_acctbal") - 10).alias("eci_ci_low"), F.when(k % 3 == 0, number(F.col("c_acctbal") + 5)).alias("eci_ci_high"),
+        F.when(k % 2 == 0, F.concat(F.lit("2023-"), F.lpad((1 + k % 12).cast("string"), 2, "0"), F.lit("-15"))).alias("Version release date"), F.when(k % 3 == 0, "Open weights").when(k % 3 == 1, "API access").otherwise(" ").alias("Model accessibility"),
+    )
+    reference = c.filter("c_custkey < 350").select(F.concat(F.lit("m-"), k).alias("Model"), F.col("c_mktsegment").alias("Organization"), F.lit("2022-05-01").alias("Publication date"))
+    overrides = c.filter("c_custkey < 700 and c_custkey % 2 = 0").select(F.concat(F.lit("m-"), k).alias("key"), F.lit("Open weights (restricted)").alias("value"))
+    return rounded(scores.model_scores(rows, "index", reference=reference, overrides=overrides))
+
+
+@query
+def benchmark_table_ingest(spark, sf):
+    """Order lines as a benchmark's table: the first known score on its scale, rows without what is needed left out."""
+    k = F.col("l_orderkey")
+    text = lambda c: F.col(c).cast("string")
+    rows = table(spark, sf, "lineitem").select(
+        F.when(k % 11 == 0, " ").otherwise(F.concat(F.lit(" v"), "l_partkey")).alias("Model version"), F.when(k % 2 == 0, text("l_discount")).when(k % 7 == 0, "x").alias("mean_score"), F.when(k % 3 == 0, text("l_quantity")).alias("Best score (across scorers)"),
+        F.when(k % 13 > 0, F.col("l_shipdate").cast("date").cast("string")).alias("Release date"), F.when(k % 5 > 0, text("l_tax")).alias("stderr"), "l_returnflag",
+    )
+    kind = F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False)
+    return rounded(scores.benchmark_scores(rows, "lines", kind))
+
+
+@query
+def resolved_task(spark, sf):
+    """Tasks by their path, by an alternate path, by a keyword, and by none of them."""
+    tasks = _linked(spark, sf)["tasks"]
+    exact = tasks.filter("task_id = 20").first()["path"]
+    looks = {"path": (exact, ["x"], ["gear"]), "alternate": ("x", ["y", exact], ["gear"]), "keyword": ("x", ["y"], ["GEAR", "brand"]), "none": ("x", [], ["nowhere"])}
+    found = [scores.resolve_task(tasks, *look).select(F.lit(name).alias("look"), "task_id") for name, look in looks.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query
+def run_scores(spark, sf):
+    """The best score of each model over the successful runs of three tasks."""
+    t = _linked(spark, sf)
+    released = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min(F.col("o_orderdate").cast("date")).alias("release_date"))
+    models = released.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("model_id"), "release_date", F.col("c_nationkey").alias("group_id"))
+    groups = t["groups"].join(table(spark, sf, "nation"), F.col("group_id") == F.col("n_nationkey")).select("group_id", "accessibility", F.array("n_name").alias("organizations"))
+    runs = t["runs"].withColumn("status", F.when(F.col("status") == "F", "success").otherwise("failed"))
+    kind = classify.classify_accessible(F.col("accessibility"), F.col("organizations"), ["Open weights"], ["india", "japan"])
+    return rounded(scores.run_scores(t["tasks"].filter("task_id in (7, 8, 9)"), runs, t["scores"], models, groups, "runs", kind, scorers=["A", "R"]))
+
+
+@query
+def latest_draws(spark, sf):
+    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("model"), F.col("embedding").cast("array<double>").alias("draws"), F.when(F.col("vec_id") % 3 == 0, "a").otherwise("b").alias("source_hash"), (F.col("vec_id") % 2).alias("seed"), F.size("embedding").alias("n_samples"))
+    return scores.latest_draws(v, "a", 0, 64).select("model", F.size("draws").cast("bigint").alias("n"), _r(F.col("draws")[0], 6, "first"))
+
+
+@query
+def available_benchmarks(spark, sf):
+    return scores.available_benchmarks(orders(spark, sf)).withColumn("position", F.col("position").cast("bigint"))
+
+
+@query
+def published_documents(spark, sf):
+    """What the published documents of all benchmarks hold, read back from their JSON."""
+    docs = publish.documents(publish.analyse(orders(spark, sf), as_of()))
+    n = lambda section: F.size(F.from_json(F.get_json_object("document", f"$.{section}"), "array<string>")).cast("bigint")
+    value = lambda p, kind: F.get_json_object("document", f"$.{p}").cast(kind)
+    return docs.select("benchmark_id", n("models").alias("n_models"), n("gaps").alias("n_gaps"), n("thresholds").alias("n_thresholds"), value("threshold_summary.n_accepted", "bigint").alias("n_accepted"), _r(value("current_gap.min_gap", "double"), 4, "min_gap"), value("statistics.total_matched", "bigint").alias("n_matched"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
