@@ -14,7 +14,7 @@
 4. Each audit compares a fresh sample of balls with all balls by brute force.  Where links are rare, a sample holds
    few; so probes are planted, too: some balls get a partner of their own at the link angle, the hardest that
    counts, which the search doesn't know from other balls.  While the share of real links (of links, and of balls) or
-   of probes that is in the lists is below the target, more projection orders and longer lists are taken.  If
+   of probes that is in the lists is below the target, more projection orders, and then longer lists, are taken.  If
    audits keep failing, or one doesn't halve the share that is missing, brute force compares the balls left.
 5. Balls within the link angle are edges.  Their members' links are counted by bounds where
    these decide and by cosine in double precision where they don't.
@@ -76,14 +76,14 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("id"), pa.array(dims, pa.int32()), pa.array(vecs, pa.binary())], names=["rid", "id", "dim", "vec"])
 
 
-def _coded(seeds: range):
+def _coded(seeds: range, kind):
     """For each seed, a turn of its own: the signs of 60 random projections, as one number."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             parts = [(d, np.flatnonzero(dims == d)) for d in np.unique(dims).tolist()]
-            parts = [(d, here, _matrix(batch.column("vec").take(pa.array(here)))) for d, here in parts]
+            parts = [(d, here, _matrix(batch.column("vec").take(pa.array(here)), kind)) for d, here in parts]
             for seed in seeds:
                 codes = np.zeros(batch.num_rows, np.int64)
                 for d, here, v in parts:
@@ -95,10 +95,10 @@ def _coded(seeds: range):
     return task
 
 
-def _in_order(nodes: DataFrame, seeds: range) -> DataFrame:
+def _in_order(nodes: DataFrame, seeds: range, kind=np.float64) -> DataFrame:
     """Nodes in a projection order for each seed, one after the other, in one shuffle; ids part rows of one code,
     however many."""
-    coded = nodes.select("rid", "dim", "vec", "radius").mapInArrow(_coded(seeds), f"{_NODE}, turn int, code bigint")
+    coded = nodes.select("rid", "dim", "vec", "radius").mapInArrow(_coded(seeds, kind), f"{_NODE}, turn int, code bigint")
     return coded.repartitionByRange("turn", "dim", "code", "rid").sortWithinPartitions("turn", "dim", "code", "rid")
 
 
@@ -145,11 +145,11 @@ def _absorb(limit: float):
 
 
 def _nearest(k: int):
-    """The ``k`` nearest of each row in its chunk."""
+    """The ``k`` nearest of each row in its chunk, in single precision."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _chunks(batches):
-            v, r, ids = _matrix(t["vec"]), t["radius"].to_numpy(), t["rid"].to_numpy()
+            v, r, ids = _matrix(t["vec"], np.float32), t["radius"].to_numpy(), t["rid"].to_numpy()
             gap = _angles(v, v) - r - r[:, None]
             np.fill_diagonal(gap, np.inf)
             n = min(k, len(ids) - 1)
@@ -248,7 +248,7 @@ class _Descent:
         share = min(PLACES, probes * PLACES // max(1, self.n))
         planted = nodes.filter(F.pmod(F.xxhash64("rid", F.lit(-1)), F.lit(PLACES)) < share).mapInArrow(_probes(angle), _NODE)
         self.nodes = nodes = materialise(nodes.select("rid", "dim", "vec", "radius").unionByName(planted), "descent-all")
-        self.light = materialise(nodes.select("rid", "vec", "radius").mapInArrow(_to_single, "rid bigint, vec binary, radius double"), "descent-nodes")
+        self.light = materialise(nodes.mapInArrow(_to_single, _NODE), "descent-nodes")
         self.edges: DataFrame | None = None
         # links found by brute force, and the nodes all of whose links are among them
         self.proved: list[DataFrame] = []
@@ -270,7 +270,7 @@ class _Descent:
     def seed(self, orders: int, k: int) -> None:
         """Add the neighbours within chunks of so many more projection orders."""
         new = [F.lit(True).alias("fresh"), F.lit(None).cast("int").alias("k")]
-        found = _in_order(self.nodes, range(self.seeds, self.seeds + orders)).mapInArrow(_nearest(k), "u bigint, v bigint, d double").select("*", *new)
+        found = _in_order(self.light, range(self.seeds, self.seeds + orders), np.float32).mapInArrow(_nearest(k), "u bigint, v bigint, d double").select("*", *new)
         self.seeds += orders
         self.edges = self._kept(found if self.edges is None else found.unionByName(self.edges.select("u", "v", "d", "fresh", "k")))
 
@@ -314,7 +314,7 @@ class _Descent:
         back = e.select("u", "v", "d", "fresh").withColumn("place", place).filter(F.col("place") <= self.reverse).select(F.col("v").alias("p"), F.col("u").alias("x"), "fresh")
         legs = e.select(F.col("u").alias("p"), F.col("v").alias("x"), "fresh").unionByName(back).repartition("x").groupBy("p", "x").agg(F.max("fresh").alias("fresh"))
         worst = e.groupBy("u").agg(F.when(F.count("*") >= F.max("k"), F.max("d")).otherwise(F.lit(10.0)).alias("worst"))
-        about = self.light.join(worst.withColumnRenamed("u", "rid"), "rid").withColumnRenamed("rid", "x")
+        about = self.light.select("rid", "vec", "radius").join(worst.withColumnRenamed("u", "rid"), "rid").withColumnRenamed("rid", "x")
         full = legs.join(about, "x").select("p", "x", "fresh", "vec", "radius", "worst")
         return full.repartition("p").sortWithinPartitions("p").mapInArrow(_local_join, "u bigint, v bigint, d double")
 
@@ -384,6 +384,13 @@ class _Descent:
         self.compared = F.lit(True)
 
 
+def orders_for(n: int, angle: float, target: float) -> int:
+    """Projection orders in which two of ``n`` vectors at ``angle`` lie in one chunk at least once, all but for half of
+    what ``target`` leaves open: two signs in a row agree with a chance of 1 - angle / pi.  From 4 to 32."""
+    once = (1 - angle / np.pi) ** max(0.0, np.log2(max(1, n) / CHUNK))
+    return int(np.clip(np.ceil(np.log(max(1e-4, (1 - target) / 2)) / np.log(max(1e-9, 1 - once))), 4, 32))
+
+
 def _last_leaders(steps: list[DataFrame]) -> DataFrame:
     """(``rid``, ``leader``): who leads each absorbed node in the end.  A node is absorbed once; leaders that are
     themselves absorbed in a later step are followed, twice as far each time."""
@@ -397,10 +404,10 @@ def _last_leaders(steps: list[DataFrame]) -> DataFrame:
 def _to_single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         vecs = [np.frombuffer(x).astype(np.float32).tobytes() for x in batch.column("vec").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(vecs, pa.binary()), batch.column("radius")], names=["rid", "vec", "radius"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("dim"), pa.array(vecs, pa.binary()), batch.column("radius")], names=["rid", "dim", "vec", "radius"])
 
 
-def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, neighbours: int = 8, orders: int = 6, target_recall: float = 0.98, sample: int = 512, audit_links: int = 100, probes: int = 1000, most_audits: int = 4) -> DataFrame:
+def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, neighbours: int = 8, orders: int | None = None, target_recall: float = 0.98, sample: int = 512, audit_links: int = 100, probes: int = 1000, most_audits: int = 4) -> DataFrame:
     """Links of vectors with a cosine of ``cosine`` or more, and the components they make.
 
     Returns one row per vector: the id column, ``n_links`` (other vectors linked with it), ``component_id``
@@ -434,6 +441,7 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
     member = materialise(member, "ball-members")
 
     search = _Descent(nodes, neighbours, angle + SLACK, angle, probes)
+    orders = orders or orders_for(search.n, angle, target_recall)
     search.seed(orders, neighbours)
     reached = 0.0
     for i in range(most_audits):
@@ -442,8 +450,9 @@ def linked_embeddings(vectors: DataFrame, *, id_col: str = "vec_id", vector_col:
         if reached >= target_recall or (i and 1 - reached > (1 - before) / 2):
             break
         if i + 1 < most_audits:
-            search.lengthen()
-            search.seed(orders, 4 * neighbours)
+            if i:
+                search.lengthen()
+            search.seed(orders, search.k)
     if reached < target_recall:
         search.complete(angle)
 
