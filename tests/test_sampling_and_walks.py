@@ -70,6 +70,17 @@ def test_smoother_interval_is_that_of_a_bootstrap(spark):
     assert all(r["lo"] <= r["mean"] <= r["hi"] for r in out)
 
 
+def test_smoother_of_many_points_takes_no_short_cut(spark, monkeypatch):
+    """Beyond the checked sizes points stay a plan and kernel weights are joined by shuffle, with the same answer."""
+    rows = [(g, dt.date(2023, 1, 1) + dt.timedelta(9 * i), float(i % 5)) for g in "ab" for i in range(12)]
+    df = spark.createDataFrame(rows, "g string, date date, value double")
+    run = lambda: [tuple(None if x is None else round(x, 9) if isinstance(x, float) else x for x in r) for r in smooth.kernel_smooth_bootstrap(df, ["g"], n_boot=60).orderBy("g", "grid_date").collect()]
+    short = run()
+    monkeypatch.setattr(smooth, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(smooth, "held", lambda points: resample.held(points, 3))
+    assert run() == short and len(short) > 20
+
+
 FRONT = "benchmark_id string, model string, date date, score double, score_std double, is_laggard boolean"
 
 
