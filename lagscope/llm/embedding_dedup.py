@@ -386,9 +386,9 @@ class _Descent:
 
 def orders_for(n: int, angle: float, target: float) -> int:
     """Projection orders in which two of ``n`` vectors at ``angle`` lie in one chunk at least once, all but for half of
-    what ``target`` leaves open: two signs in a row agree with a chance of 1 - angle / pi.  From 4 to 32."""
+    what ``target`` leaves open: two signs in a row agree with a chance of 1 - angle / pi.  From 6 to 32."""
     once = (1 - angle / np.pi) ** max(0.0, np.log2(max(1, n) / CHUNK))
-    return int(np.clip(np.ceil(np.log(max(1e-4, (1 - target) / 2)) / np.log(max(1e-9, 1 - once))), 4, 32))
+    return int(np.clip(np.ceil(np.log(max(1e-4, (1 - target) / 2)) / np.log(max(1e-9, 1 - once))), 6, 32))
 
 
 def _last_leaders(steps: list[DataFrame]) -> DataFrame:
