@@ -242,7 +242,7 @@ def _angle_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class _Descent:
     """Neighbour lists of nodes (rid, dim, vec, radius), and of some ``probes`` planted at ``angle``, and their refinement."""
 
-    def __init__(self, nodes: DataFrame, k: int, reach: float, angle: float, probes: int, reverse: int = 16) -> None:
+    def __init__(self, nodes: DataFrame, k: int, reach: float, angle: float, probes: int, reverse: int = 32) -> None:
         self.real, self.k, self.reach, self.reverse, self.seeds = nodes, k, reach, reverse, 1000
         self.n, self.widest = nodes.agg(F.count("*"), F.coalesce(F.max("dim"), F.lit(1))).first()
         share = min(PLACES, probes * PLACES // max(1, self.n))
@@ -309,8 +309,8 @@ class _Descent:
 
     def _joined(self) -> DataFrame:
         e = self.edges
-        # of a node that very many have as a neighbour, `reverse` reverse entries are taken; before the shuffle, too
-        place = F.row_number().over(Window.partitionBy("v").orderBy(F.xxhash64("u", "v", "d"), "u"))
+        # of a node that very many have as a neighbour, `reverse` reverse entries are taken, fresh ones first; before the shuffle, too
+        place = F.row_number().over(Window.partitionBy("v").orderBy(F.col("fresh").desc(), F.xxhash64("u", "v", "d"), "u"))
         back = e.select("u", "v", "d", "fresh").withColumn("place", place).filter(F.col("place") <= self.reverse).select(F.col("v").alias("p"), F.col("u").alias("x"), "fresh")
         legs = e.select(F.col("u").alias("p"), F.col("v").alias("x"), "fresh").unionByName(back).repartition("x").groupBy("p", "x").agg(F.max("fresh").alias("fresh"))
         worst = e.groupBy("u").agg(F.when(F.count("*") >= F.max("k"), F.max("d")).otherwise(F.lit(10.0)).alias("worst"))
