@@ -95,10 +95,14 @@ def fit_centroids(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndar
 class MultiIndex:
     """Both codebooks; how many entries each cell has, and where these lie among all entries in order of cells."""
 
-    def __init__(self, first: np.ndarray, second: np.ndarray, widest: int) -> None:
+    def __init__(self, first: np.ndarray, second: np.ndarray, widest: int, counts: np.ndarray | None = None) -> None:
         self.first, self.second, self.widest, self.half = first, second, widest, first.shape[1]
-        self.counts = np.zeros(len(first) * len(second), np.int64)
-        self.before = np.zeros_like(self.counts)
+        self.counts = np.zeros(len(first) * len(second), np.int64) if counts is None else counts
+        self.before = np.cumsum(self.counts) - self.counts
+
+    def parts(self) -> tuple:
+        """What it is made from: tasks get plain arrays, as executors may not have this module."""
+        return self.first, self.second, self.widest, self.counts
 
     def count(self, cells: np.ndarray, n: np.ndarray) -> None:
         self.counts[cells] = n
@@ -140,7 +144,7 @@ class MultiIndex:
 
 def _celled(shared):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = MultiIndex(*shared.value)
         for batch in batches:
             if batch.num_rows:
                 x = _padded(batch.column("vec"), index.widest)
@@ -153,7 +157,7 @@ def _to_regions(shared, size: int):
     """Entries: each to a place of its own among those of its cell, and so to a region."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = MultiIndex(*shared.value)
         for batch in batches:
             cell = batch.column("cell").to_numpy()
             place = index.before[cell] + batch.column("place").to_numpy() % index.counts[cell]
@@ -166,7 +170,7 @@ def _visits(shared, size: int, budget: int):
     """Queries: one row for each region with a cell that the traversal meets, with these cells."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index = MultiIndex(*shared.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -259,7 +263,8 @@ def _true_cells(shared, most: int):
     """The nearest entries of each shared query in a partition: their cells and scores."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, classes, dims, q = shared.value
+        parts, classes, dims, q = shared.value
+        index = MultiIndex(*parts)
         score = np.full((len(q), 0), -np.inf)
         cell = np.zeros((len(q), 0), np.int32)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
@@ -330,7 +335,7 @@ def nearest_vectors(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id"
     k = min(most_centroids, 1 << max(2, round(np.log2(np.sqrt(n) / 4))))
     half = widest // 2
     index = MultiIndex(fit_centroids(drawn[:, :half], k, 1), fit_centroids(drawn[:, half:], k, 2), widest)
-    shared = spark.sparkContext.broadcast(index)  # at most 2 * most_centroids halves
+    shared = spark.sparkContext.broadcast(index.parts())  # at most 2 * most_centroids halves
     entries = materialise(entries.mapInArrow(_celled(shared), f"{_fields(entries)}, cell int"), "ann-cells")
     counted = entries.groupBy("cell").agg(F.count("*").alias("n")).toArrow()  # a row for each pair of centroids at most
     index.count(counted["cell"].to_numpy(), counted["n"].to_numpy())
@@ -340,7 +345,7 @@ def nearest_vectors(vectors: DataFrame, asked: Column, *, id_col: str = "vec_id"
     log.info("%d entries, %d queries, %d x %d cells, budget %d", n, n_queries, len(index.first), len(index.second), budget)
 
     size = int(min(MOST_REGION, max(LEAST_REGION, n // (4 * shuffle_width(spark)))))
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(index.parts())
     placed = entries.withColumn("place", F.pmod(F.xxhash64("cls"), F.lit(PLACES))).mapInArrow(_to_regions(shared, size), f"{_fields(entries)}, place bigint, region bigint")
     visits = queries.repartition(shuffle_width(spark)).mapInArrow(_visits(shared, size, budget), f"{_fields(queries)}, region bigint, cells binary")
     both = placed.drop("place").withColumn("query", F.lit(False)).unionByName(visits.withColumn("query", F.lit(True)), allowMissingColumns=True)
@@ -369,7 +374,7 @@ def _audited(entries: DataFrame, queries: DataFrame, n: int, index: MultiIndex,
     if not drawn:
         return 0
     q = _stacked(drawn, index.widest)
-    shared = queries.sparkSession.sparkContext.broadcast((index, [bytes(r["cls"]) for r in drawn], np.array([r["dim"] for r in drawn]), q))
+    shared = queries.sparkSession.sparkContext.broadcast((index.parts(), [bytes(r["cls"]) for r in drawn], np.array([r["dim"] for r in drawn]), q))
     true = entries.mapInArrow(_true_cells(shared, nearest), "q int, score double, cell int")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), "cell"))
     true = true.withColumn("place", place).filter(F.col("place") <= nearest).groupBy("q").agg(F.collect_list("cell").alias("cells")).collect()
