@@ -160,16 +160,18 @@ def exploration(tasks: DataFrame, runs: DataFrame, scores: DataFrame, *, recomme
 
     ``n_models`` is exact; ``about_models`` is a mergeable sketch of the same with a relative standard error of
     ``DISTINCT_ERROR``, and ``low``, ``median`` and ``high`` are quantiles of the mean scores, each at most
-    1/``QUANTILE_ACCURACY`` of the rows off.  The sketches of all tasks come from one pass over joined runs.
+    1/``QUANTILE_ACCURACY`` of the rows off.  The sketches of all tasks come from one pass over joined runs.  Models
+    are counted in another: beside a distinct count, each model of a task would have sketches of its own.
     """
     per_run = scores.groupBy("run_id").agg(F.count("*").alias("n"), F.sum("mean").alias("total"), F.max("mean").alias("best"))
     both = runs.join(per_run, "run_id", "left")
     sketch = F.percentile_approx("best", [0.1, 0.5, 0.9], QUANTILE_ACCURACY)
     facts = both.groupBy("task_id").agg(
-        F.count("*").alias("n_runs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_scores"), F.countDistinct("model_id").alias("n_models"), F.approx_count_distinct("model_id", DISTINCT_ERROR).alias("about_models"),
+        F.count("*").alias("n_runs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_scores"), F.approx_count_distinct("model_id", DISTINCT_ERROR).alias("about_models"),
         sketch.alias("q"), F.count_if(F.col("n").isNull()).alias("n_unscored"),
     )
-    out = tasks.select("task_id", "path").join(facts, "task_id", "left")
+    models = runs.groupBy("task_id").agg(F.countDistinct("model_id").alias("n_models"))
+    out = tasks.select("task_id", "path").join(facts, "task_id", "left").join(models, "task_id", "left")
     none = F.lit(0).cast("bigint")
     counts = [F.coalesce(c, none).alias(c) for c in ("n_runs", "n_scores", "n_models", "about_models", "n_unscored")]
     return out.select("task_id", "path", *counts, *(F.col("q")[i].alias(c) for i, c in enumerate(("low", "median", "high"))), (F.coalesce("n_models", none) >= recommended).alias("recommended"))

@@ -1,11 +1,13 @@
 """What the reviews of the third round found."""
 
 import math
+import re
 
 import duckdb
 
 from lagscope.operators.spacing import spaced
 from lagscope.plans import queries
+from lagscope.sources import linked
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,15 @@ def test_spacing_of_odd_values(spark):
     assert sorted(got["c"]) == [5e-324, 1.0, float("inf")] and sorted(got[None]) == [2.0, 200.0] and "d" not in got
     assert got["e"][0] == 7.0 and math.isnan(got["e"][1]) and len(got["e"]) == 2
     assert sorted(r[0] for r in spaced(rows.filter("g is null"), "g", "x", 0.0).select("x").collect()) == [2.0, 200.0]
+
+
+def test_exploration_has_one_sketch_a_task(spark):
+    tasks = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "task_id int, path string")
+    runs = spark.createDataFrame([("r1", 1, 7), ("r2", 1, 7), ("r3", 1, 8), ("r4", 1, None), ("r5", 2, 7), ("r5", 2, 9), ("r6", None, 7), ("r7", 4, 7)], "run_id string, task_id int, model_id int")
+    scores = spark.createDataFrame([("r1", 1.0), ("r1", 3.0), ("r4", 2.0), ("r5", 5.0), ("r8", 9.0), ("r6", 9.0)], "run_id string, mean double")
+    out = linked.exploration(tasks, runs, scores, recommended=2)
+    got = {r["task_id"]: tuple(r[c] for c in ("n_runs", "n_scores", "n_models", "about_models", "n_unscored", "low", "high", "recommended")) for r in out.collect()}
+    assert got == {1: (4, 3, 2, 2, 2, 2.0, 3.0, True), 2: (2, 2, 2, 2, 0, 5.0, 5.0, True), 3: (0, 0, 0, 0, 0, None, None, False)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    sketched = [x for x in plan.splitlines() if "approx_count_distinct" in x and "Aggregate(" in x]
+    assert sketched and all(re.search(r"keys=\[task_id#\d+\]", x) for x in sketched)  # not by task and model
