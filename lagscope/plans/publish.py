@@ -27,6 +27,20 @@ def _row(df: DataFrame, name: str) -> DataFrame:
     return df.select("benchmark_id", F.struct(*(c for c in df.columns if c != "benchmark_id")).alias(name))
 
 
+def _beside(names: DataFrame, sections: list[DataFrame]) -> DataFrame:
+    """One row for each of ``names``, with the section (two columns: ``benchmark_id`` and its name) of each table.
+
+    Each section is shuffled once it is made, by its name, too, and all meet in one grouped aggregate.  Else they would
+    be made in one task, as all have the same partitions, with the buffers of all their sorts and joins.
+    """
+    columns = [s.columns[1] for s in sections]
+    out = names.withColumn("_named", F.lit(True))
+    for s in sections:
+        out = out.unionByName(s.filter("benchmark_id is not null").repartition("benchmark_id", F.lit(s.columns[1])), allowMissingColumns=True)
+    out = out.groupBy("benchmark_id").agg(F.max("_named").alias("_named"), *(F.first(c, ignorenulls=True).alias(c) for c in columns))
+    return out.filter("_named").drop("_named")
+
+
 #: Columns of a settings table beside ``benchmark_id``; null means the default.
 SETTINGS = {"transform": "string", "tolerance": "double", "survival": "boolean", "accepted": "array<double>", "thresholds": "array<double>", "floor": "double", "keep": "boolean", "access": "string"}
 
@@ -88,10 +102,7 @@ def analyse(rows: DataFrame, as_of: Column, *, transform: str = "linear", settin
         sections.append(_row(thresholds.threshold_config(points, review), "threshold_config"))
     if n_boot:
         sections.append(_row(_by_transform(front, lambda f, t: trend.trend_gap_bootstrap(f, t, n_boot=n_boot)), "trend_gap_interval"))
-    out = rows.select("benchmark_id").distinct()
-    for s in sections:
-        out = out.join(s, "benchmark_id", "left")
-    return out
+    return _beside(rows.select("benchmark_id").distinct(), sections)
 
 
 def documents(analysed: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 import duckdb
 
 from lagscope.operators.spacing import spaced
-from lagscope.plans import queries
+from lagscope.plans import publish, queries
+from lagscope.plans.bindings import as_of, orders
 from lagscope.sources import linked
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,32 @@ def test_exploration_has_one_sketch_a_task(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     sketched = [x for x in plan.splitlines() if "approx_count_distinct" in x and "Aggregate(" in x]
     assert sketched and all(re.search(r"keys=\[task_id#\d+\]", x) for x in sketched)  # not by task and model
+
+
+def buffers(node, stages):
+    """The operators with buffers of their own in a node's stage; those of each stage below go to ``stages``."""
+    n = int(node.nodeName() in ("Sort", "SortMergeJoin", "HashAggregate", "ObjectHashAggregate", "SortAggregate", "Window"))
+    children = node.children()
+    for i in range(children.size()):
+        below = buffers(children.apply(i), stages)
+        if children.apply(i).nodeName() in ("Exchange", "BroadcastExchange"):
+            stages.append(below)
+        else:
+            n += below
+    return n
+
+
+def test_sections_are_made_in_tasks_of_their_own(spark):
+    plan = publish.analyse(orders(spark, SF), as_of())._jdf.queryExecution().executedPlan().initialPlan()
+    stages = []
+    stages.append(buffers(plan, stages))
+    assert len(stages) > 11 and max(stages) <= 60, sorted(stages)[-12:]
+
+
+def test_sections_stand_beside_their_names(spark):
+    names = spark.createDataFrame([("a",), ("b",), ("c",), (None,)], "benchmark_id string")
+    one = spark.createDataFrame([("a", [1, 2]), ("c", [3]), (None, [4])], "benchmark_id string, one array<int>")
+    two = spark.createDataFrame([("b", (5, None)), ("c", (None, 6)), ("d", (7, 7))], "benchmark_id string, two struct<x:int,y:int>")
+    want = names.join(one, "benchmark_id", "left").join(two, "benchmark_id", "left")
+    got = publish._beside(names, [one, two])
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
