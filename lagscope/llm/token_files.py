@@ -32,12 +32,22 @@ WIDTHS = tuple(60 // n for n in PER_WORD)
 ESCAPE = (1 << 15) - 1
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 16
+#: Bytes of texts after which they are encoded: the more, the fewer distinct pieces are looked up again.
+TEXT_BYTES = 1 << 22
 
 BLOCKS = "part int, block int, start bigint, n_ids bigint, words binary, escapes binary, doc_ids array<bigint>, lengths array<bigint>"
 
 _U64 = np.uint64
 
 
+def _widened(greatest: np.ndarray, over: int, n: int) -> tuple[np.ndarray, int]:
+    """From the greatest of every ``over`` neighbours those of every ``n``."""
+    while over < n:
+        step = min(over, n - over)
+        greatest, over = np.maximum(greatest[:-step], greatest[step:]), over + step
+    return greatest, over
+
+
 def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     """The packed words and the escapes of 32-bit ids; each word takes as many ids as fit."""
     big = ids >= ESCAPE
@@ -46,16 +56,14 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     n = len(small)
     if not n:
         return b"", escapes
-    # the selector at each position, were a word to begin there
-    best = np.full(n, len(PER_WORD) - 1, np.uint8)
+    # the selector at each position, were a word to begin there: the most ids, the greatest of which fits
+    best = np.full(n, PER_WORD.index(1), np.uint8)
+    greatest, over = small, 1  # of so many ids from each position on
     for s in range(len(PER_WORD) - 2, -1, -1):
-        stops = np.flatnonzero(small >> WIDTHS[s]) if WIDTHS[s] < 15 else np.zeros(0, np.int64)
-        stops = np.append(stops, n)
-        runs = np.diff(stops, prepend=-1) - 1  # ids that fit, before each that doesn't
-        long = runs >= PER_WORD[s]
-        if long.any():
-            for a, z in zip((stops - runs)[long].tolist(), stops[long].tolist(), strict=True):
-                best[a : z - PER_WORD[s] + 1] = s
+        if PER_WORD[s] > n:
+            break
+        greatest, over = _widened(greatest, over, PER_WORD[s])
+        best[: len(greatest)][greatest < 1 << WIDTHS[s]] = s
     values = small.astype(_U64)
     steps = np.array(PER_WORD, np.uint8)[best].tobytes()
     heads, i = [], 0
@@ -68,9 +76,11 @@ def encode_ids(ids: np.ndarray) -> tuple[bytes, bytes]:
     words = selectors.astype(_U64) << _U64(60)
     for s in np.unique(selectors).tolist():
         here = np.flatnonzero(selectors == s)
-        packed = np.zeros(len(here), _U64)
-        for j in range(PER_WORD[s]):
-            packed |= values[heads[here] + j] << _U64(j * WIDTHS[s])
+        at = heads[here]
+        packed = values.take(at)
+        for j in range(1, PER_WORD[s]):
+            at += 1
+            packed |= values.take(at) << _U64(j * WIDTHS[s])
         words[here] |= packed
     return words.astype("<u8").tobytes(), escapes
 
@@ -92,14 +102,35 @@ def decode_ids(words: bytes, escapes: bytes) -> np.ndarray:
 
 
 #: A run of letters that no other letter class touches: ASCII, and Latin-1 letters as UTF-8.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_MARKS = np.zeros(256, bool)
-_MARKS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True  # ASCII punctuation, without what special tokens and contractions hold
-_ASCII_LETTERS = np.zeros(256, bool)
-_ASCII_LETTERS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
-_AFTER_C3 = np.zeros(256, bool)
-_AFTER_C3[0x80:0xC0] = True
-_AFTER_C3[[0x97, 0xB7]] = False
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: What a byte is, as bits, and the byte that stands between texts, which UTF-8 has nowhere.
+_MARK, _ASCII, _C3, _AFTER_C3, _GAP, _STOP = 1, 2, 4, 8, 16, 32
+_BETWEEN = b"\xff"
+
+
+def _byte_classes() -> bytes:
+    bits = np.zeros(256, np.uint8)
+    bits[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = _MARK  # ASCII punctuation, without what special tokens and contractions hold
+    bits[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = _ASCII
+    bits[0xC3] = _C3
+    bits[0x80:0xC0] = _AFTER_C3
+    bits[[0x97, 0xB7]] = 0
+    bits[list(b" \t\n\v\f\r")] = _GAP
+    bits[list(_BETWEEN)] = _STOP
+    return bits.tobytes()
+
+
+_CLASSES = _byte_classes()
+
+
+def _byte_letters() -> dict[int, int]:
+    """The letter that a byte-level vocabulary writes for each byte; the blank stays."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return {b: b for b in own} | {b: 256 + i for i, b in enumerate(others)} | {32: 32}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 #: How a vocabulary must treat text for its pieces to be encoded one by one.
@@ -127,25 +158,30 @@ class Encoder:
 
     A text's ids are then those of its pieces between such places, one after another, and each distinct piece
     is encoded once while it is remembered.  Pieces of letters are one split each, so many are encoded as one
-    text and told apart by the end-of-word ids.
+    text, which is lower-cased and written as byte-level letters before, and told apart by the end-of-word ids.
     """
 
     #: Pieces at most that are remembered.
-    REMEMBERED = 300_000
+    REMEMBERED = 400_000
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_pieces = splits_at_pieces(json.loads(self.tokenizer.to_str()))
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        with open(path, encoding="utf-8") as file:
+            form = json.load(file)
+        self.by_pieces = splits_at_pieces(form)
+        if self.by_pieces:
+            self.of_letters = Tokenizer(self.tokenizer.model)  # without the steps that letters pass unchanged
+            self.of_letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = form["model"]["vocab"]
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.memory: dict[bytes, int] = {}
+        self.memory: dict[bytes, int] = {_BETWEEN: -1}
         self.pool, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, pieces: list[bytes]) -> None:
@@ -153,8 +189,8 @@ class Encoder:
         rest: list[bytes] = []
         for x in pieces:
             (letters if x.isalpha() or _LETTERS.fullmatch(x) else rest).append(x)
-        joined = [b" ".join(letters[i : i + 1000]).decode() for i in range(0, len(letters), 1000)]
-        own = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+        joined = [b" ".join(letters[i : i + 1000]).decode().lower().encode().decode("latin-1").translate(_BYTE_LETTERS) for i in range(0, len(letters), 1000)]
+        own = [e.ids for e in self.of_letters.encode_batch_fast(joined, add_special_tokens=False)]
         ids = np.array([i for x in own for i in x], np.uint32)
         stops = np.flatnonzero(self.ends[ids]) + 1
         assert len(stops) == len(letters)
@@ -172,41 +208,41 @@ class Encoder:
         if not self.by_pieces:
             own = [[*e.ids, end_id] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
             return np.array([i for x in own for i in x], np.uint32), np.array([len(x) for x in own], np.int64)
-        buffer = b"".join([b" ".join(t.split()) + b"\n" for t in texts])
+        buffer = b"".join([t + _BETWEEN for t in texts])
         if b"<|" not in buffer:  # special tokens are known by their case
             buffer = buffer.lower()
         raw = np.frombuffer(buffer, np.uint8)
-        mark = _MARKS[raw]
-        letter = _ASCII_LETTERS[raw]
-        letter[1:] |= (raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]]
+        bits = np.frombuffer(buffer.translate(_CLASSES), np.uint8)
+        lead, after = bits[:-1], bits[1:]
+        pair = (lead & _C3) & ((after & _AFTER_C3) >> 1)  # where a Latin-1 letter begins, of two bytes
+        letter = bits & _ASCII
         first = letter.copy()  # first bytes of letters
-        first[:-1] = (_ASCII_LETTERS[raw[:-1]]) | ((raw[:-1] == 0xC3) & _AFTER_C3[raw[1:]])
-        stop = raw == 10
-        gap = raw == 32
+        first[:-1] |= pair
+        letter[1:] |= pair
         cut = np.zeros(len(raw) + 1, bool)  # a piece begins here
-        cut[1:-1] = (letter[:-1] & mark[1:]) | (mark[:-1] & first[1:]) | stop[1:] | stop[:-1] | gap[:-1]
+        cut[1:-1] = ((letter[:-1] != 0) & (after & _MARK != 0)) | ((lead & _MARK != 0) & (first[1:] != 0)) | (after & _STOP != 0) | (lead & (_STOP | _GAP) != 0)
         cut[0] = True
-        cut = cut[:-1] & ~gap
-        kept = np.ascontiguousarray(raw[~gap])
-        offsets = np.append(np.flatnonzero(cut[~gap]), len(kept)).astype(np.int32)
+        full = bits & _GAP == 0
+        kept = raw[full]
+        offsets = np.append(np.flatnonzero(cut[:-1][full]), len(kept)).astype(np.int32)
         pieces = pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(kept)])
         flat = pieces.dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        if len(self.memory) + len(distinct) > self.REMEMBERED:
+        distinct = flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [x for x in distinct if x not in self.memory]
+        if len(self.memory) + len(new) > self.REMEMBERED:
             self._forget()
-        memory = self.memory
-        self._learn([x for x in distinct if x not in memory and x != b"\n"])
-        memory[b"\n"] = -1
-        at = np.fromiter(map(memory.__getitem__, distinct), np.int64, len(distinct))
+            new = [x for x in distinct if x not in self.memory]
+        self._learn(new)
+        at = np.fromiter(map(self.memory.__getitem__, distinct), np.int64, len(distinct))
         pool = np.append(self.pool, np.uint32(end_id))
-        begins = np.append(self.begins, len(pool) - 1)[at]
-        lengths = np.append(self.lengths, 1)[at]
+        begins = np.append(self.begins, len(pool) - 1)[at].astype(np.int32)
+        lengths = np.append(self.lengths, 1)[at].astype(np.int32)
         codes = flat.indices.to_numpy()
-        sizes = lengths[codes]
-        total = np.cumsum(sizes)
-        where = np.repeat((begins[codes] - total + sizes).astype(np.int32), sizes)
+        sizes = lengths.take(codes)
+        total = np.cumsum(sizes, dtype=np.int64)
+        where = np.repeat((begins.take(codes) - total + sizes).astype(np.int32), sizes)
         where += np.arange(len(where), dtype=np.int32)
-        return pool[where], np.diff(total[stop[~gap][offsets[:-1]]], prepend=0)
+        return pool.take(where), np.diff(total[kept[offsets[:-1]] == _BETWEEN[0]], prepend=0)
 
 
 def _blocks(path: str, end_id: int):
@@ -241,7 +277,7 @@ def _blocks(path: str, end_id: int):
                     docs.append(d)
                     texts.append(t)
                     held += len(t)
-                    if held > 1 << 20:
+                    if held > TEXT_BYTES:
                         yield from close()
                         held = 0
         if docs:

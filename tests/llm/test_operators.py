@@ -21,7 +21,7 @@ from lagscope.llm.near_dedup import MinMax, band_count, near_duplicates
 from lagscope.llm.quality import keep_quality, kth_largest, level_between, resample_quality
 from lagscope.llm.sharding import balanced_shards
 from lagscope.llm.substring_dedup import SLOTS, _pack, heavy_slots, remove_repeated_substrings, repeated_windows
-from lagscope.llm.token_files import Encoder, decode_ids, encode_ids, read_token_files, token_index, write_token_files
+from lagscope.llm.token_files import PER_WORD, Encoder, decode_ids, encode_ids, read_token_files, token_index, write_token_files
 from lagscope.llm.toxicity import score_toxicity
 from lagscope.llm.url_filter import judge_urls
 
@@ -298,6 +298,54 @@ def test_encoder_equals_the_library():
         assert ids.tolist() == sum(want, []) and lengths.tolist() == list(map(len, want))
 
 
+def test_encoder_takes_the_short_way_for_letters():
+    """Pieces of letters pass no step of the vocabulary but its merges, and give the same ids."""
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer, self.texts = tokenizer, []
+
+        def encode_batch_fast(self, texts, **settings):
+            self.texts += texts
+            return self.tokenizer.encode_batch_fast(texts, **settings)
+
+    encoder = Encoder(vocabulary_path())
+    library, encoder.tokenizer = encoder.tokenizer, Counted(encoder.tokenizer)
+    rng = random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" + "".join(c for c in map(chr, range(0xC0, 0x100)) if c.isalpha())
+    for text in (" ".join("".join(rng.choices(letters, k=rng.randint(1, 25))) for _ in range(3000)), "Été <| " + letters, " ".join(letters)):
+        ids, lengths = encoder.encode([text.encode()], 1)
+        assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1] and lengths.tolist() == [len(ids)]
+    assert set(encoder.tokenizer.texts) == {"<|"}
+
+
+def test_encoder_forgets_no_sooner_than_it_must(monkeypatch):
+    """Texts of pieces that it remembers teach it nothing; one with too many new pieces makes it start anew."""
+    monkeypatch.setattr(Encoder, "REMEMBERED", 10)
+    encoder = Encoder(vocabulary_path())
+    learnt = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: (learnt.append(len(pieces)), learn(pieces)))
+    for text in (b"a b c d e f", b"f e d c b a", b"g h i j k l"):
+        ids, _ = encoder.encode([text], 1)
+        assert ids.tolist() == [*encoder.tokenizer.encode(text.decode(), add_special_tokens=False).ids, 1]
+    assert learnt == [6, 0, 6]
+
+
+def test_packed_words_take_as_many_ids_as_fit():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 3, 4, 5, 59, 60, 61, 200):
+        for widest in (1, 2, 4, 7, 15, 16):
+            ids = (rng.integers(0, 1 << 16, n) >> rng.integers(16 - widest, 17, n)).astype(np.uint32)
+            words, escapes = encode_ids(ids)
+            small, want, i = np.minimum(ids, (1 << 15) - 1), [], 0
+            while i < n:
+                per, s = next((per, s) for s, per in enumerate(PER_WORD) if per <= n - i and small[i : i + per].max() < 1 << 60 // per)
+                want.append((s << 60) | sum(int(x) << j * (60 // per) for j, x in enumerate(small[i : i + per])))
+                i += per
+            assert np.frombuffer(words, "<u8").tolist() == want and (decode_ids(words, escapes) == ids).all()
+
+
 def test_encoder_of_another_vocabulary():
     """A vocabulary that doesn't split at pieces is asked for each whole text."""
     import public_tokenizers
